@@ -88,7 +88,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row for each input row: ``doc_id, keep_id, group_size, kept,
     text_sha256``. Of equal texts the row with the smallest id is kept."""
     ids = identities(docs, id_col, text_col, **how)
-    groups = ids.groupBy("level", "name").agg(F.min("doc_id").alias("keep_id"), F.sum("m").alias("group_size"))
+    # written, so that the join below reads plain exchanges on both sides and a hot
+    # group can be split over tasks
+    groups = materialize(ids.groupBy("level", "name").agg(F.min("doc_id").alias("keep_id"), F.sum("m").alias("group_size")), "text-groups")
     rows = ids.join(groups, ["level", "name"])
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "m")))
     return rows.select(

@@ -141,7 +141,8 @@ def write_bundles(pages: DataFrame, min_payload: int = 0, bundle_bytes: int = BU
     """Archive every page; returns the written table ``bundle, data, index``."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.unhex(F.sha1("html")))
-    first = rows.groupBy("digest").agg(F.min("page_id").alias("first"))
+    # written, so that a payload which many pages share can be split over tasks below
+    first = materialize(rows.groupBy("digest").agg(F.min("page_id").alias("first")), "payloads")
     refers = F.when((F.octet_length("html") >= min_payload) & ~F.col("first").eqNullSafe(F.col("page_id")), F.col("first"))
     rows = rows.join(first, "digest").select("page_id", "url", "html", refers.alias("refers_to"))
 
