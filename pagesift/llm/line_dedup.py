@@ -2,9 +2,11 @@
 
 Lines are split at newlines and normalised: lower case, runs of blanks to one
 space, trimmed. Equal normalised lines are one node. Each line gets a 64-bit
-SimHash of its words: the words are exploded and their hashes summed in packed
-byte lanes, eight longs holding the 64 bit counts of up to 127 words, so counting
-stays in generated code and partial sums are combined before the shuffle.
+SimHash of its distinct words (a word that repeats, such as the bars of a table
+row, would else outvote the rest and make unlike lines alike): the words are exploded and
+their hashes summed in packed byte lanes, eight longs holding the 64 bit counts of up
+to 127 words, so counting stays in generated code and partial sums are combined
+before the shuffle.
 
 Fingerprints within ``radius`` bits are found by the pigeonhole principle: one key
 for each choice of ``bands - radius`` bands, an equi-join on the key with the bit
@@ -55,7 +57,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``doc_id, line_no, k (MD5 of the normalised line), chars, fp`` for every line
     that has a word, as a written table."""
     lines = _split(docs, id_col, text_col).select("doc_id", "line_no", normalised(F.col("line")).alias("t")).where("t <> ''")
-    words = lines.select("doc_id", "line_no", F.unhex(F.md5("t")).alias("k"), F.length("t").alias("chars"), F.split("t", " ").alias("w"))
+    words = lines.select("doc_id", "line_no", F.unhex(F.md5("t")).alias("k"), F.length("t").alias("chars"), F.array_distinct(F.split("t", " ")).alias("w"))
     words = words.select("doc_id", "line_no", "k", "chars", F.size("w").alias("n"), F.posexplode("w").alias("i", "w"))
     h = F.xxhash64("w")
     sums = [F.sum(F.shiftrightunsigned(h, s).bitwiseAND(F.lit(_LANES))).alias(f"s{s}") for s in range(8)]
