@@ -102,9 +102,9 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def side(n: int) -> DataFrame:
         return distinct.select(F.col("fp").alias(f"f{n}"), F.col("k").alias(f"k{n}"), F.col("first").alias(f"a{n}"), F.col("chars").alias(f"n{n}"))
 
-    alike = (F.col("f1") != F.col("f2")) | (F.col("k1") < F.col("k2"))
+    other = (F.col("f1") != F.col("f2")) | (F.col("k1") < F.col("k2"))
     fits = F.least("n1", "n2") >= F.greatest("n1", "n2") * F.lit(min_similarity)
-    pairs = materialize(near.join(side(1), "f1").join(side(2), "f2").where(alike & fits).select("a1", "a2"), "line-pairs")
+    pairs = materialize(near.join(side(1), "f1").join(side(2), "f2").where(other & fits).select("a1", "a2"), "line-pairs")
     wanted = materialize(pairs.select(F.col("a1").alias("a")).union(pairs.select("a2")).distinct().select(F.col("a.doc_id").alias("doc_id"), F.col("a.line_no").alias("line_no")), "wanted-lines")
     of = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     texts = _split(of.join(F.broadcast(ids) if (ids := wanted.select("doc_id").distinct()).count() <= 300_000 else ids, "doc_id", "left_semi"), "doc_id", "text")
@@ -114,7 +114,9 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     longest = F.greatest(F.length("t1"), F.length("t2"))
     limit = F.floor(longest * F.lit(1 - min_similarity) + F.lit(1e-9)).cast("int")
     checked = pairs.join(first, "a1").join(second, "a2").withColumn("limit", limit)
-    links = checked.where(F.expr("levenshtein(t1, t2, limit) >= 0")).select(F.col("a1").alias("a"), F.col("a2").alias("b"))
+    # a narrow band settles nearly all links; only what it leaves open needs the wide one
+    alike = F.expr("CASE WHEN levenshtein(t1, t2, least(limit, 24)) >= 0 THEN true WHEN limit <= 24 THEN false ELSE levenshtein(t1, t2, limit) >= 0 END")
+    links = checked.where(alike).select(F.col("a1").alias("a"), F.col("a2").alias("b"))
     parts = connected_components(links, "lines")
     release(near, wanted)
     named = distinct.join(parts, F.col("first") == F.col("node"), "left").select("k", F.coalesce("component", "first").alias("stays"))
