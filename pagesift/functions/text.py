@@ -101,12 +101,12 @@ def parse_tounicode(cmap: Column) -> Column:
     rows = F.arrays_zip(part(1).alias("lo"), part(2).alias("hi"), part(3).alias("dst"), part(4).alias("list"))
 
     def entries(r: Column) -> Column:
-        lo, hi = _code(clean(r["0"])), _code(clean(r["1"]))
-        items = F.transform(F.regexp_extract_all(r["3"], F.lit(rf"<({hexes})>"), F.lit(1)), lambda d: _code(clean(d)))
+        lo, hi = _code(clean(r["lo"])), _code(clean(r["hi"]))
+        items = F.transform(F.regexp_extract_all(r["list"], F.lit(rf"<({hexes})>"), F.lit(1)), lambda d: _code(clean(d)))
         steps = F.when(hi >= lo, F.sequence(F.lit(0), hi - lo)).otherwise(F.array().cast("array<int>"))
-        run = F.transform(steps, lambda i: F.struct(((lo + i) % 65536).alias("cid"), ((_code(clean(r["2"])) + i) % 65536).alias("uni")))
+        run = F.transform(steps, lambda i: F.struct(((lo + i) % 65536).alias("cid"), ((_code(clean(r["dst"])) + i) % 65536).alias("uni")))
         listed = F.filter(F.transform(items, lambda u, i: F.struct((lo + i).alias("cid"), u.alias("uni"))), lambda e: e["cid"] <= hi)
-        return F.when(r["3"] != "", listed).otherwise(run)
+        return F.when(r["list"] != "", listed).otherwise(run)
 
     every = F.concat(singles, F.flatten(F.transform(rows, entries)))
     every = F.filter(every, lambda e: ~e["uni"].between(0xD800, 0xDFFF))

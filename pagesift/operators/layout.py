@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagesift.functions.text import let, utrim
@@ -60,40 +60,44 @@ def classify_lines(spans: Column) -> Column:
     return let(cluster.drop_blank(spans), lambda k: F.when(F.size(k) > 0, page(k)))
 
 
-def merge_lines(lines: Column, body: Column) -> Column:
-    """Elements in page order: a heading a line, runs of candidates as a table,
-    paragraph lines up to a gap of over 1.5 body sizes."""
-    new = F.transform(
-        lines,
-        lambda line, i: let(
-            F.get(lines, i - 1),
-            lambda before: F.when(
-                (i == 0) | (line["kind"] == HEADING) | (line["kind"] != before["kind"]) | ((line["kind"] == PARAGRAPH) & (F.abs(before["y"] - line["y"]) > body * 1.5)),
-                i,
-            ),
-        ),
-    )
+def line_runs(lines: Column, body: Column) -> Column:
+    """Lines grouped into runs that make one element each: a heading a line, runs of
+    candidates, paragraph lines up to a gap of over 1.5 body sizes."""
 
-    def element(kind, level, text, table) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), level.cast("int").alias("level"), text.cast("string").alias("text"), table.cast(TABLE).alias("table")).cast(ELEMENT)
+    def starts(line: Column, i: Column) -> Column:
+        before = F.get(lines, i - 1)
+        gap = F.abs(before["y"] - line["y"]) > body * 1.5
+        return F.when((i == 0) | (line["kind"] == HEADING) | (line["kind"] != before["kind"]) | ((line["kind"] == PARAGRAPH) & gap), i)
+
+    return cluster.cut(lines, F.filter(F.transform(lines, starts), lambda i: i.isNotNull()))
 
-    none, zero = F.lit(None), F.lit(0)
 
-    def of(run: Column) -> Column:
-        first = run[0]
-        text = F.array_join(F.transform(run, lambda x: x["text"]), " ")
-        grid = table_from_spans(F.flatten(F.transform(run, lambda x: x["spans"])))
-        is_table = (first["kind"] == CANDIDATE) & ((F.size(run) >= 2) | (first["clusters"] >= 4))
-        return F.when(first["kind"] == HEADING, element(HEADING, first["level"], first["text"], none)).when(is_table, element(TABLE_KIND, zero, none, grid)).otherwise(element(PARAGRAPH, zero, text, none))
+def _is_table(run: Column) -> Column:
+    return (run[0]["kind"] == CANDIDATE) & ((F.size(run) >= 2) | (run[0]["clusters"] >= 4))
 
-    runs = let(F.filter(new, lambda i: i.isNotNull()), lambda at: cluster.cut(lines, at))
-    return F.filter(F.transform(runs, of), lambda e: (e["kind"] != PARAGRAPH) | (utrim(e["text"]) != ""))
 
+def _element(run: Column, grid: Column) -> Column:
+    def element(kind, level, text, table) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), level.cast("int").alias("level"), text.cast("string").alias("text"), table.cast(TABLE).alias("table")).cast(ELEMENT)
 
-def classify_spans(spans: Column) -> Column:
-    """The page's elements; a page without text has none."""
-    none = F.array().cast(f"array<{ELEMENT}>")
-    return let(
-        cluster.drop_blank(spans),
-        lambda kept: F.when(F.size(kept) == 0, none).otherwise(let(classify_lines(kept), lambda lines: let(body_font_size(kept), lambda body: merge_lines(lines, body)))),
-    )
+    none, zero, first = F.lit(None), F.lit(0), run[0]
+    text = F.array_join(F.transform(run, lambda x: x["text"]), " ")
+    return F.when(first["kind"] == HEADING, element(HEADING, first["level"], first["text"], none)).when(_is_table(run), element(TABLE_KIND, zero, none, grid)).otherwise(element(PARAGRAPH, zero, text, none))
+
+
+def classify_spans(pages: DataFrame, spans: str = "spans", elements: str = "elements") -> DataFrame:
+    """``pages`` with the page's elements added, in page order; a page without text has
+    none. Each step is a column of its own, so no step is evaluated twice and
+    expressions stay shallow; nothing shuffles."""
+    kept, body, lines, runs, grids = (f"_{elements}_{x}" for x in ("kept", "body", "lines", "runs", "grids"))
+    df = pages.withColumn(kept, cluster.drop_blank(F.col(spans)))
+    df = df.withColumn(body, body_font_size(F.col(kept)))
+    rows = cluster.cluster_rows(F.col(kept), cluster.row_tolerance(F.col(kept)))
+    df = df.withColumn(lines, rows).withColumn(lines, F.transform(lines, lambda r: classify_line(r, F.col(body))))
+    df = df.withColumn(runs, line_runs(F.col(lines), F.col(body)))
+    table_spans = F.transform(runs, lambda r: F.when(_is_table(r), F.flatten(F.transform(r, lambda x: x["spans"]))))
+    df = df.withColumn(grids, table_spans)
+    df = df.withColumn(grids, F.transform(grids, lambda s: F.when(s.isNotNull(), table_from_spans(s))))
+    made = F.zip_with(runs, grids, _element)
+    df = df.withColumn(elements, F.filter(made, lambda e: (e["kind"] != PARAGRAPH) | (utrim(e["text"]) != "")))
+    return df.drop(kept, body, lines, runs, grids)
