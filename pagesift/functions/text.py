@@ -110,23 +110,27 @@ def parse_tounicode(cmap: Column) -> Column:
 
     every = F.concat(singles, F.flatten(F.transform(rows, entries)))
     every = F.filter(every, lambda e: ~e["uni"].between(0xD800, 0xDFFF))
-    last = F.filter(every, lambda e: e["cid"].isNotNull())
-    # the last entry of a code wins
-    keys = F.array_distinct(F.transform(last, lambda e: e["cid"]))
-    back = F.reverse(last)
-    codes = F.transform(back, lambda e: e["cid"])
-    return F.map_from_arrays(keys, F.transform(keys, lambda k: _letter(F.element_at(back, F.array_position(codes, k).cast("int"))["uni"])))
+
+    def mapped(rows: Column, codes: Column) -> Column:
+        # rows are in reverse, so the first position of a code is its last entry
+        keys = F.array_distinct(codes)
+        return F.map_from_arrays(keys, F.transform(keys, lambda k: _letter(F.element_at(rows, F.array_position(codes, k).cast("int"))["uni"])))
+
+    return let(F.reverse(every), lambda rows: let(F.transform(rows, lambda e: e["cid"]), lambda codes: mapped(rows, codes)))
 
 
 def decode_bytes(b: Column, cids: Column) -> Column:
     """Two-byte codes through a character map; an unknown code is two single bytes and an
     odd last byte stands alone. An empty map decodes byte by byte."""
-    digits = F.hex(b)
-    steps = F.when(F.length(b) > 0, F.sequence(F.lit(0), F.expr("0") + (F.length(b) - 1).cast("int"), F.lit(2))).otherwise(F.array().cast("array<int>"))
+    def through(m: Column) -> Column:
+        digits = F.hex(b)
+        steps = F.when(F.length(b) > 0, F.sequence(F.lit(0), (F.length(b) - 1).cast("int"), F.lit(2))).otherwise(F.array().cast("array<int>"))
+
+        def letters(i: Column) -> Column:
+            code = F.substr(digits, i * 2 + 1, F.lit(4))
+            known = F.when(F.length(code) == 4, F.try_element_at(m, F.conv(code, 16, 10).cast("int")))
+            return F.coalesce(known, F.decode(F.unhex(code), "ISO-8859-1"))
 
-    def letters(i: Column) -> Column:
-        code = F.substr(digits, i * 2 + 1, F.lit(4))
-        known = F.when(F.length(code) == 4, F.try_element_at(cids, F.conv(code, 16, 10).cast("int")))
-        return F.coalesce(known, F.decode(F.unhex(code), "ISO-8859-1"))
+        return F.when(F.size(m) > 0, F.array_join(F.transform(steps, letters), "")).otherwise(latin1(b))
 
-    return F.when(F.size(cids) > 0, F.array_join(F.transform(steps, letters), "")).otherwise(latin1(b))
+    return let(cids, through)

@@ -86,7 +86,6 @@ def classify_line(spark, sf):
 
 
 def _elements(name: str) -> Query:
-    S = F.col("spans")
     def run(spark, sf):
         df = layout.classify_spans(fixtures.pages(spark, sf, name)).select("doc_id", "page_no", F.posexplode("elements").alias("i", "e"))
         return df.select("doc_id", "page_no", _long(F.col("i")).alias("el_idx"), "e.kind", _long(F.col("e.level")).alias("level"), "e.text")
