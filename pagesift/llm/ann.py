@@ -5,7 +5,7 @@ its nearest list and, if it lies near a boundary, to the few others whose distan
 is within ``closure`` times the nearest (replication). Centroids are searched by a
 neighbour graph held in memory (greedy best-first walks, a batch of walks at
 once); a query reads the lists whose centroid is within ``ratio`` times its
-nearest one, at most ``probes``. Nearness is the largest inner product: vectors are
+nearest one, at most ``probe_share`` of all lists (and ``MIN_PROBES`` where there are few). Nearness is the largest inner product: vectors are
 clustered by direction and lists are chosen by angle.
 
 Lists are stored as blocks of at most ``BLOCK`` vectors and queries are packed into
@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from pagesift.llm.common import materialize
 
-TOP, SAMPLE, LIST_ROWS, MAX_LISTS = 20, 20_000, 400, 4096
-REPLICAS, CLOSURE, RATIO, PROBE_SHARE, DEGREE = 4, 1.12, 1.32, 0.4, 16
+TOP, SAMPLE, LIST_ROWS, MAX_LISTS, MIN_PROBES = 20, 20_000, 400, 4096, 16
+REPLICAS, CLOSURE, RATIO, PROBE_SHARE, DEGREE = 4, 1.12, 1.35, 0.4, 16
 BLOCK = 1024
 
 
@@ -158,7 +158,7 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
         sample = np.asarray([r["v"] for r in rows.limit(sample_rows).collect()], float)
     lists = int(min(MAX_LISTS, max(1, total // list_rows)))
     index = spark.sparkContext.broadcast(build(sample, lists))  # at most MAX_LISTS centroids
-    probes = max(1, round(probe_share * lists))
+    probes = min(lists, max(MIN_PROBES, round(probe_share * lists)))
 
     def route(batches):
         for batch in batches:
