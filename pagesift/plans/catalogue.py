@@ -87,7 +87,9 @@ def classify_line(spark, sf):
 
 def _elements(name: str) -> Query:
     def run(spark, sf):
-        df = layout.classify_spans(fixtures.pages(spark, sf, name)).select("doc_id", "page_no", F.posexplode("elements").alias("i", "e"))
+        df = layout.classify_spans(fixtures.pages(spark, sf, name)).select("doc_id", "page_no", F.posexplode_outer("elements").alias("i", "e"))
+        # outer: an inner explode infers a filter that would repeat the whole expression
+        df = df.where("i is not null")
         return df.select("doc_id", "page_no", _long(F.col("i")).alias("el_idx"), "e.kind", _long(F.col("e.level")).alias("level"), "e.text")
 
     return run

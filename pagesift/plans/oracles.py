@@ -50,7 +50,7 @@ def clusters(p: str, source: str, keys: str) -> str:
 def columns(p: str, source: str, keys: str) -> str:
     """``{p}cols``: chained clusters of x over a page."""
     return f"""{p}b AS (SELECT {keys}, x, CASE WHEN x - lag(x) OVER w <= 10 THEN 0 ELSE 1 END AS new FROM {source} WINDOW w AS (PARTITION BY {keys} ORDER BY x)),
-{p}g AS (SELECT {keys}, x, sum(new) OVER (PARTITION BY {keys} ORDER BY x ROWS UNBOUNDED PRECEDING) - 1 AS col_idx FROM {p}b),
+{p}g AS (SELECT {keys}, x, sum(new) OVER (PARTITION BY {keys} ORDER BY x, new DESC ROWS UNBOUNDED PRECEDING) - 1 AS col_idx FROM {p}b),
 {p}cols AS (SELECT {keys}, col_idx::BIGINT AS col_idx, avg(x) AS cx FROM {p}g GROUP BY {keys}, col_idx)"""
 
 
