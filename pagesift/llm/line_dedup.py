@@ -59,7 +59,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lines = _split(docs, id_col, text_col).select("doc_id", "line_no", normalised(F.col("line")).alias("t")).where("t <> ''")
     words = lines.select("doc_id", "line_no", F.unhex(F.md5("t")).alias("k"), F.length("t").alias("chars"), F.array_distinct(F.split("t", " ")).alias("w"))
     words = words.select("doc_id", "line_no", "k", "chars", F.size("w").alias("n"), F.posexplode("w").alias("i", "w"))
-    h = F.xxhash64("w")
+    words = words.withColumn("h", F.xxhash64("w")).drop("w")  # hashed once, not in each sum
+    h = F.col("h")
     sums = [F.sum(F.shiftrightunsigned(h, s).bitwiseAND(F.lit(_LANES))).alias(f"s{s}") for s in range(8)]
     parts = words.groupBy("doc_id", "line_no", "k", "chars", "n", F.expr(f"i div {_PART}").alias("part")).agg(*sums, F.count("*").alias("words"))
     # a repeated document id adds its words twice or more; what matters is the share
