@@ -21,8 +21,8 @@ def drop_blank(spans: Column) -> Column:
 
 def mean(values: Column) -> Column:
     """Mean in array order, so a result that feeds a comparison never depends on
-    how rows were distributed."""
-    return F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / F.size(values)
+    how rows were distributed; null for an empty array."""
+    return F.try_divide(F.aggregate(values, F.lit(0.0), lambda a, v: a + v), F.size(values))
 
 
 def row_tolerance(spans: Column) -> Column:
