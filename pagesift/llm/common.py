@@ -4,6 +4,7 @@ broadcasts and distributed connected components."""
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
 
@@ -16,8 +17,20 @@ BLANKS = r"\x20\x09-\x0D"
 _written: dict[str, SparkSession] = {}
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package wherever the driver was started: its
+    folder joins the workers' path. On a cluster without that folder, ship the
+    package with ``--py-files``."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, read by Spark alone so that any store works."""
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
