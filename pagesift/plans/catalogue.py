@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pagesift.functions import text as T
 from pagesift.operators import cluster, layout, render
 from pagesift.operators.table import table_from_spans
-from pagesift.plans import fixtures
+from pagesift.plans import fixtures, pdf_queries
 from pagesift.plans import oracles as O
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -290,8 +290,8 @@ ORACLES: dict[str, str] = {
 
 
 def queries() -> dict[str, Query]:
-    return dict(QUERIES)
+    return QUERIES | pdf_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return ORACLES | pdf_queries.ORACLES

@@ -62,7 +62,9 @@ FROM (SELECT CAST(p_partkey AS STRING) AS doc_id, 0 AS page_no, CAST(i AS INT) A
       FROM part {each:length(p_type) - length(replace(p_type, ' ', '')) + 1}) w
 """
 
-ALL = {"spans_lineitem": LINEITEM, "spans_documents": DOCUMENTS, "spans_statement": STATEMENT, "spans_chars": CHARS, "spans_words": WORDS}
+TRIMMED = f"SELECT doc_id, page_no, ord, trim(text) AS text, x, y, font_size, font_name FROM ({DOCUMENTS}) t WHERE trim(text) <> ''"
+
+ALL = {"spans_trimmed": TRIMMED, "spans_lineitem": LINEITEM, "spans_documents": DOCUMENTS, "spans_statement": STATEMENT, "spans_chars": CHARS, "spans_words": WORDS}
 _EACH = re.compile(r"\{each:([^}]*)\}")
 
 
