@@ -3,16 +3,17 @@
 Lines are split at newlines and normalised: lower case, runs of blanks to one
 space, trimmed. Equal normalised lines are one node. Each line gets a 64-bit
 SimHash of its distinct words (a word that repeats, such as the bars of a table
-row, would else outvote the rest and make unlike lines alike): the words are exploded and
-their hashes summed in packed byte lanes, eight longs holding the 64 bit counts of up
-to 127 words, so counting stays in generated code and partial sums are combined
-before the shuffle.
-
-Fingerprints within ``radius`` bits are found by the pigeonhole principle: one key
-for each choice of ``bands - radius`` bands, an equi-join on the key with the bit
-count as its condition. Candidate lines are verified by edit similarity
-``1 - levenshtein / longer length >= min_similarity``. Of each connected group of
-lines the first occurrence (smallest document id, then line number) stays.
+row, would else outvote the rest and make unlike lines alike): the words' hashes are
+summed in packed byte lanes, eight longs holding the 64 bit counts of up to 127 words,
+where the line lies; only longer lines are put together.
+
+Fingerprints within ``radius`` bits share, by the pigeonhole principle, one of the keys
+for each choice of ``bands - radius`` bands. Candidate lines are verified by edit
+similarity ``1 - levenshtein / longer length >= min_similarity``. A key's lines are
+first compared with a leader only, which settles groups of near copies in linear work;
+then the candidates still in different groups are joined on their keys and compared. Of
+each connected group of lines the first occurrence (smallest document id, then line
+number) stays.
 
 Defined cases: null text is one empty line; lines without words are layout and
 always stay; a document id that repeats gives line rows that repeat, all but the
@@ -26,10 +27,12 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagesift.llm.common import blanks_to_space, connected_components, join_checked, materialize, release
+from pagesift.llm.common import BLANKS, blanks_to_space, connected_components, join_checked, materialize, release
 
 RADIUS, BANDS, MIN_SIMILARITY = 3, 5, 0.8
 _LANES, _PART = 0x0101010101010101, 127
+#: Turns take the smallest fingerprint under these masks as leader.
+_TURN = (0x5555555555555555, 0x3333333333333333)
 
 
 def normalised(line: Column) -> Column:
@@ -56,14 +59,21 @@ def _majority(counts: list[Column], n: Column) -> Column:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, line_no, k (MD5 of the normalised line), chars, fp`` for every line
     that has a word, as a written table."""
-    lines = _split(docs, id_col, text_col).select("doc_id", "line_no", normalised(F.col("line")).alias("t")).where("t <> ''")
-    words = lines.select("doc_id", "line_no", F.unhex(F.md5("t")).alias("k"), F.length("t").alias("chars"), F.array_distinct(F.split("t", " ")).alias("w"))
-    words = words.select("doc_id", "line_no", "k", "chars", F.size("w").alias("n"), F.posexplode("w").alias("i", "w"))
-    words = words.withColumn("h", F.xxhash64("w")).drop("w")  # hashed once, not in each sum
-    h = F.col("h")
-    sums = [F.sum(F.shiftrightunsigned(h, s).bitwiseAND(F.lit(_LANES))).alias(f"s{s}") for s in range(8)]
-    parts = words.groupBy("doc_id", "line_no", "k", "chars", "n", F.expr(f"i div {_PART}").alias("part")).agg(*sums, F.count("*").alias("words"))
-    # a repeated document id adds its words twice or more; what matters is the share
+    # the raw line is tested, as a filter on the normalised one would normalise twice
+    worded = _split(docs, id_col, text_col).where(F.col("line").rlike(rf"[^{BLANKS}]"))
+    lines = worded.select("doc_id", "line_no", normalised(F.col("line")).alias("t"))
+    hashes = F.array_distinct(F.transform(F.split("t", " "), lambda w: F.xxhash64(w)))
+    words = lines.select("doc_id", "line_no", F.unhex(F.md5("t")).alias("k"), F.length("t").alias("chars"), hashes.alias("w")).withColumn("n", F.size("w"))
+    # nearly every line is one part, whose lanes are summed where it lies
+    starts = F.sequence(F.lit(1), F.greatest(F.col("n"), F.lit(1)), F.lit(_PART))
+    words = words.select("doc_id", "line_no", "k", "chars", "n", "w", F.explode(starts).alias("at")).withColumn("w", F.slice("w", F.col("at"), F.lit(_PART)))
+
+    def add(acc: Column, h: Column) -> Column:
+        return F.struct(*[(acc[f"s{s}"] + F.shiftrightunsigned(h, s).bitwiseAND(F.lit(_LANES))).alias(f"s{s}") for s in range(8)])
+
+    zero = F.struct(*[F.lit(0).cast("long").alias(f"s{s}") for s in range(8)])
+    parts = words.select("doc_id", "line_no", "k", "chars", "n", F.size("w").alias("words"), F.aggregate("w", zero, add).alias("s")).select("doc_id", "line_no", "k", "chars", "n", "words", "s.*")
+    # what matters is a bit's share, so a repeated document id changes nothing
     one = (F.col("n") <= _PART) & (F.col("words") == F.col("n"))
     names = [f"s{s}" for s in range(8)]
     counts = _bit_counts([F.col(x) for x in names])
@@ -77,50 +87,109 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return whole.unionByName(long)
 
 
-def candidate_fingerprints(nodes: DataFrame, radius: int = RADIUS, bands: int = BANDS) -> DataFrame:
-    """Pairs ``f1 < f2`` of the distinct ``fp`` of ``nodes`` within ``radius`` bits."""
+def _keyed(nodes: DataFrame, radius: int, bands: int) -> DataFrame:
+    """``fp, key``: a key for each choice of ``bands - radius`` bands."""
     edges = [round(64 * k / bands) for k in range(bands + 1)]
     keys = []
     for t, chosen in enumerate(combinations(range(bands), bands - radius)):
         mask = sum((1 << edges[k + 1]) - (1 << edges[k]) for k in chosen)
         mask -= (1 << 64) if mask >> 63 else 0
         keys.append(F.xxhash64(F.col("fp").bitwiseAND(F.lit(mask).cast("long")), F.lit(t)))
-    rows = nodes.select("fp", F.explode(F.array(*keys)).alias("key"))
-    a, b = rows.select("key", F.col("fp").alias("f1")), rows.select("key", F.col("fp").alias("f2"))
-    close = (F.col("f1") < F.col("f2")) & (F.bit_count(F.col("f1").bitwiseXOR(F.col("f2"))) <= radius)
-    return a.join(b, (a["key"] == b["key"]) & close).select("f1", "f2").distinct()
+    return nodes.select("fp", F.explode(F.array(*keys)).alias("key"))
 
 
-def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, bands: int = BANDS, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
-    """``doc_id, line_no, first_doc, first_line, kept`` for every line that has a word."""
-    lines = materialize(fingerprints(docs, id_col, text_col), "lines")
-    distinct = materialize(lines.groupBy("k", "chars", "fp").agg(F.min(F.struct("doc_id", "line_no")).alias("first")), "distinct-lines")
-    by_fp = distinct.groupBy("fp").agg(F.count("*").alias("lines"))
-    near = candidate_fingerprints(by_fp, radius, bands)
-    same = by_fp.where("lines > 1").select(F.col("fp").alias("f1"), F.col("fp").alias("f2"))
-    near = materialize(near.unionByName(same), "near-fingerprints")
+def _near(a: str, b: str, radius: int) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= radius
 
-    def side(n: int) -> DataFrame:
-        return distinct.select(F.col("fp").alias(f"f{n}"), F.col("k").alias(f"k{n}"), F.col("first").alias(f"a{n}"), F.col("chars").alias(f"n{n}"))
 
-    other = (F.col("f1") != F.col("f2")) | (F.col("k1") < F.col("k2"))
-    fits = F.least("n1", "n2") >= F.greatest("n1", "n2") * F.lit(min_similarity)
-    pairs = materialize(near.join(side(1), "f1").join(side(2), "f2").where(other & fits).select("a1", "a2"), "line-pairs")
+def _alike(min_similarity: float) -> tuple[Column, Column]:
+    """The edit limit, and whether it holds by ``_limit``: edit similarity of ``t1`` and ``t2``. The band doubles fourfold until it settles
+    the pair, so near copies cost their distance and not their limit."""
+    longest = F.greatest(F.length("t1"), F.length("t2"))
+    limit = F.floor(longest * F.lit(1 - min_similarity) + F.lit(1e-9)).cast("int")
+    if_open = F.expr("levenshtein(t1, t2, _limit) >= 0")
+    steps = F.when(F.expr("levenshtein(t1, t2, least(_limit, 8)) >= 0"), True).when(F.col("_limit") <= 8, False)
+    for band in (32, 128, 512):
+        steps = steps.when(F.expr(f"levenshtein(t1, t2, least(_limit, {band})) >= 0"), True).when(F.col("_limit") <= band, False)
+    return limit, steps.otherwise(if_open)
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, min_similarity: float) -> DataFrame:
+    """The written links ``a, b`` among ``pairs`` (``a1, a2``) by edit similarity. Texts of
+    just these lines are taken from ``docs`` (``doc_id, text``)."""
     wanted = materialize(pairs.select(F.col("a1").alias("a")).union(pairs.select("a2")).distinct().select(F.col("a.doc_id").alias("doc_id"), F.col("a.line_no").alias("line_no")), "wanted-lines")
-    of = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    texts = _split(of.join(F.broadcast(ids) if (ids := wanted.select("doc_id").distinct()).count() <= 300_000 else ids, "doc_id", "left_semi"), "doc_id", "text")
+    ids = wanted.select("doc_id").distinct()
+    texts = _split(docs.join(F.broadcast(ids) if ids.count() <= 300_000 else ids, "doc_id", "left_semi"), "doc_id", "text")
     texts = join_checked(texts, wanted, ["doc_id", "line_no"], bound=300_000)
     texts = materialize(texts.select(F.struct("doc_id", "line_no").alias("a"), normalised(F.col("line")).alias("t")), "line-texts")
     first, second = (texts.select(F.col("a").alias(f"a{n}"), F.col("t").alias(f"t{n}")) for n in (1, 2))
-    longest = F.greatest(F.length("t1"), F.length("t2"))
-    limit = F.floor(longest * F.lit(1 - min_similarity) + F.lit(1e-9)).cast("int")
-    checked = pairs.join(first, "a1").join(second, "a2").withColumn("limit", limit)
-    # a narrow band settles nearly all links; only what it leaves open needs the wide one
-    alike = F.expr("CASE WHEN levenshtein(t1, t2, least(limit, 24)) >= 0 THEN true WHEN limit <= 24 THEN false ELSE levenshtein(t1, t2, limit) >= 0 END")
-    links = checked.where(alike).select(F.col("a1").alias("a"), F.col("a2").alias("b"))
-    parts = connected_components(links, "lines")
-    release(near, wanted)
-    named = distinct.join(parts, F.col("first") == F.col("node"), "left").select("k", F.coalesce("component", "first").alias("stays"))
+    limit, alike = _alike(min_similarity)
+    checked = pairs.join(first, "a1").join(second, "a2").withColumn("_limit", limit)
+    out = materialize(checked.where(alike).select(F.col("a1").alias("a"), F.col("a2").alias("b")), "line-links")
+    release(wanted, texts)
+    return out
+
+
+def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, bands: int = BANDS, min_similarity: float = MIN_SIMILARITY, rounds: int = 2) -> DataFrame:
+    """``doc_id, line_no, first_doc, first_line, kept`` for every line that has a word.
+
+    ``rounds`` of linking to leaders come first; the last pass compares every pair of
+    candidates whose lines are still in different groups, so no link is lost.
+    """
+    lines = materialize(fingerprints(docs, id_col, text_col), "lines")
+    distinct = materialize(lines.groupBy("k", "chars", "fp").agg(F.min(F.struct("doc_id", "line_no")).alias("first")), "distinct-lines")
+    by_fp = materialize(distinct.groupBy("fp").agg(F.count("*").alias("lines")), "line-fingerprints")
+    rows = _keyed(by_fp, radius, bands)
+    shared = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("lead")).where("n > 1").drop("n")
+    rows = materialize(rows.join(shared, "key"), "line-keys")
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    # a group's number only tells groups apart that are candidates of each other
+    number = lambda c: F.xxhash64(c["doc_id"], c["line_no"])
+    groups = distinct.select("fp", "chars", F.col("first").alias("a"), number(F.col("first")).alias("g"))
+    links, parts = None, None
+
+    def side(n: int, of: DataFrame) -> DataFrame:
+        return of.select(F.col("fp").alias(f"f{n}"), F.col("a").alias(f"a{n}"), F.col("g").alias(f"g{n}"), F.col("chars").alias(f"n{n}"))
+
+    fits = F.least("n1", "n2") >= F.greatest("n1", "n2") * F.lit(min_similarity)
+    for turn in range(rounds + 1):
+        # what more than one group shares is open: fingerprints, and from the second turn keys
+        if turn == 0:
+            led, same = rows, by_fp.where("lines > 1").select(F.col("fp").alias("f1"), F.col("fp").alias("f2"))
+        else:
+            span = groups.groupBy("fp").agg(F.min("g").alias("lo"), F.max("g").alias("hi"))
+            same = span.where("lo <> hi").select(F.col("fp").alias("f1"), F.col("fp").alias("f2"))
+            other = F.col("fp").bitwiseXOR(F.lit(_TURN[turn % 2]))
+            several = rows.select("key", "fp").join(span, "fp").groupBy("key").agg(F.min("lo").alias("l"), F.max("hi").alias("h"), F.min(other).bitwiseXOR(F.lit(_TURN[turn % 2])).alias("lead"))
+            led = rows.select("key", "fp").join(several.where("l <> h").select("key", "lead"), "key")
+        if turn < rounds:
+            near = led.select(F.least("lead", "fp").alias("f1"), F.greatest("lead", "fp").alias("f2")).where((F.col("f1") != F.col("f2")) & _near("f1", "f2", radius)).distinct()
+            reps = groups.groupBy("fp").agg(F.min(F.struct("a", "g", "chars")).alias("m")).select("fp", "m.*")
+            across = near.join(side(1, reps), "f1").join(side(2, reps), "f2")
+            inside = same.join(side(1, reps), "f1").join(side(2, groups), "f2")
+            pairs = across.unionByName(inside)
+        else:
+            one, two = led.select("key", F.col("fp").alias("f1")), led.select("key", F.col("fp").alias("f2"))
+            near = one.join(two, "key").where((F.col("f1") < F.col("f2")) & _near("f1", "f2", radius)).select("f1", "f2").distinct()
+            pairs = near.unionByName(same).join(side(1, groups), "f1").join(side(2, groups), "f2")
+            pairs = pairs.where((F.col("f1") != F.col("f2")) | (F.col("a1") < F.col("a2")))
+        pairs = materialize(pairs.where((F.col("g1") != F.col("g2")) & fits).select("a1", "a2"), "line-pairs")
+        if not pairs.take(1):
+            if turn < rounds:
+                continue
+            break
+        new = _verified(source, pairs, min_similarity)
+        release(pairs)
+        links = new if links is None else links.unionByName(new)
+        parts = connected_components(links, "lines")
+        placed = distinct.join(parts, F.col("first") == F.col("node"), "left")
+        if turn < rounds:
+            groups = materialize(placed.select("fp", "chars", F.col("first").alias("a"), number(F.coalesce("component", "first")).alias("g")), "line-groups")
+    release(rows, by_fp)
+    stays = F.col("first")
+    named = distinct.select("k", stays.alias("stays"))
+    if parts is not None:
+        named = distinct.join(parts, stays == F.col("node"), "left").select("k", F.coalesce("component", "first").alias("stays"))
     out = lines.select("doc_id", "line_no", "k").join(named, "k")
     return out.select("doc_id", "line_no", F.col("stays.doc_id").alias("first_doc"), F.col("stays.line_no").alias("first_line"), F.struct("doc_id", "line_no").eqNullSafe(F.col("stays")).alias("kept"))
 
