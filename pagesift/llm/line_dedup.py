@@ -140,7 +140,9 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     distinct = materialize(lines.groupBy("k", "chars", "fp").agg(F.min(F.struct("doc_id", "line_no")).alias("first")), "distinct-lines")
     by_fp = materialize(distinct.groupBy("fp").agg(F.count("*").alias("lines")), "line-fingerprints")
     rows = _keyed(by_fp, radius, bands)
-    shared = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("lead")).where("n > 1").drop("n")
+    # a key of two fingerprints is settled here, which spares chance collisions the joins
+    shared = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("lead"), F.max("fp").alias("last"))
+    shared = shared.where((F.col("n") > 2) | ((F.col("n") == 2) & _near("lead", "last", radius))).select("key", "lead")
     rows = materialize(rows.join(shared, "key"), "line-keys")
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     # a group's number only tells groups apart that are candidates of each other
