@@ -147,7 +147,9 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     # a group's number only tells groups apart that are candidates of each other
     number = lambda c: F.xxhash64(c["doc_id"], c["line_no"])
-    groups = distinct.select("fp", "chars", F.col("first").alias("a"), number(F.col("first")).alias("g"))
+    active = materialize(rows.select("fp").union(by_fp.where("lines > 1").select("fp")).distinct(), "line-active")
+    nodes = materialize(join_checked(distinct, active, "fp", "left_semi").select("fp", "chars", F.col("first").alias("a")), "line-nodes")
+    groups = nodes.withColumn("g", number(F.col("a")))
     links, parts = None, None
 
     def side(n: int, of: DataFrame) -> DataFrame:
@@ -184,10 +186,10 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         release(pairs)
         links = new if links is None else links.unionByName(new)
         parts = connected_components(links, "lines")
-        placed = distinct.join(parts, F.col("first") == F.col("node"), "left")
         if turn < rounds:
-            groups = materialize(placed.select("fp", "chars", F.col("first").alias("a"), number(F.coalesce("component", "first")).alias("g")), "line-groups")
-    release(rows, by_fp)
+            placed = nodes.join(parts, F.col("a") == F.col("node"), "left")
+            groups = materialize(placed.select("fp", "chars", "a", number(F.coalesce("component", "a")).alias("g")), "line-groups")
+    release(rows, by_fp, active, nodes)
     stays = F.col("first")
     named = distinct.select("k", stays.alias("stays"))
     if parts is not None:
