@@ -15,6 +15,8 @@ from pagesift.llm.queries import _vocabulary, mix_documents
 MIN_SCORE = 0.1
 #: Share of the tokens that the mixture keeps; no document is taken twice.
 MIX_BUDGET = 0.9
+#: A helper column's name that no input column should have.
+_SHA = "_pipeline_text_sha256"
 
 
 def _kept(docs: DataFrame, ids: DataFrame, *also: str) -> DataFrame:
@@ -39,18 +41,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of equal texts; of rows that repeat an id and
     a text, one."""
-    decided = exact_dedup.exact_dedup(docs)
-    hashed = docs.withColumn("text_sha256", F.sha2(blanks_to_space(F.coalesce("text", F.lit(""))), 256))
-    kept = _kept(hashed, decided.where("kept"), "text_sha256")
-    repeated = decided.groupBy("doc_id", "text_sha256").agg(F.count("*").alias("rows")).where("rows > 1")
+    decided = exact_dedup.exact_dedup(docs).withColumnRenamed("text_sha256", _SHA)
+    hashed = docs.withColumn(_SHA, F.sha2(blanks_to_space(F.coalesce("text", F.lit(""))), 256))
+    kept = _kept(hashed, decided.where("kept"), _SHA)
+    repeated = decided.groupBy("doc_id", _SHA).agg(F.count("*").alias("rows")).where("rows > 1")
     if repeated.take(1):
-        kept = kept.dropDuplicates(["doc_id", "text_sha256"])
+        kept = kept.dropDuplicates(["doc_id", _SHA])
     return kept.select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document that names each SimHash component."""
-    return _kept(docs, simhash.simhash_components(docs).where("doc_id = component_id"))
+    """Keep the document that names each SimHash component. Rows that share an id,
+    null included, are one document and stay or go together."""
+    named = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    return _kept(docs, simhash.simhash_components(docs).where(named))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
