@@ -71,7 +71,7 @@ def _majority(counts: list[Column], n: Column) -> Column:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, line_no, k (MD5 of the normalised line), chars, fp`` for every line
-    that has a word, as a written table."""
+    that has a word, read from written tables."""
     # the raw line is tested, as a filter on the normalised one would normalise twice
     worded = _split(docs, id_col, text_col).where(F.col("line").rlike(rf"[^{BLANKS}]"))
     lines = worded.select("doc_id", "line_no", normalised(F.col("line")).alias("t"))
@@ -97,7 +97,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     whole = parts.where("fp is not null").select("doc_id", "line_no", "k", "chars", "fp")
     long = parts.where("fp is null").groupBy("doc_id", "line_no", "k", "chars").agg(*[F.sum(c).alias(f"c{p}") for p, c in enumerate(counts)], F.sum("words").alias("words"))
     long = long.select("doc_id", "line_no", "k", "chars", _majority([F.col(f"c{p}") for p in range(64)], F.col("words")).alias("fp"))
-    return whole.unionByName(long)
+    return whole.unionByName(materialize(long, "long-lines"))
 
 
 def _keyed(nodes: DataFrame, radius: int, bands: int) -> DataFrame:
@@ -149,7 +149,7 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``rounds`` of linking to leaders come first; the last pass compares every pair of
     candidates whose lines are still in different groups, so no link is lost.
     """
-    lines = materialize(fingerprints(docs, id_col, text_col), "lines")
+    lines = fingerprints(docs, id_col, text_col)
     distinct = materialize(lines.groupBy("k", "chars", "fp").agg(F.min(F.struct("doc_id", "line_no")).alias("first")), "distinct-lines")
     by_fp = materialize(distinct.groupBy("fp").agg(F.count("*").alias("lines")), "line-fingerprints")
     rows = _keyed(by_fp, radius, bands)
