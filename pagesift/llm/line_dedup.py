@@ -116,12 +116,19 @@ def _near(a: str, b: str, radius: int) -> Column:
 
 
 def _alike(min_similarity: float) -> tuple[Column, Column]:
-    """The edit limit, and whether it holds by ``_limit``: edit similarity of ``t1`` and ``t2``. The band doubles fourfold until it settles
-    the pair, so near copies cost their distance and not their limit."""
+    """The edit limit, and whether it holds by ``_limit``: edit similarity of ``t1`` and
+    ``t2``. Lines of as many words are alike if replacing the words that differ, place
+    by place, stays within the limit (no edit distance is larger than that). Else the
+    band doubles fourfold until it settles the pair, so near copies cost their distance
+    and not their limit."""
     longest = F.greatest(F.length("t1"), F.length("t2"))
     limit = F.floor(longest * F.lit(1 - min_similarity) + F.lit(1e-9)).cast("int")
+    words = [F.split(t, " ") for t in ("t1", "t2")]
+    replaced = F.zip_with(*words, lambda a, b: F.when(a == b, 0).otherwise(F.greatest(F.length(a), F.length(b))))
+    in_place = F.aggregate(replaced, F.lit(0), lambda n, x: n + x) <= F.col("_limit")
     if_open = F.expr("levenshtein(t1, t2, _limit) >= 0")
-    steps = F.when(F.expr("levenshtein(t1, t2, least(_limit, 8)) >= 0"), True).when(F.col("_limit") <= 8, False)
+    steps = F.when((F.size(words[0]) == F.size(words[1])) & in_place, True)
+    steps = steps.when(F.expr("levenshtein(t1, t2, least(_limit, 8)) >= 0"), True).when(F.col("_limit") <= 8, False)
     for band in (32, 128, 512):
         steps = steps.when(F.expr(f"levenshtein(t1, t2, least(_limit, {band})) >= 0"), True).when(F.col("_limit") <= band, False)
     return limit, steps.otherwise(if_open)
