@@ -199,16 +199,24 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
         for batch in batches:
             for q_ids, q_data, v_ids, v_data in zip(*batch.columns, strict=True):
                 q, v = np.frombuffer(q_ids.as_buffer(), "<i8"), np.frombuffer(v_ids.as_buffer(), "<i8")
+                # rows that repeat an id count once, with their best score, towards the best
+                own = np.argsort(v, kind="stable")
+                v = v[own]
+                one = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
+                repeats = len(one) < len(v)
+                ids = v[one] if repeats else np.frombuffer(v_ids.as_buffer(), "<i8")
                 a, b = np.frombuffer(q_data.as_buffer(), "<f8").reshape(-1, dim), np.frombuffer(v_data.as_buffer(), "<f8").reshape(-1, dim)
                 for at in range(0, len(q), 128):
                     s = scores(a[at : at + 128], b)
-                    s[q[at : at + 128, None] == v[None, :]] = -np.inf
-                    if len(v) > top:  # all rows as good as the last of the best, for ties
-                        floor = np.partition(s, len(v) - top, axis=1)[:, len(v) - top][:, None]
+                    if repeats:
+                        s = np.maximum.reduceat(s[:, own], one, axis=1)
+                    s[q[at : at + 128, None] == ids[None, :]] = -np.inf
+                    if len(ids) > top:  # all rows as good as the last of the best, for ties
+                        floor = np.partition(s, len(ids) - top, axis=1)[:, len(ids) - top][:, None]
                         i, j = np.nonzero((s >= floor) & (s > -np.inf))
                     else:
                         i, j = np.nonzero(s > -np.inf)
-                    held.append((q[at + i], v[j], s[i, j]))
+                    held.append((q[at + i], ids[j], s[i, j]))
                     rows_held += len(i)
                 if rows_held > 400_000:
                     held = [flush()]
