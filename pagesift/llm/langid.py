@@ -122,7 +122,7 @@ def held_out(id_col: str = "doc_id") -> Column:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_train: int = MAX_TRAIN, max_langs: int = MAX_LANGS, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
     """Fit on a bounded sample of the labelled rows outside the held-out fold.
     Languages and ids are counted without reading a text."""
-    labelled = docs.where(F.col(lang_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"))
+    labelled = docs.where(F.col(lang_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang")).distinct()
     langs = labelled.groupBy("_lang").agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "_lang").limit(max_langs).collect()
     if not langs:
         return fit(np.zeros((0, SPACE // 8), np.uint8), [])
@@ -134,6 +134,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     some = some.withColumn("_rank", F.row_number().over(Window.partitionBy("_lang").orderBy("_at", "_id"))).where(F.col("_rank") <= quota)
     picked = F.broadcast(some.select("_id", "_lang").distinct())  # at most max_train rows
     rows = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_own"), F.col(text_col).alias("_text")).join(picked, "_id").where("_own = _lang")
+    # of rows that repeat an id and language one is learned from, so every language has its quota
+    rows = rows.groupBy("_id", "_lang").agg(F.min(F.struct(F.xxhash64("_text"), "_text")).alias("_one")).select("_id", "_lang", F.col("_one._text").alias("_text"))
 
     def bitmap(batches):
         flags = np.zeros(SPACE, bool)
