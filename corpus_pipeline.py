@@ -10,8 +10,9 @@ from pagesift.llm import bpe_tree, exact_dedup, langid, simhash
 from pagesift.llm.common import blanks_to_space, materialize, release, table
 from pagesift.llm.queries import _vocabulary, mix_documents
 
-#: A document is rejected below this language score: the regressions of all
-#: languages then say "not mine" nearly as strongly as they can.
+#: A document is rejected below this language score. The outputs of L regressions sum
+#: to 2 - L, so the best score is at least 1 / L: this alone rejects no text with a
+#: letter while there are fewer than ten languages, and strange texts go by themselves.
 MIN_SCORE = 0.1
 #: Share of the tokens that the mixture keeps; no document is taken twice.
 MIX_BUDGET = 0.9
@@ -32,9 +33,10 @@ def _kept(docs: DataFrame, ids: DataFrame, *also: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a letter and those that no language claims."""
-    marked = langid.with_language(docs, langid.train(docs), "text", "_lang_pred", "_lang_score")
-    good = (F.col("_lang_pred") != langid.UNKNOWN) & (F.col("_lang_score") >= MIN_SCORE)
+    """Drop documents without a letter, those that no language claims and those that
+    are strange to the language that claims them."""
+    marked = langid.with_language(docs, langid.train(docs), "text", "_lang_pred", "_lang_score", "_lang_strange")
+    good = (F.col("_lang_pred") != langid.UNKNOWN) & (F.col("_lang_score") >= MIN_SCORE) & ~F.col("_lang_strange")
     return marked.where(good).select(*docs.columns)
 
 

@@ -15,6 +15,10 @@ The classifier is fitted on at most ``max_train`` labelled rows, an equal number
 for each of at most ``max_langs`` languages (the most frequent), chosen by a hash
 of the id. What reaches the driver is a presence bitmap of fixed size a row.
 
+A text is *strange* if too few of its features occur in two or more learned texts of its
+predicted language, so one mislabelled text vouches for nothing. The floor of a language
+is ``STRANGE`` of the share that 95 of 100 of its learned texts reach.
+
 Defined cases: null text, or text without a letter, is ``und`` with score 0; no
 labelled row at all makes every row ``und``; extra columns are not read.
 """
@@ -31,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MAX_TRAIN, MAX_LANGS, LANDMARKS, RIDGE = 1200, 200, 192, 1e-2
+STRANGE = 0.78
 UNKNOWN = "und"
 _TRIGRAMS = 1 << 17
 SPACE = 256 + 65536 + _TRIGRAMS
@@ -60,12 +65,18 @@ class Model:
     langs: list[str]
     weights: np.ndarray  # grams x languages
     bias: np.ndarray
+    known: np.ndarray | None = None  # languages x grams: in two learned texts or more
+    floor: np.ndarray | None = None  # least share of known grams by language
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Labels and scores between 0 and 1 of a batch."""
-        labels, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+        return self.judge(texts)[:2]
+
+    def judge(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Labels, scores and whether a text is strange to its label's language."""
+        labels, scores, strange = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
         if not self.langs:
-            return labels, scores
+            return labels, scores, strange
         flags = np.zeros(SPACE, bool)
         for at in range(0, len(texts), 256):
             rows = [i for i in range(at, min(at + 256, len(texts))) if texts[i] and _letter.search(texts[i])]
@@ -78,7 +89,11 @@ class Model:
             best = out.argmax(axis=1)
             for i, k, f in zip(rows, best, out.max(axis=1), strict=True):
                 labels[i], scores[i] = self.langs[k], min(1.0, max(0.0, (1.0 + float(f)) / 2))
-        return labels, scores
+            for i, k, g in zip(rows, best, grams, strict=True):
+                # two deviations of the count are allowed, as short texts have few features
+                n, p = len(g), 0.0 if self.floor is None else self.floor[k]
+                strange[i] = self.known is not None and self.known[k, g].sum() < n * p - 2 * np.sqrt(n * p * (1 - p))
+        return labels, scores, strange
 
 
 def fit(bitmaps: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
@@ -111,7 +126,17 @@ def fit(bitmaps: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridg
     for at in range(0, bitmaps.shape[1], step):
         bits = np.unpackbits(bitmaps[mark, at : at + step], axis=1, bitorder="little")
         weights[at * 8 : at * 8 + bits.shape[1]] = bits.T.astype(np.float64) @ alpha
-    return Model(langs, weights, solved[-1])
+    known, share = np.zeros((len(langs), SPACE), bool), np.zeros(len(y))
+    for at in range(0, bitmaps.shape[1], step):
+        bits = np.unpackbits(bitmaps[:, at : at + step], axis=1, bitorder="little")
+        for c in range(len(langs)):
+            own = bits[y == c]
+            times = own.sum(axis=0, dtype=np.int32)
+            known[c, at * 8 : at * 8 + bits.shape[1]] = times > 1
+            share[y == c] += own[:, times > 1].sum(axis=1, dtype=np.int32)
+    share /= np.maximum(size, 1)
+    floor = np.array([STRANGE * np.quantile(share[y == c], 0.05) for c in range(len(langs))])
+    return Model(langs, weights, solved[-1], known, floor)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -152,17 +177,23 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return fit(maps, [r["lang"] for r in got], landmarks, ridge)
 
 
-def with_language(df: DataFrame, model: Model, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
-    """``df`` with the prediction added; other columns pass through."""
+def with_language(df: DataFrame, model: Model, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score", strange_out: str | None = None) -> DataFrame:
+    """``df`` with the prediction added, and if named whether the text is strange; other
+    columns pass through."""
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(model)
     at = df.columns.index(text_col)
     schema = T.StructType([*df.schema.fields, T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())])
+    if strange_out:
+        schema = schema.add(strange_out, T.BooleanType())
 
     def add(batches):
         for batch in batches:
-            labels, scores = shared.value.predict(batch.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(labels, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, lang_out, score_out])
+            labels, scores, strange = shared.value.judge(batch.column(at).to_pylist())
+            more, names = [pa.array(labels, pa.string()), pa.array(scores, pa.float64())], [lang_out, score_out]
+            if strange_out:
+                more, names = [*more, pa.array(strange, pa.bool_())], [*names, strange_out]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, *names])
 
     return df.mapInArrow(add, schema)
 
