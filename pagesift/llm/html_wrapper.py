@@ -61,10 +61,15 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 class Node:
     """A block element; ``texts`` are (position, text) of its own blocks."""
 
-    __slots__ = ("label", "children", "texts", "repeated")
+    __slots__ = ("label", "children", "texts", "repeated", "single")
 
     def __init__(self, label: str):
         self.label, self.children, self.texts, self.repeated = label, [], [], False
+        self.single: list[list[tuple[int, str]]] = []  # texts of each member of a run
+
+
+def _members(node: Node) -> list[list[tuple[int, str]]]:
+    return node.single or ([node.texts] if node.texts else [])
 
 
 class Page:
@@ -189,7 +194,8 @@ def _collapsed(node: Node) -> Node:
         if merged and merged[-1].label == child.label:
             last = merged[-1]
             last.repeated = True
-            last.texts += child.texts
+            last.single = _members(last) + _members(child)
+            last.texts = last.texts + child.texts
             last.children = _collapse_children(last.children + child.children)
         else:
             merged.append(child)
@@ -203,7 +209,8 @@ def _collapse_children(children: list[Node]) -> list[Node]:
     for c in children:
         if (own := by.setdefault(c.label, c)) is not c:
             own.repeated = True
-            own.texts += c.texts
+            own.single = _members(own) + _members(c)
+            own.texts = own.texts + c.texts
             own.children = _collapse_children(own.children + c.children)
         elif c.label in by:
             c.repeated = True
@@ -322,17 +329,50 @@ def _constant_blocks(t: Template, node: Node, out: set[int]) -> None:
         _constant_blocks(t.children[i], node.children[j], out)
 
 
-def extract(source: str | None, template: Template | None = None) -> str:
-    """The main text of one page, blocks joined by newlines."""
-    if not source:
-        return ""
-    page = Page(source)
+def _hash(text: str) -> int:
+    from xxhash import xxh64_intdigest
+
+    n = xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
+    return n - (1 << 64) if n >> 63 else n
+
+
+def placed_texts(node: Node, path: str = "") -> list[tuple[str, str, list[int], bool]]:
+    """``path, text, blocks, repeated`` of every element with text; the path is that of
+    labels, and members of a run are apart."""
+    path, out, todo = "", [], [(node, path)]
+    while todo:
+        at, path = todo.pop()
+        path = f"{path}/{at.label}"
+        out += [(path, "\n".join(t for _, t in m), [i for i, _ in m], at.repeated) for m in _members(at)]
+        todo += [(c, path) for c in at.children]
+    return out
+
+
+def _chosen(page: Page) -> list[int]:
     chosen = [i for i, (_, inside, links) in enumerate(page.blocks) if (inside if page.articles else not links)]
     if page.articles and not chosen:
         chosen = [i for i, (_, _, links) in enumerate(page.blocks) if not links]
-    if template is not None and chosen:
+    return chosen
+
+
+def extract(source: str | None, template: Template | None = None, shared: set[int] | None = None) -> str:
+    """The main text of one page, blocks joined by newlines. ``shared`` has the hashes of
+    the placed texts that :func:`shared_texts` found constant: without it the template's
+    own counts decide, with it they must agree, and members of runs can be constant."""
+    if not source:
+        return ""
+    page = Page(source)
+    chosen = _chosen(page)
+    if (template is not None or shared) and chosen:
         fixed: set[int] = set()
-        _constant_blocks(template, page.root, fixed)
+        if template is not None:
+            _constant_blocks(template, page.root, fixed)
+        if shared is not None:
+            agreed: set[int] = set()
+            for path, text, blocks, repeated in placed_texts(page.root):
+                if (repeated or fixed.issuperset(blocks)) and _hash(f"{path}\0{text}") in shared:
+                    agreed.update(blocks)
+            fixed = agreed
         chosen = [i for i in chosen if i not in fixed] or chosen
     return "\n".join(page.blocks[i][0] for i in chosen)
 
@@ -384,29 +424,55 @@ def induce(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Da
     return materialize(whole.select("host", "template").mapInArrow(useful, "host string, template string"), "templates")
 
 
+def shared_texts(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """``host, shared``: hashes of the placed texts that ``CONSTANT_SHARE`` of a host's
+    different page contents with that place have. Pages of equal content count once, so
+    copies don't vote for themselves."""
+    rows = pages.select(F.regexp_extract(F.lower(F.coalesce(F.col(url_col), F.lit(""))), _HOST, 1).alias("host"), F.col(html_col).cast("string").alias("html")).where("host <> '' and html is not null")
+
+    def places(batches):
+        for batch in batches:
+            out: set[tuple] = set()
+            for host, source in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                page = Page(source.as_py())
+                content = _hash("\n".join(page.blocks[i][0] for i in _chosen(page)))
+                for path, text, _, _ in placed_texts(page.root):
+                    out |= {(host, _hash(path), _hash(f"{path}\0{text}"), content), (host, _hash(path), None, content)}
+            names = ["host", "path", "text", "content"]
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kinds[k]) for k in range(4)], names)
+
+    seen = rows.mapInArrow(places, "host string, path long, text long, content long").distinct()
+    counts = materialize(seen.groupBy("host", "path", "text").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_SUPPORT * CONSTANT_SHARE), "placed-texts")
+    whole = counts.where("text is null").where(F.col("n") >= MIN_SUPPORT).select("host", "path", F.col("n").alias("of"))
+    fixed = counts.where("text is not null").join(whole, ["host", "path"]).where(F.col("n") >= F.col("of") * CONSTANT_SHARE)
+    return materialize(fixed.groupBy("host").agg(F.sort_array(F.collect_set("text")).alias("shared")), "shared-texts")
+
+
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_chars: int = 16 << 20) -> DataFrame:
     """``page_id, url, text, n_chars`` for every page."""
-    templates = induce(pages, url_col, html_col)
+    # a host without shared texts has nothing constant, whatever its template says
+    templates = materialize(shared_texts(pages, url_col, html_col).join(induce(pages, url_col, html_col), "host", "left"), "host-templates")
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     rows = rows.withColumn("host", F.regexp_extract(F.lower(F.coalesce("url", F.lit(""))), _HOST, 1))
-    size = templates.agg(F.coalesce(F.sum(F.length("template") + 100), F.lit(0))).first()[0]
+    size = templates.agg(F.coalesce(F.sum(F.coalesce(F.length("template"), F.lit(0)) + 8 * F.size("shared") + 100), F.lit(0))).first()[0]
     if size:
         rows = rows.join(F.broadcast(templates) if size <= broadcast_chars else templates, "host", "left")
     else:
-        rows = rows.withColumn("template", F.lit(None).cast("string"))
+        rows = rows.withColumn("template", F.lit(None).cast("string")).withColumn("shared", F.lit(None).cast("array<long>"))
 
     def run(batches):
         known: dict[str, Template] = {}
         for batch in batches:
             out = []
-            for source, raw in zip(batch.column(2), batch.column(3), strict=True):
-                raw = raw.as_py()
+            for source, raw, shared in zip(batch.column(2), batch.column(3), batch.column(4), strict=True):
+                raw, shared = raw.as_py(), set(shared.as_py() or ())
                 if raw is not None and raw not in known:
                     if len(known) > 500:
                         known.clear()
                     known[raw] = Template.load(json.loads(raw))
-                out.append(extract(source.as_py(), known.get(raw)))
+                out.append(extract(source.as_py(), known.get(raw), shared))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kind = rows.schema["page_id"].dataType.simpleString()
-    return rows.select("page_id", "url", "html", "template").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    return rows.select("page_id", "url", "html", "template", "shared").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
