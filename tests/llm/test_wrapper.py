@@ -17,3 +17,8 @@ def test_constant_members_of_a_run_are_template(spark):
     assert notice == {k: "\n".join(f"part {k} {i}" for i in range(1 + k % 4)) for k in range(12)}
 
 
+def test_copies_of_an_article_do_not_vote_for_themselves(spark):
+    page = lambda k: f"<article><h1>T{k}</h1><p>a {k}</p><h2>S{k}</h2><p>b {k}</p><p>c {k}</p></article>"
+    got = texts(spark, [page(0)] * 30 + [page(k) for k in range(1, 8)])
+    assert all(got[k] == "T0\na 0\nS0\nb 0\nc 0" for k in range(30))
+    assert got[33] == "T4\na 4\nS4\nb 4\nc 4"
