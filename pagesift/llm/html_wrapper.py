@@ -53,6 +53,8 @@ _ROLES = set("navigation banner contentinfo complementary search form dialog ale
 _NAMES = re.compile(
     r"(?:^|[^a-z])(?:ads?|adverts?|advertisements?|advertising|adsense|adslot|adbox|banners?|sponsor(?:ed|s)?|promos?|promoted|cookies?|consent|gdpr|notices?|notifications?|alerts?|nav|navbar|navigation|menus?|topbar|masthead|breadcrumbs?|sidebars?|sidenav|widgets?|footers?|share|sharing|social|related|recommend(?:ed|ations?)|newsletter|subscribe|subscription|popups?|modal|overlay|paywall|comments?|commentlist|disqus|respond|replies|reply|login|signin|signup|register|search|searchbox|copyright|disclaimer|toolbar|pagination|pager|skiplink|outbrain|taboola)(?:$|[^a-z])"
 )
+#: Names of what can be longer than the page's own text and is never it.
+_NEVER = re.compile(r"(?:^|[^a-z])(?:comments?|commentlist|disqus|respond|replies|reply|related|recommend(?:ed|ations?)|ads?|cookies?|consent|gdpr|outbrain|taboola)(?:$|[^a-z])")
 _HEADER = re.compile(r"(?:^|[^a-z])(?:headers?|siteheader|pageheader)(?:$|[^a-z])")
 _BLANK = re.compile(r"\s+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
@@ -77,6 +79,8 @@ class Page:
 
     def __init__(self, source: str):
         self.blocks: list[tuple[str, bool, bool]] = []  # text, in an article, mostly links
+        self.hidden: list[int] = []  # of each block, the name rule that hides it, or 0
+        self.never: list[bool] = [True]  # of each name rule, whether it is final
         self.articles = False
         root = Node("#")
         # open elements: tag, node of the nearest block, skipped, in article, is a block, in link
@@ -89,7 +93,8 @@ class Page:
             if words:
                 text = _BLANK.sub(" ", "".join(words)).strip()
                 if text:
-                    _, node, _, inside, _, _ = stack[-1]
+                    _, node, skip, inside, _, _ = stack[-1]
+                    self.hidden.append(int(skip))
                     node.texts.append((len(self.blocks), text))
                     self.blocks.append((text, inside, linked >= 0.8 * len(text)))
                 words, linked = [], 0
@@ -97,7 +102,7 @@ class Page:
         def say(raw):
             nonlocal linked
             top = stack[-1]
-            if not top[2] and raw:
+            if top[2] is not True and raw:
                 words.append(entities.unescape(raw))
                 if top[5]:
                     linked += len(raw.strip())
@@ -148,14 +153,21 @@ class Page:
                 given = {k.lower(): a or b or c or "" for k, a, b, c in _ATTR.findall(attrs)}
                 name = f"{given.get('class', '')} {given.get('id', '')}".lower().strip()
                 role = given.get("role", "").lower()
-                if not skip and tag not in ("html", "body", "article", "main"):
-                    skip = role in _ROLES or "hidden" in given or given.get("aria-hidden") == "true" or "style" in given and bool(_HIDDEN.search(given["style"].lower())) or bool(name) and (bool(_NAMES.search(name.replace("_", "-"))) or not inside and bool(_HEADER.search(name)))
-                if role in ("main", "article") and not skip:
+                if skip is not True and tag not in ("html", "body", "article", "main"):
+                    gone = role in _ROLES or "hidden" in given or given.get("aria-hidden") == "true" or "style" in given and bool(_HIDDEN.search(given["style"].lower()))
+                    named = not gone and not skip and bool(name) and (bool(_NAMES.search(name.replace("_", "-"))) or not inside and bool(_HEADER.search(name)))
+                    if gone or named and not block:
+                        skip = True
+                    elif named:  # a block's text is kept, for a name alone can be wrong
+                        skip = len(self.never)
+                        self.never.append(bool(_NEVER.search(name.replace("_", "-"))))
+                if role in ("main", "article") and skip is not True:
                     inside = True
-            skip = skip or tag in _SKIP or tag == "header" and not inside
-            if tag in ("article", "main") and not skip:
+            if tag in _SKIP or tag == "header" and not inside:
+                skip = True
+            if tag in ("article", "main") and skip is not True:
                 inside = True
-            self.articles |= inside
+            self.articles |= inside and not skip
             if tag in _RAW and not attrs.endswith("/"):
                 end = re.compile(rf"</{tag}\s*[^>]*>", re.I).search(source, at)
                 at = end.end() if end else n
@@ -336,10 +348,10 @@ def _hash(text: str) -> int:
     return n - (1 << 64) if n >> 63 else n
 
 
-def placed_texts(node: Node, path: str = "") -> list[tuple[str, str, list[int], bool]]:
+def placed_texts(node: Node) -> list[tuple[str, str, list[int], bool]]:
     """``path, text, blocks, repeated`` of every element with text; the path is that of
     labels, and members of a run are apart."""
-    path, out, todo = "", [], [(node, path)]
+    out, todo = [], [(node, "")]
     while todo:
         at, path = todo.pop()
         path = f"{path}/{at.label}"
@@ -348,10 +360,27 @@ def placed_texts(node: Node, path: str = "") -> list[tuple[str, str, list[int],
     return out
 
 
-def _chosen(page: Page) -> list[int]:
-    chosen = [i for i, (_, inside, links) in enumerate(page.blocks) if (inside if page.articles else not links)]
+def _chosen(page: Page, fixed: set[int] | None = None) -> list[int]:
+    """The blocks to take. What a name alone hides is taken if no article is marked outside
+    and else the page would be empty, or if it is most of the text that isn't ``fixed``
+    (of an article marked in it, with or without a template)."""
+    chosen = [i for i, (_, inside, links) in enumerate(page.blocks) if not page.hidden[i] and (inside if page.articles else not links)]
     if page.articles and not chosen:
-        chosen = [i for i, (_, _, links) in enumerate(page.blocks) if not links]
+        chosen = [i for i, (_, _, links) in enumerate(page.blocks) if not links and not page.hidden[i]]
+    if not page.articles and any(page.hidden):
+        size: dict[int, int] = {}
+        for i, (text, _, links) in enumerate(page.blocks):
+            if not links and not page.never[page.hidden[i]] or not page.hidden[i] and not links:
+                size[page.hidden[i]] = size.get(page.hidden[i], 0) + (0 if fixed and i in fixed else len(text))
+        rule = max((r for r in size if r), key=lambda r: size[r], default=0)
+        if rule and size[rule]:
+            own = [i for i, (_, _, links) in enumerate(page.blocks) if page.hidden[i] == rule and not links]
+            marked = [i for i in own if page.blocks[i][1]]
+            most = 2 * size[rule] > sum(size.values())
+            if marked and (most or not chosen):
+                chosen = marked
+            elif most and fixed or not chosen:
+                chosen = sorted(chosen + own)
     return chosen
 
 
@@ -362,9 +391,8 @@ def extract(source: str | None, template: Template | None = None, shared: set[in
     if not source:
         return ""
     page = Page(source)
-    chosen = _chosen(page)
-    if (template is not None or shared) and chosen:
-        fixed: set[int] = set()
+    fixed: set[int] = set()
+    if template is not None or shared:
         if template is not None:
             _constant_blocks(template, page.root, fixed)
         if shared is not None:
@@ -373,7 +401,8 @@ def extract(source: str | None, template: Template | None = None, shared: set[in
                 if (repeated or fixed.issuperset(blocks)) and _hash(f"{path}\0{text}") in shared:
                     agreed.update(blocks)
             fixed = agreed
-        chosen = [i for i in chosen if i not in fixed] or chosen
+    chosen = _chosen(page, fixed)
+    chosen = [i for i in chosen if i not in fixed] or chosen
     return "\n".join(page.blocks[i][0] for i in chosen)
 
 
@@ -435,7 +464,10 @@ def shared_texts(pages: DataFrame, url_col: str = "url", html_col: str = "html")
             out: set[tuple] = set()
             for host, source in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 page = Page(source.as_py())
-                content = _hash("\n".join(page.blocks[i][0] for i in _chosen(page)))
+                # the marked article's text or, without one, what no final rule hides
+                own = [i for i, b in enumerate(page.blocks) if not (page.hidden[i] and page.never[page.hidden[i]])]
+                own = [i for i in own if page.blocks[i][1]] or own
+                content = _hash("\n".join(page.blocks[i][0] for i in own))
                 for path, text, _, _ in placed_texts(page.root):
                     out |= {(host, _hash(path), _hash(f"{path}\0{text}"), content), (host, _hash(path), None, content)}
             names = ["host", "path", "text", "content"]

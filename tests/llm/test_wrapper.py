@@ -22,3 +22,14 @@ def test_copies_of_an_article_do_not_vote_for_themselves(spark):
     got = texts(spark, [page(0)] * 30 + [page(k) for k in range(1, 8)])
     assert all(got[k] == "T0\na 0\nS0\nb 0\nc 0" for k in range(30))
     assert got[33] == "T4\na 4\nS4\nb 4\nc 4"
+
+
+def test_a_name_alone_does_not_hide_the_text_of_a_page(spark):
+    story = "<p>one long story</p><p>and its end</p>"
+    for name in ("content has-sidebar", "layout-no-sidebar", "page search-results"):
+        for inner in (story, f"<article>{story}</article>"):
+            page = f'<body><div>top</div><div class="{name}">{inner}</div></body>'
+            got = texts(spark, [page.replace("one", f"story {k}").replace("its", f"the {k}th") for k in range(8)], name[:3] + ".example")
+            assert got == {k: f"story {k} long story\nand the {k}th end" for k in range(8)}
+    kept = html_wrapper.extract('<body><p>short</p><div id="comments"><article><p>a very long rant of a reader</p></article></div><div class="cookie-notice"><p>we use many cookies here</p></div></body>')
+    assert kept == "short"
