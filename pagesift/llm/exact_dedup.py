@@ -1,20 +1,22 @@
 """Exact deduplication by deterministic block naming (DataFrame operations only).
 
-A document's normalised text is cut into fixed-size blocks. The distinct blocks
-of the corpus are sorted and numbered; then adjacent pairs of numbers are sorted
-and numbered again, level by level, until one number is left for each document
-(Karp, Miller and Rosenberg's naming). Two documents get the same final name if
-and only if their texts are equal: names come from comparing contents, never
+The UTF-8 bytes of a document's normalised text are cut into fixed-size blocks. The
+distinct blocks of the corpus are sorted and numbered; then adjacent pairs of numbers
+are sorted and numbered again, level by level, until one number is left for each
+document (Karp, Miller and Rosenberg's naming). Two documents get the same final name
+if and only if their texts are equal: names come from comparing contents, never
 from trusting a hash.
 
-The block table travels once. Distinct blocks are found by grouping on a 64-bit
-hash *and* the content; wherever a hash has one content only, the hash alone
-stands for it in later joins, and hashes with several contents (practically
-none) are joined by content.
+Blocks are sorted by a 64-bit hash, then by content. A hash that one block of the
+corpus has needs no content: only blocks whose hash occurs again are read a second time
+and compared (least and greatest content of each hash), so contents travel for copies
+alone, and a group of copies is one row a task before it does. A hash with
+several contents (practically none) is numbered by content.
 
 Defined cases: null text counts as empty; equal rows that repeat a ``doc_id``
 count as copies, of which one is kept; a null ``doc_id`` never is the row that
-stays unless its group has no other; extra columns are not read.
+stays unless its group has no other; a text of any length is many blocks, none larger
+than ``block_bytes``; an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -24,17 +26,36 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagesift.llm.common import blanks_to_space, materialize, release
+from pagesift.llm.common import blanks_to_space, join_checked, materialize, release
 
-BLOCK_CHARS = 8192
+BLOCK_BYTES = 8192
 
 
-def _blocks(docs: DataFrame, id_col: str, text_col: str, block_chars: int, hashed: Callable[[Column], Column]) -> DataFrame:
-    text = docs.select(F.col(id_col).alias("doc_id"), blanks_to_space(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
-    cut = F.regexp_extract_all("t", F.lit(f"(?s).{{1,{block_chars}}}"), F.lit(0))
-    cut = text.select("doc_id", F.unhex(F.sha2("t", 256)).alias("sha"), F.when(F.col("t") == "", F.array(F.lit(""))).otherwise(cut).alias("cut"))
-    rows = cut.select("doc_id", "sha", F.size("cut").cast("long").alias("n"), F.posexplode("cut").alias("i", "block"))
-    return rows.withColumn("i", F.col("i").cast("long")).withColumn("h", hashed(F.col("block")))
+def _normal(text_col: str) -> Column:
+    return blanks_to_space(F.coalesce(F.col(text_col), F.lit(""))).cast("binary")
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once however often ``body`` uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _cut(text: Column, block_bytes: int, each: Callable[[Column], Column]) -> Column:
+    """``each`` of the blocks of a binary ``text``; an empty text is one empty block."""
+    starts = F.sequence(F.lit(1), F.greatest(F.octet_length(text), F.lit(1)), F.lit(block_bytes))
+    return F.transform(starts, lambda at: each(F.substring(text, at, F.lit(block_bytes))))
+
+
+def _documents(docs: DataFrame, id_col: str, text_col: str, block_bytes: int, hashed: Callable[[Column], Column]) -> DataFrame:
+    """``doc_id, sha, hs``: the text's SHA-256 and the hashes of its blocks."""
+    own = _let(_normal(text_col), lambda t: F.struct(F.unhex(F.sha2(t, 256)).alias("sha"), _cut(t, block_bytes, hashed).alias("hs")))
+    return docs.select(F.col(id_col).alias("doc_id"), own.alias("own")).select("doc_id", "own.*")
+
+
+def _contents(docs: DataFrame, text_col: str, block_bytes: int, hashed: Callable[[Column], Column]) -> DataFrame:
+    """``h, block`` of every block."""
+    rows = _let(_normal(text_col), lambda t: _cut(t, block_bytes, lambda b: _let(b, lambda c: F.struct(hashed(c).alias("h"), c.alias("block")))))
+    return docs.select(F.explode(rows).alias("b")).select("b.*")
 
 
 def _named(keys: DataFrame, *by: str) -> DataFrame:
@@ -42,27 +63,32 @@ def _named(keys: DataFrame, *by: str) -> DataFrame:
     return keys.orderBy(*by).withColumn("name", F.monotonically_increasing_id())
 
 
-def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS, hashed: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
+def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, hashed: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """``doc_id, sha (binary SHA-256), level, name, m``: one row for each distinct
     pair of id and normalised text, ``m`` counting the rows that have it.
     ``(level, name)`` is the document's identity."""
-    blocks = _blocks(docs, id_col, text_col, block_chars, hashed)
-    contents = blocks.select("h", "block").distinct()
-    per_hash = materialize(contents.groupBy("h").agg(F.count("*").alias("contents")), "block-hashes")
-    shared = per_hash.where("contents > 1").select("h")
-    keys = per_hash.where("contents = 1").select("h", F.lit(None).cast("string").alias("block"))
-    clash = bool(shared.take(1))
+    at = ["doc_id", "sha", "n", "i"]
+    whole = materialize(_documents(docs, id_col, text_col, block_bytes, hashed), "block-hashes")
+    rows = whole.select("doc_id", "sha", F.size("hs").cast("long").alias("n"), F.posexplode("hs").alias("i", "h")).withColumn("i", F.col("i").cast("long"))
+    per_hash = materialize(rows.groupBy("h").agg(F.count("*").alias("blocks")), "hashes")
+    again = per_hash.where("blocks > 1").select("h")
+    contents = join_checked(_contents(docs, text_col, block_bytes, hashed), again, "h", "left_semi")
+    compared = materialize(contents.groupBy("h").agg(F.min("block").alias("least"), F.max("block").alias("most")), "compared")
+    several = compared.where("least <> most").select("h")
+    keys = per_hash.select("h", F.lit(None).cast("binary").alias("block"))
+    clash = bool(several.take(1))
     if clash:
-        keys = keys.unionByName(contents.join(shared, "h"))
+        keys = keys.join(several, "h", "left_anti").unionByName(contents.join(several, "h", "left_semi").distinct())
     names = materialize(_named(keys, "h", "block"), "block-names")
-    plain = names.where("block is null").select("h", "name")
-    at = ["doc_id", "sha", "n", "i"]
-    rows = blocks.select(*at, "h").join(plain, "h").select(*at, "name")
+    named = rows.join(names.where("block is null").select("h", "name"), "h").select(*at, "name")
     if clash:
-        exact = names.where("block is not null")
-        rows = rows.unionByName(blocks.join(exact, ["h", "block"]).select(*at, "name"))
-    rows = materialize(rows.withColumn("m", F.lit(1).cast("long")), "blocks")
-    release(per_hash, names)
+        # a document's own blocks again, told apart by content
+        placed = _let(_normal(text_col), lambda t: F.struct(F.unhex(F.sha2(t, 256)).alias("sha"), _cut(t, block_bytes, lambda b: b).alias("bs")))
+        placed = docs.select(F.col(id_col).alias("doc_id"), placed.alias("own")).select("doc_id", "own.sha", F.size("own.bs").cast("long").alias("n"), F.posexplode("own.bs").alias("i", "block"))
+        placed = placed.withColumn("i", F.col("i").cast("long")).withColumn("h", hashed(F.col("block")))
+        named = named.unionByName(placed.join(names.where("block is not null"), ["h", "block"]).select(*at, "name"))
+    rows = materialize(named.withColumn("m", F.lit(1).cast("long")), "blocks")
+    release(whole, per_hash, compared, names)
 
     deepest = rows.agg(F.max("n")).first()[0] or 1
     done = [rows.where("n = 1").groupBy("doc_id", "sha", "name").agg(F.sum("m").alias("m")).withColumn("level", F.lit(0))]

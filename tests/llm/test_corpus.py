@@ -30,10 +30,10 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-@pytest.mark.parametrize("how", [{}, {"block_chars": 3, "hashed": lambda c: F.xxhash64(c) % 5}])
+@pytest.mark.parametrize("how", [{}, {"block_bytes": 3, "hashed": lambda c: F.xxhash64(c) % 5}])
 def test_exact_dedup(spark, how):
     texts = [*ODD, "x" * 20000, "x" * 20000, "x" * 19999 + "y"]
-    got = {r["doc_id"]: r for r in exact_dedup.exact_dedup(docs(spark, texts), **({**how, "block_chars": 700} if how else how)).collect()}
+    got = {r["doc_id"]: r for r in exact_dedup.exact_dedup(docs(spark, texts), **({**how, "block_bytes": 700} if how else how)).collect()}
     norm = [re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for t in texts]
     for i, t in enumerate(norm):
         assert (got[i]["keep_id"], got[i]["group_size"], got[i]["kept"]) == (norm.index(t), norm.count(t), norm.index(t) == i)
