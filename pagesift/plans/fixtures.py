@@ -34,26 +34,12 @@ FROM (
 ) q
 """
 
+#: 25 orders a page, the further ones on further pages.
 STATEMENT = """
 SELECT CAST(c_custkey AS STRING) AS doc_id, 0 AS page_no, 0 AS ord, c_name AS text, CAST(50 AS DOUBLE) AS x, CAST(760 AS DOUBLE) AS y, CAST(20 AS DOUBLE) AS font_size, 'F2' AS font_name FROM customer
 UNION ALL
 SELECT CAST(c_custkey AS STRING), 0, 1, concat('Segment ', c_mktsegment, ' balance ', CAST(CAST(round(c_acctbal * 100) AS BIGINT) AS STRING)), CAST(50 AS DOUBLE), CAST(730 AS DOUBLE), CAST(12 AS DOUBLE), 'F1' FROM customer
 UNION ALL
-SELECT CAST(o_custkey AS STRING), 0, CAST(2 + 4 * (rn - 1) + k AS INT),
-       CASE k WHEN 0 THEN CAST(o_orderkey AS STRING) WHEN 1 THEN concat(o_orderstatus, '|x') WHEN 2 THEN CAST(CAST(round(o_totalprice * 100) AS BIGINT) AS STRING) ELSE o_orderpriority END,
-       CAST(50 + 120 * k + o_orderkey % 3 AS DOUBLE), CAST(700 - 15 * rn AS DOUBLE), CAST(10 AS DOUBLE), 'F1'
-FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders) o
-CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) c
-WHERE rn <= 25
-"""
-
-#: What the queries read: 25 orders a page, the further ones on further pages. ``STATEMENT``,
-#: from which the oracle SQL is made, still ends at a customer's 25th order.
-STATEMENT_PAGES = """
-SELECT CAST(c_custkey AS STRING) AS doc_id, 0 AS page_no, 0 AS ord, c_name AS text, CAST(50 AS DOUBLE) AS x, CAST(760 AS DOUBLE) AS y, CAST(20 AS DOUBLE) AS font_size, 'F2' AS font_name FROM customer
-UNION ALL
-SELECT CAST(c_custkey AS STRING), 0, 1, concat('Segment ', c_mktsegment, ' balance ', CAST(CAST(round(c_acctbal * 100) AS BIGINT) AS STRING)), CAST(50 AS DOUBLE), CAST(730 AS DOUBLE), CAST(12 AS DOUBLE), 'F1' FROM customer
-UNION ALL
 SELECT CAST(o_custkey AS STRING), CAST((rn - 1) // 25 AS INT), CAST(2 + 4 * (rn - 1) + k AS INT),
        CASE k WHEN 0 THEN CAST(o_orderkey AS STRING) WHEN 1 THEN concat(o_orderstatus, '|x') WHEN 2 THEN CAST(CAST(round(o_totalprice * 100) AS BIGINT) AS STRING) ELSE o_orderpriority END,
        CAST(50 + 120 * k + o_orderkey % 3 AS DOUBLE), CAST(685 - 15 * ((rn - 1) % 25) AS DOUBLE), CAST(10 AS DOUBLE), 'F1'
@@ -93,7 +79,7 @@ def duck_sql(sql: str) -> str:
 
 def spans(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The fixture's flat span rows."""
-    sql = STATEMENT_PAGES if name == "spans_statement" else ALL[name]
+    sql = ALL[name]
     for t in ("lineitem", "documents", "customer", "orders", "part"):
         if re.search(rf"\bFROM {t}\b", sql):
             spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(f"_fixture_{t}")

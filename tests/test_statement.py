@@ -1,5 +1,7 @@
 """Statements of a customer with more orders than a page holds."""
 
+from collections import Counter
+
 import pytest
 
 from pagesift.plans import catalogue
@@ -24,3 +26,15 @@ def test_orders_past_a_page_are_on_further_pages(spark, hot, name):
     text = " ".join(str(r) for r in got)
     if name not in ("row_slice", "classify_spans"):  # some rows of a page; elements without a table's text
         assert all(str(1000 + i) in text for i in range(60))
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_sql_agrees_on_further_pages(spark, hot, name):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for t in ("customer", "orders"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{hot}/{t}.parquet/*.parquet'")
+    want = con.execute(catalogue.oracle_sql()[name])
+    names = [c[0] for c in want.description]
+    rows = catalogue.queries()[name](spark, hot).select(*names).collect()
+    assert Counter(map(tuple, rows)) == Counter(want.fetchall())
