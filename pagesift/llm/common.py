@@ -7,6 +7,7 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,10 +94,17 @@ def join_checked(df: DataFrame, small: DataFrame, on, how: str = "inner", bound:
     return df.join(F.broadcast(small) if rows <= bound else small, on, how)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once however often ``body`` uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def blanks_to_space(c: Column) -> Column:
-    """Every run of ASCII blanks becomes one space. The pattern matches only runs
-    that change, so ordinary prose is scanned without a replacement a word."""
-    return F.regexp_replace(c, rf"[\x09-\x0D][{BLANKS}]*|\x20[{BLANKS}]+", " ")
+    """Every run of ASCII blanks becomes one space. Single bytes are replaced first; a
+    pattern runs only over texts that have two spaces together."""
+    for blank in "\t\n\x0b\f\r":
+        c = F.replace(c, F.lit(blank), F.lit(" "))
+    return F.when(F.contains(c, F.lit("  ")), F.regexp_replace(c, " {2,}", " ")).otherwise(c)
 
 
 def connected_components(edges: DataFrame, label: str = "cc", max_rounds: int = 60) -> DataFrame:
@@ -106,8 +114,9 @@ def connected_components(edges: DataFrame, label: str = "cc", max_rounds: int =
     ``edges`` has columns ``a`` and ``b`` of one orderable type. Returns ``node``,
     ``component`` (the component's smallest node) for every node that has an
     edge to another node. Nothing but two numbers a round reaches the driver;
-    every round is written to the shared folder. Hub nodes are dealt with by
-    aggregation before the join and by skew-splitting of the join.
+    every round is written to the shared folder. A hub's neighbours are aggregated before
+    any join, and what is joined to them is a written table, so that a join at a hub can
+    be split over tasks.
     """
     stars = materialize(
         edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
@@ -121,14 +130,14 @@ def connected_components(edges: DataFrame, label: str = "cc", max_rounds: int =
     for _ in range(max_rounds if known[0] else 0):
         both = stars.select(F.col("v").alias("n"), F.col("u").alias("m")).union(stars.select(F.col("u").alias("n"), F.col("v").alias("m")))
         least = both.groupBy("n").agg(F.min("m").alias("m"))
-        least = least.select(F.col("n").alias("v"), F.least("n", "m").alias("w"))
+        least = materialize(least.select(F.col("n").alias("v"), F.least("n", "m").alias("w")), f"{label}-least")
         large = stars.join(least, "v").select("u", F.col("w").alias("v")).where(F.col("u") != F.col("v")).distinct()
         roots = large.groupBy("u").agg(F.min("v").alias("w"))
         small = large.join(roots, "u").select(F.explode(F.array(F.struct("v", "w"), F.struct(F.col("u").alias("v"), "w"))).alias("e"))
         small = small.select(F.greatest("e.v", "e.w").alias("u"), F.least("e.v", "e.w").alias("v")).where(F.col("u") != F.col("v")).distinct()
         after = materialize(small, f"{label}-round")
         now = state(after)
-        release(stars)
+        release(stars, least)
         stars = after
         if now == known:
             break

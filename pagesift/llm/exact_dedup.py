@@ -26,7 +26,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagesift.llm.common import blanks_to_space, join_checked, materialize, release
+from pagesift.llm.common import blanks_to_space, join_checked, let, materialize, release
 
 BLOCK_BYTES = 8192
 
@@ -35,11 +35,6 @@ def _normal(text_col: str) -> Column:
     return blanks_to_space(F.coalesce(F.col(text_col), F.lit(""))).cast("binary")
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of ``value``, which is computed once however often ``body`` uses it."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _cut(text: Column, block_bytes: int, each: Callable[[Column], Column]) -> Column:
     """``each`` of the blocks of a binary ``text``; an empty text is one empty block."""
     starts = F.sequence(F.lit(1), F.greatest(F.octet_length(text), F.lit(1)), F.lit(block_bytes))
@@ -48,13 +43,13 @@ def _cut(text: Column, block_bytes: int, each: Callable[[Column], Column]) -> Co
 
 def _documents(docs: DataFrame, id_col: str, text_col: str, block_bytes: int, hashed: Callable[[Column], Column]) -> DataFrame:
     """``doc_id, sha, hs``: the text's SHA-256 and the hashes of its blocks."""
-    own = _let(_normal(text_col), lambda t: F.struct(F.unhex(F.sha2(t, 256)).alias("sha"), _cut(t, block_bytes, hashed).alias("hs")))
+    own = let(_normal(text_col), lambda t: F.struct(F.unhex(F.sha2(t, 256)).alias("sha"), _cut(t, block_bytes, hashed).alias("hs")))
     return docs.select(F.col(id_col).alias("doc_id"), own.alias("own")).select("doc_id", "own.*")
 
 
 def _contents(docs: DataFrame, text_col: str, block_bytes: int, hashed: Callable[[Column], Column]) -> DataFrame:
     """``h, block`` of every block."""
-    rows = _let(_normal(text_col), lambda t: _cut(t, block_bytes, lambda b: _let(b, lambda c: F.struct(hashed(c).alias("h"), c.alias("block")))))
+    rows = let(_normal(text_col), lambda t: _cut(t, block_bytes, lambda b: let(b, lambda c: F.struct(hashed(c).alias("h"), c.alias("block")))))
     return docs.select(F.explode(rows).alias("b")).select("b.*")
 
 
@@ -83,7 +78,7 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = rows.join(names.where("block is null").select("h", "name"), "h").select(*at, "name")
     if clash:
         # a document's own blocks again, told apart by content
-        placed = _let(_normal(text_col), lambda t: F.struct(F.unhex(F.sha2(t, 256)).alias("sha"), _cut(t, block_bytes, lambda b: b).alias("bs")))
+        placed = let(_normal(text_col), lambda t: F.struct(F.unhex(F.sha2(t, 256)).alias("sha"), _cut(t, block_bytes, lambda b: b).alias("bs")))
         placed = docs.select(F.col(id_col).alias("doc_id"), placed.alias("own")).select("doc_id", "own.sha", F.size("own.bs").cast("long").alias("n"), F.posexplode("own.bs").alias("i", "block"))
         placed = placed.withColumn("i", F.col("i").cast("long")).withColumn("h", hashed(F.col("block")))
         named = named.unionByName(placed.join(names.where("block is not null"), ["h", "block"]).select(*at, "name"))

@@ -1,38 +1,46 @@
 """Fuzzy line deduplication (DataFrame operations only).
 
 Lines are split at newlines and normalised: lower case, runs of blanks to one
-space, trimmed. Equal normalised lines are one node. Each line gets a 64-bit
-SimHash of its distinct words (a word that repeats, such as the bars of a table
-row, would else outvote the rest and make unlike lines alike): the words' hashes are
-summed in packed byte lanes, eight longs holding the 64 bit counts of up to 127 words,
-where the line lies; only longer lines are put together.
+space, trimmed. Equal normalised lines are one node, known by its MD5 and never by its
+place. Each node gets a 64-bit SimHash of its distinct words (a word that repeats, such as
+the bars of a table row, would else outvote the rest); a bit that half of the words have is
+decided by a rehash of the smallest hash, else lines of two words would have few bits set
+and meet by chance. Hashes are summed in packed byte lanes, eight longs holding the 64 bit
+counts of up to 127 words.
 
 Fingerprints within ``radius`` bits share, by the pigeonhole principle, one of the keys
-for each choice of ``bands - radius`` bands. Candidate lines are verified by edit
-similarity ``1 - levenshtein / longer length >= min_similarity``. A key's lines are
-first compared with a leader only, which settles groups of near copies in linear work;
-then the candidates still in different groups are joined on their keys and compared. Of
-each connected group of lines the first occurrence (smallest document id, then line
-number) stays.
+for each choice of ``bands - radius`` bands. Lines that share a key are candidates, the
+further ones too, up to ``reach`` bits: none within ``radius`` is missed, and many beyond
+are found (nearly all candidates within ``reach`` are alike, nearly none past it).
+Candidates are verified by edit similarity ``1 - levenshtein / longer length >=
+min_similarity``. Of each connected group of lines the first occurrence (smallest document
+id, then line number) stays.
+
+A key of two or three fingerprints gives its pairs out of one aggregation. Larger keys are
+first compared with two leaders, which settles groups of near copies in linear work;
+then the lines still in different groups are joined on their keys and compared. There are
+more ``bands``, hence longer keys, the more lines there are, so that a key has few by chance.
 
 Defined cases: null text is one empty line; lines without words are layout and
-always stay; a document id that repeats gives line rows that repeat, all but the
-first of equal occurrences sharing its decision; extra columns are not read.
+always stay; a null id is an id like any other, but its lines are first only if a group
+has no other; lines of documents that share an id are told apart by their content, and
+rows that repeat an id, place and line share their decision; a line of any length is
+compared whole, its hashes summed in slices; an empty table gives no rows; extra columns
+are not read.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagesift.llm.common import BLANKS, blanks_to_space, connected_components, join_checked, materialize, release
+from pagesift.llm.common import BLANKS, blanks_to_space, connected_components, join_checked, let, materialize, release
 
-RADIUS, BANDS, MIN_SIMILARITY = 3, 5, 0.8
+RADIUS, REACH, MIN_SIMILARITY = 3, 9, 0.8
 _LANES, _WIDE, _PART = 0x0101010101010101, 0x0001000100010001, 127
-#: Turns take the smallest fingerprint under these masks as leader.
-_TURN = (0x5555555555555555, 0x3333333333333333)
 
 
 def normalised(line: Column) -> Column:
@@ -44,185 +52,239 @@ def _split(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(lines).alias("line_no", "line"))
 
 
-def _bit_counts(sums: list[Column]) -> list[Column]:
-    """The count of each of the 64 bits out of the packed lanes."""
-    return [F.shiftrightunsigned(sums[p % 8], p // 8 * 8).bitwiseAND(F.lit(255)) for p in range(64)]
+def _lanes(hashes: Column) -> Column:
+    """The bit counts of up to ``_PART`` hashes: eight longs of eight byte lanes."""
 
+    def add(acc: Column, h: Column) -> Column:
+        return F.struct(*[(acc[f"s{s}"] + (F.shiftrightunsigned(h, s) if s else h).bitwiseAND(F.lit(_LANES))).alias(f"s{s}") for s in range(8)])
+
+    return F.aggregate(hashes, F.struct(*[F.lit(0).cast("long").alias(f"s{s}") for s in range(8)]), add)
 
-def _packed_majority(sums: list[Column], n: Column) -> Column:
-    """The bits set in over half of ``n <= _PART`` words, compared four lanes at once: a
-    lane, widened to 16 bits, reaches 128 with ``127 - n div 2`` added just if its
-    count is over ``n / 2``. One expression a bit would outgrow what the JVM compiles."""
+
+def _packed_majority(sums: Column, n: Column, tie: Column) -> Column:
+    """The bits set in over half of ``n <= _PART`` hashes, or in half and in ``tie``, compared
+    four lanes at once: a lane, widened to 16 bits, reaches 128 with ``127 - n div 2`` and
+    the tie of an even ``n`` added. One expression a bit would outgrow what the JVM compiles."""
     missing = (F.lit(_PART) - F.shiftright(F.least(n, F.lit(_PART)), 1)) * F.lit(_WIDE)
+    tie = F.when(n % 2 == 0, tie).otherwise(F.lit(0).cast("long"))
     out = F.lit(0).cast("long")
-    for s, lanes in enumerate(sums):
+    for s in range(8):
         for half in (0, 8):
-            over = F.shiftrightunsigned(lanes, half).bitwiseAND(F.lit(_WIDE * 255)) + missing
+            over = F.shiftrightunsigned(sums[f"s{s}"], half).bitwiseAND(F.lit(_WIDE * 255)) + F.shiftrightunsigned(tie, s + half).bitwiseAND(F.lit(_WIDE)) + missing
             out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned(over, 7).bitwiseAND(F.lit(_WIDE)), s + half))
     return out
 
 
-def _majority(counts: list[Column], n: Column) -> Column:
-    out = F.lit(0).cast("long")
-    for p, c in enumerate(counts):
-        out = out.bitwiseOR(F.when(c * 2 > n, F.lit((1 << p) - ((1 << 64) if p == 63 else 0)).cast("long")).otherwise(F.lit(0).cast("long")))
-    return out
+def _wide_majority(hashes: Column, tie: Column) -> Column:
+    """The same of any number of hashes, whose slices are counted one after the other."""
+    slices = F.transform(F.sequence(F.lit(1), F.size(hashes), F.lit(_PART)), lambda at: _lanes(F.slice(hashes, at, F.lit(_PART))))
+    bits = [F.lit(0).cast("long").alias(f"c{p}") for p in range(64)]
+
+    def add(acc: Column, lanes: Column) -> Column:
+        return F.struct(*[(acc[f"c{p}"] + F.shiftrightunsigned(lanes[f"s{p % 8}"], p // 8 * 8).bitwiseAND(F.lit(255))).alias(f"c{p}") for p in range(64)])
+
+    def majority(counts: Column) -> Column:
+        out = F.lit(0).cast("long")
+        for p in range(64):
+            bit = F.lit((1 << p) - ((1 << 64) if p == 63 else 0)).cast("long")
+            more = counts[f"c{p}"] * 2 + F.shiftrightunsigned(tie, p).bitwiseAND(F.lit(1)) > F.size(hashes)
+            out = out.bitwiseOR(F.when(more, bit).otherwise(F.lit(0).cast("long")))
+        return out
+
+    return F.aggregate(slices, F.struct(*bits), add, majority)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, line_no, k (MD5 of the normalised line), chars, fp`` for every line
-    that has a word, read from written tables."""
+    that has a word."""
     # the raw line is tested, as a filter on the normalised one would normalise twice
     worded = _split(docs, id_col, text_col).where(F.col("line").rlike(rf"[^{BLANKS}]"))
     lines = worded.select("doc_id", "line_no", normalised(F.col("line")).alias("t"))
     hashes = F.array_distinct(F.transform(F.split("t", " "), lambda w: F.xxhash64(w)))
-    words = lines.select("doc_id", "line_no", F.unhex(F.md5("t")).alias("k"), F.length("t").alias("chars"), hashes.alias("w")).withColumn("n", F.size("w"))
-    # nearly every line is one part, whose lanes are summed where it lies
-    starts = F.sequence(F.lit(1), F.greatest(F.col("n"), F.lit(1)), F.lit(_PART))
-    words = words.select("doc_id", "line_no", "k", "chars", "n", "w", F.explode(starts).alias("at")).withColumn("w", F.slice("w", F.col("at"), F.lit(_PART)))
+    lines = lines.select("doc_id", "line_no", _key("t").alias("k"), F.length("t").alias("chars"), hashes.alias("h"))
+    lines = lines.withColumn("n", F.size("h")).withColumn("s", F.when(F.col("n") <= _PART, _lanes(F.col("h")))).withColumn("tie", F.xxhash64(F.array_min("h")))
+    fp = F.when(F.col("n") <= _PART, _packed_majority(F.col("s"), F.col("n"), F.col("tie"))).otherwise(_wide_majority(F.col("h"), F.col("tie")))
+    return lines.select("doc_id", "line_no", "k", "chars", fp.alias("fp"))
 
-    def add(acc: Column, h: Column) -> Column:
-        return F.struct(*[(acc[f"s{s}"] + F.shiftrightunsigned(h, s).bitwiseAND(F.lit(_LANES))).alias(f"s{s}") for s in range(8)])
-
-    zero = F.struct(*[F.lit(0).cast("long").alias(f"s{s}") for s in range(8)])
-    parts = words.select("doc_id", "line_no", "k", "chars", "n", F.size("w").alias("words"), F.aggregate("w", zero, add).alias("s")).select("doc_id", "line_no", "k", "chars", "n", "words", "s.*")
-    # what matters is a bit's share, so a repeated document id changes nothing
-    one = (F.col("n") <= _PART) & (F.col("words") == F.col("n"))
-    names = [f"s{s}" for s in range(8)]
-    counts = _bit_counts([F.col(x) for x in names])
-    parts = materialize(
-        parts.select("doc_id", "line_no", "k", "chars", F.when(one, _packed_majority([F.col(x) for x in names], F.col("n"))).alias("fp"), F.when(~one, F.col("words")).alias("words"), *[F.when(~one, F.col(x)).alias(x) for x in names]),
-        "line-parts",
-    )
-    whole = parts.where("fp is not null").select("doc_id", "line_no", "k", "chars", "fp")
-    long = parts.where("fp is null").groupBy("doc_id", "line_no", "k", "chars").agg(*[F.sum(c).alias(f"c{p}") for p, c in enumerate(counts)], F.sum("words").alias("words"))
-    long = long.select("doc_id", "line_no", "k", "chars", _majority([F.col(f"c{p}") for p in range(64)], F.col("words")).alias("fp"))
-    return whole.unionByName(materialize(long, "long-lines"))
-
-
-def _keyed(nodes: DataFrame, radius: int, bands: int) -> DataFrame:
-    """``fp, key``: a key for each choice of ``bands - radius`` bands."""
+
+def _key(text: str) -> Column:
+    return F.unhex(F.md5(text))
+
+
+def bands_for(lines: int, radius: int = RADIUS) -> int:
+    """The bands that cost least: a row for each choice of bands, and the lines that meet
+    in a key by chance, of which sixteen are compared in the time of a row."""
+    return min(range(radius + 2, radius + 8), key=lambda b: comb(b, radius) * (1 + lines / 2 ** (64 * (b - radius) / b + 4)))
+
+
+def masks_for(radius: int, bands: int) -> list[int]:
+    """The bits of each choice of ``bands - radius`` bands, as signed longs."""
     edges = [round(64 * k / bands) for k in range(bands + 1)]
-    keys = []
-    for t, chosen in enumerate(combinations(range(bands), bands - radius)):
-        mask = sum((1 << edges[k + 1]) - (1 << edges[k]) for k in chosen)
-        mask -= (1 << 64) if mask >> 63 else 0
-        keys.append(F.xxhash64(F.col("fp").bitwiseAND(F.lit(mask).cast("long")), F.lit(t)))
-    return nodes.select("fp", F.explode(F.array(*keys)).alias("key"))
-
-
-def _near(a: str, b: str, radius: int) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= radius
-
-
-def _alike(min_similarity: float) -> tuple[Column, Column]:
-    """The edit limit, and whether it holds by ``_limit``: edit similarity of ``t1`` and
-    ``t2``. Lines of as many words are alike if replacing the words that differ, place
-    by place, stays within the limit (no edit distance is larger than that). Else the
-    band doubles fourfold until it settles the pair, so near copies cost their distance
-    and not their limit."""
-    longest = F.greatest(F.length("t1"), F.length("t2"))
-    limit = F.floor(longest * F.lit(1 - min_similarity) + F.lit(1e-9)).cast("int")
-    words = [F.split(t, " ") for t in ("t1", "t2")]
-    replaced = F.zip_with(*words, lambda a, b: F.when(a == b, 0).otherwise(F.greatest(F.length(a), F.length(b))))
-    in_place = F.aggregate(replaced, F.lit(0), lambda n, x: n + x) <= F.col("_limit")
-    if_open = F.expr("levenshtein(t1, t2, _limit) >= 0")
-    steps = F.when((F.size(words[0]) == F.size(words[1])) & in_place, True)
-    steps = steps.when(F.expr("levenshtein(t1, t2, least(_limit, 8)) >= 0"), True).when(F.col("_limit") <= 8, False)
-    for band in (32, 128, 512):
-        steps = steps.when(F.expr(f"levenshtein(t1, t2, least(_limit, {band})) >= 0"), True).when(F.col("_limit") <= band, False)
-    return limit, steps.otherwise(if_open)
-
-
-def _verified(docs: DataFrame, pairs: DataFrame, min_similarity: float) -> DataFrame:
-    """The written links ``a, b`` among ``pairs`` (``a1, a2``) by edit similarity. Texts of
-    just these lines are taken from ``docs`` (``doc_id, text``)."""
-    wanted = materialize(pairs.select(F.col("a1").alias("a")).union(pairs.select("a2")).distinct().select(F.col("a.doc_id").alias("doc_id"), F.col("a.line_no").alias("line_no")), "wanted-lines")
-    ids = wanted.select("doc_id").distinct()
-    texts = _split(docs.join(F.broadcast(ids) if ids.count() <= 300_000 else ids, "doc_id", "left_semi"), "doc_id", "text")
-    texts = join_checked(texts, wanted, ["doc_id", "line_no"], bound=300_000)
-    texts = materialize(texts.select(F.struct("doc_id", "line_no").alias("a"), normalised(F.col("line")).alias("t")), "line-texts")
-    first, second = (texts.select(F.col("a").alias(f"a{n}"), F.col("t").alias(f"t{n}")) for n in (1, 2))
-    limit, alike = _alike(min_similarity)
-    checked = pairs.join(first, "a1").join(second, "a2").withColumn("_limit", limit)
-    out = materialize(checked.where(alike).select(F.col("a1").alias("a"), F.col("a2").alias("b")), "line-links")
-    release(wanted, texts)
+    masks = [sum((1 << edges[k + 1]) - (1 << edges[k]) for k in chosen) for chosen in combinations(range(bands), bands - radius)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
+def _keyed(fps: DataFrame, radius: int, bands: int) -> DataFrame:
+    """``fp, key``: a key for each choice of bands."""
+    keys = [F.xxhash64(F.col("fp").bitwiseAND(F.lit(m).cast("long")), F.lit(t)) for t, m in enumerate(masks_for(radius, bands))]
+    return fps.select("fp", F.explode(F.array(*keys)).alias("key"))
+
+
+def _near(a, b, reach: int) -> Column:
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))
+    return F.bit_count(a.bitwiseXOR(b)) <= reach
+
+
+def _ordered(a, b) -> Column:
+    return F.struct(F.least(a, b).alias("f1"), F.greatest(a, b).alias("f2"))
+
+
+def _replaced(one: Column, two: Column) -> Column:
+    """What it takes at most to replace the words that differ, place by place; words past the
+    shorter line's end go with their blank."""
+    length = lambda w: F.coalesce(F.length(w), F.lit(0))
+    blank = lambda a, b: F.when(a.isNull() | b.isNull(), 1).otherwise(0)
+    cost = lambda a, b: F.when(a.eqNullSafe(b), 0).otherwise(F.greatest(length(a), length(b)) + blank(a, b))
+    return F.aggregate(F.zip_with(one, two, cost), F.lit(0), lambda n, x: n + x)
+
+
+def _alike(min_similarity: float) -> Column:
+    """Whether ``t1`` and ``t2`` have the edit similarity. The words that both end or begin
+    with are cut off, which changes no edit distance. Lines are alike if replacing
+    the words left, place by place from the back or from the front, stays within the limit
+    (no distance is larger than that). Else an edit distance decides, first within a band as
+    wide as the words are long that only one line has: near copies cost their distance and
+    not their limit."""
+    limit = F.floor(F.greatest(F.length("t1"), F.length("t2")) * F.lit(1 - min_similarity) + F.lit(1e-9)).cast("int")
+
+    def cut(w: Column) -> Column:
+        """Both lists from the first place where they differ, turned round."""
+        at = F.array_position(F.zip_with(w["a"], w["b"], lambda x, y: ~x.eqNullSafe(y)), F.lit(True)).cast("int")
+        rest = lambda words: F.reverse(F.slice(words, at, F.size(words)))
+        return F.struct(rest(w["a"]).alias("a"), rest(w["b"]).alias("b"))
+
+    def banded(t: Column) -> Column:
+        within = lambda n: F.call_function("levenshtein", t["a"], t["b"], n) >= 0
+        first = F.least(t["n"], t["band"])
+        return F.when(F.abs(F.length(t["a"]) - F.length(t["b"])) > t["n"], False).when(within(first), True).otherwise((t["n"] > first) & within(t["n"]))
+
+    def decide(m: Column) -> Column:
+        easy = (_replaced(m["a"], m["b"]) <= m["n"]) | (_replaced(F.reverse(m["a"]), F.reverse(m["b"])) <= m["n"])
+        own = lambda a, b: F.length(F.array_join(F.array_except(a, b), " "))
+        band = F.greatest(own(m["a"], m["b"]), own(m["b"], m["a"])) + 6
+        texts = F.struct(m["n"].alias("n"), band.alias("band"), F.array_join(m["a"], " ").alias("a"), F.array_join(m["b"], " ").alias("b"))
+        # if one has no word left, the other's words and their blank are the distance
+        return F.when(easy, True).when((F.size(m["a"]) == 0) | (F.size(m["b"]) == 0), False).otherwise(let(texts, banded))
+
+    words = F.struct(F.split("t1", " ").alias("a"), F.split("t2", " ").alias("b"))
+    return let(let(let(words, cut), cut), lambda w: let(F.struct(limit.alias("n"), w["a"].alias("a"), w["b"].alias("b")), decide))
+
+
+def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, min_similarity: float) -> DataFrame:
+    """The written links ``a, b`` among ``pairs`` (``a1, a2`` of ``nodes``) by edit similarity.
+    The texts of just these lines are read again from ``docs`` (``doc_id, text``);
+    documents that share an id are told apart by the line's MD5."""
+    active = materialize(pairs.select(F.col("a1").alias("id")).union(pairs.select("a2")).distinct(), "line-active")
+    wanted = join_checked(nodes, active, "id", "left_semi", bound=1_000_000).select("id", "k", F.col("first.doc_id").alias("_doc"), F.col("first.line_no").alias("_line"))
+    wanted = materialize(wanted, "line-wanted")
+    ids = wanted.select("_doc").distinct()
+    some = docs.join(F.broadcast(ids) if ids.count() <= 300_000 else ids, F.col("doc_id").eqNullSafe(F.col("_doc")), "left_semi")
+    rows = join_checked(_split(some, "doc_id", "text"), wanted, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("line_no") == F.col("_line")), bound=300_000)
+    rows = rows.select("id", "k", normalised(F.col("line")).alias("t")).where(_key("t") == F.col("k"))
+    # rows that repeat an id and a line give their text more than once
+    texts = materialize(rows.groupBy("id").agg(F.any_value("t").alias("t")), "line-texts")
+    first, second = (texts.select(F.col("id").alias(f"a{n}"), F.col("t").alias(f"t{n}")) for n in (1, 2))
+    checked = pairs.join(first, "a1").join(second, "a2").where(_alike(min_similarity))
+    out = materialize(checked.select(F.col("a1").alias("a"), F.col("a2").alias("b")), "line-links")
+    release(active, wanted, texts)
     return out
 
 
-def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, bands: int = BANDS, min_similarity: float = MIN_SIMILARITY, rounds: int = 2) -> DataFrame:
-    """``doc_id, line_no, first_doc, first_line, kept`` for every line that has a word.
+def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, reach: int = REACH, bands: int | None = None, min_similarity: float = MIN_SIMILARITY, lead: bool = True) -> DataFrame:
+    """``doc_id, line_no, line_md5, first_doc, first_line, kept`` for every line that has a
+    word.
 
-    ``rounds`` of linking to leaders come first; the last pass compares every pair of
-    candidates whose lines are still in different groups, so no link is lost.
+    Comparing large keys with their leaders (``lead``) comes first; the last pass compares
+    every pair of candidates whose lines are not known to be connected, so no link is lost.
     """
-    lines = fingerprints(docs, id_col, text_col)
-    distinct = materialize(lines.groupBy("k", "chars", "fp").agg(F.min(F.struct("doc_id", "line_no")).alias("first")), "distinct-lines")
-    by_fp = materialize(distinct.groupBy("fp").agg(F.count("*").alias("lines")), "line-fingerprints")
-    rows = _keyed(by_fp, radius, bands)
-    # a key of two fingerprints is settled here, which spares chance collisions the joins
-    shared = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("lead"), F.max("fp").alias("last"))
-    shared = shared.where((F.col("n") > 2) | ((F.col("n") == 2) & _near("lead", "last", radius))).select("key", "lead")
-    rows = materialize(rows.join(shared, "key"), "line-keys")
+    lines = materialize(fingerprints(docs, id_col, text_col), "lines")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no")
+    nodes = lines.groupBy("k").agg(F.any_value("chars").alias("chars"), F.any_value("fp").alias("fp"), F.min(place).alias("first"))
+    nodes = materialize(nodes.withColumn("id", F.monotonically_increasing_id()), "line-nodes")
+    # a fingerprint's lines, and the one that stands for them
+    by_fp = materialize(nodes.groupBy("fp").agg(F.count("*").alias("lines"), F.min("id").alias("id")), "line-fingerprints")
+    keyed = _keyed(by_fp, radius, bands_for(by_fp.count(), radius) if bands is None else bands)
+    least, most, middle = F.col("a"), F.col("c"), F.col("a").bitwiseXOR(F.col("c")).bitwiseXOR(F.col("x"))
+    some = _near(least, most, reach) | (F.col("n") == 3) & (_near(least, middle, reach) | _near(middle, most, reach))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("c"), F.bit_xor("fp").alias("x"))
+    shared = materialize(shared.where((F.col("n") > 1) & ((F.col("n") > 3) | some)), "line-keys")
+    large = shared.where("n > 3")
+    rows = materialize(join_checked(keyed, large.select("key", "a", "c"), "key", bound=500_000), "line-rows") if large.take(1) else None
+    pairs = F.when(F.col("n") == 2, F.array(_ordered(least, most))).otherwise(F.array(_ordered(least, most), _ordered(least, middle), _ordered(middle, most)))
+    pairs = shared.where("n <= 3").select(F.explode(pairs).alias("p")).select("p.*")
+    small = materialize(pairs.where(_near("f1", "f2", reach)).distinct(), "line-small")
+
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    # a group's number only tells groups apart that are candidates of each other
-    number = lambda c: F.xxhash64(c["doc_id"], c["line_no"])
-    active = materialize(rows.select("fp").union(by_fp.where("lines > 1").select("fp")).distinct(), "line-active")
-    nodes = materialize(join_checked(distinct, active, "fp", "left_semi").select("fp", "chars", F.col("first").alias("a")), "line-nodes")
-    groups = nodes.withColumn("g", number(F.col("a")))
-    links, parts = None, None
-
-    def side(n: int, of: DataFrame) -> DataFrame:
-        return of.select(F.col("fp").alias(f"f{n}"), F.col("a").alias(f"a{n}"), F.col("g").alias(f"g{n}"), F.col("chars").alias(f"n{n}"))
-
-    fits = F.least("n1", "n2") >= F.greatest("n1", "n2") * F.lit(min_similarity)
-    for turn in range(rounds + 1):
-        # what more than one group shares is open: fingerprints, and from the second turn keys
-        if turn == 0:
-            led, same = rows, by_fp.where("lines > 1").select(F.col("fp").alias("f1"), F.col("fp").alias("f2"))
-        else:
-            span = groups.groupBy("fp").agg(F.min("g").alias("lo"), F.max("g").alias("hi"))
-            same = span.where("lo <> hi").select(F.col("fp").alias("f1"), F.col("fp").alias("f2"))
-            other = F.col("fp").bitwiseXOR(F.lit(_TURN[turn % 2]))
-            several = rows.select("key", "fp").join(span, "fp").groupBy("key").agg(F.min("lo").alias("l"), F.max("hi").alias("h"), F.min(other).bitwiseXOR(F.lit(_TURN[turn % 2])).alias("lead"))
-            led = rows.select("key", "fp").join(several.where("l <> h").select("key", "lead"), "key")
-        if turn < rounds:
-            near = led.select(F.least("lead", "fp").alias("f1"), F.greatest("lead", "fp").alias("f2")).where((F.col("f1") != F.col("f2")) & _near("f1", "f2", radius)).distinct()
-            reps = groups.groupBy("fp").agg(F.min(F.struct("a", "g", "chars")).alias("m")).select("fp", "m.*")
-            across = near.join(side(1, reps), "f1").join(side(2, reps), "f2")
-            inside = same.join(side(1, reps), "f1").join(side(2, groups), "f2")
-            pairs = across.unionByName(inside)
-        else:
-            one, two = led.select("key", F.col("fp").alias("f1")), led.select("key", F.col("fp").alias("f2"))
-            near = one.join(two, "key").where((F.col("f1") < F.col("f2")) & _near("f1", "f2", radius)).select("f1", "f2").distinct()
-            pairs = near.unionByName(same).join(side(1, groups), "f1").join(side(2, groups), "f2")
-            pairs = pairs.where((F.col("f1") != F.col("f2")) | (F.col("a1") < F.col("a2")))
-        pairs = materialize(pairs.where((F.col("g1") != F.col("g2")) & fits).select("a1", "a2"), "line-pairs")
-        if not pairs.take(1):
-            if turn < rounds:
-                continue
-            break
-        new = _verified(source, pairs, min_similarity)
+    several = materialize(by_fp.where("lines > 1").select("fp"), "line-several")
+    active = small.select(F.col("f1").alias("fp")).union(small.select("f2")).union(several)
+    active = materialize((active if rows is None else active.union(rows.select("fp"))).distinct(), "line-active")
+    alone = materialize(join_checked(nodes, active, "fp", "left_semi", bound=1_000_000).select("id", "fp", "chars"), "line-candidates")
+    pair = F.when(F.col("f1") != F.col("f2"), _near("f1", "f2", reach)).otherwise(F.col("a1") < F.col("a2"))
+
+    def lines_of(fps: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
+        """Pairs of lines ``a1, a2`` not known to be connected, of pairs ``f1, f2``."""
+        one, two = (of.select(F.col("fp").alias(f"f{n}"), F.col("id").alias(f"a{n}"), F.col("g").alias(f"g{n}"), F.col("chars").alias(f"n{n}")) for n, of in ((1, first), (2, second)))
+        fits = F.least("n1", "n2") >= F.greatest("n1", "n2") * F.lit(min_similarity)
+        return fps.distinct().join(one, "f1").join(two, "f2").where(pair & (F.col("g1") != F.col("g2")) & fits).select("a1", "a2")
+
+    same = several.select(F.col("fp").alias("f1"), F.col("fp").alias("f2"))
+    links = None
+    if lead:
+        # one line for each fingerprint with one partner, the others of a fingerprint with it,
+        # and two leaders a key
+        every = alone.withColumn("g", F.col("id"))
+        reps = every.join(by_fp.select("id"), "id", "left_semi")
+        near = small.groupBy("f2").agg(F.min("f1").alias("f1")).select("f1", "f2")
+        if rows is not None:
+            led = rows.select(F.explode(F.array(_ordered(least, F.col("fp")), _ordered(most, F.col("fp")))).alias("p")).select("p.*")
+            near = near.union(led.where((F.col("f1") != F.col("f2")) & _near("f1", "f2", reach)))
+        pairs = materialize(lines_of(near, reps, reps).unionByName(lines_of(same, reps, every)), "line-pairs")
+        links = _verified(source, nodes, pairs, min_similarity)
         release(pairs)
-        links = new if links is None else links.unionByName(new)
-        parts = connected_components(links, "lines")
-        if turn < rounds:
-            placed = nodes.join(parts, F.col("a") == F.col("node"), "left")
-            groups = materialize(placed.select("fp", "chars", "a", number(F.coalesce("component", "a")).alias("g")), "line-groups")
-    release(rows, by_fp, active, nodes)
-    stays = F.col("first")
-    named = distinct.select("k", stays.alias("stays"))
-    if parts is not None:
-        named = distinct.join(parts, stays == F.col("node"), "left").select("k", F.coalesce("component", "first").alias("stays"))
-    out = lines.select("doc_id", "line_no", "k").join(named, "k")
-    return out.select("doc_id", "line_no", F.col("stays.doc_id").alias("first_doc"), F.col("stays.line_no").alias("first_line"), F.struct("doc_id", "line_no").eqNullSafe(F.col("stays")).alias("kept"))
+        parts = connected_components(links, "line-parts").select(F.col("node").alias("id"), F.col("component").alias("g"))
+        groups = materialize(alone.join(parts, "id", "left").select("id", "fp", "chars", F.coalesce("g", "id").alias("g")), "line-groups")
+    else:
+        groups = alone.withColumn("g", F.col("id"))
+    near = small
+    if rows is not None:
+        placed = rows.select("key", "fp").join(groups.groupBy("fp").agg(F.min("g").alias("lo"), F.max("g").alias("hi")), "fp")
+        apart = placed.groupBy("key").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l <> h").select("key")
+        still = materialize(placed.join(apart, "key"), "line-still")
+        one, two = (still.select("key", F.col("fp").alias(f"f{n}"), F.col("lo").alias(f"l{n}"), F.col("hi").alias(f"h{n}")) for n in (1, 2))
+        apart = (F.col("l1") != F.col("l2")) | (F.col("h1") != F.col("h2")) | (F.col("l1") != F.col("h1"))
+        near = near.union(one.join(two, (one["key"] == two["key"]) & (F.col("f1") < F.col("f2")) & apart & _near("f1", "f2", reach)).select("f1", "f2"))
+    pairs = materialize(lines_of(near.union(same), groups, groups), "line-pairs")
+    more = _verified(source, nodes, pairs, min_similarity) if pairs.take(1) else None
+    links = more if links is None else links if more is None else links.unionByName(more)
+    if links is None:
+        links = nodes.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    release(shared, rows, small, several, active, alone, groups, by_fp, pairs)
+    parts = connected_components(links, "lines")
+    at = nodes.join(parts, F.col("id") == F.col("node"), "left").select("k", "first", F.coalesce("component", "id").alias("root"))
+    linked = at.join(parts.select(F.col("component").alias("root")).distinct(), "root", "left_semi")
+    lead = materialize(linked.groupBy("root").agg(F.min(F.struct("first", "k")).alias("lead")), "line-leads")
+    named = materialize(at.join(lead, "root", "left").select("k", F.coalesce("lead", F.struct("first", "k")).alias("lead")), "line-names")
+    out = lines.join(named, "k")
+    kept = (F.col("k") == F.col("lead.k")) & F.col("doc_id").eqNullSafe(F.col("lead.first.doc_id")) & (F.col("line_no") == F.col("lead.first.line_no"))
+    return out.select("doc_id", "line_no", F.lower(F.hex("k")).alias("line_md5"), F.col("lead.first.doc_id").alias("first_doc"), F.col("lead.first.line_no").alias("first_line"), kept.alias("kept"))
 
 
 def drop_lines(docs: DataFrame, decisions: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the lines that don't stay cut out of ``text_col``; every other
-    column passes through, and a document without dropped lines is unchanged."""
-    gone = decisions.where("not kept").groupBy(F.col("doc_id").alias("_gone_of")).agg(F.sort_array(F.collect_set("line_no")).alias("_gone"))
+    column passes through, and a document without dropped lines is unchanged. A line goes
+    by id, place and content, so a document that shares the id keeps its own lines."""
+    gone = decisions.where("not kept").groupBy(F.col("doc_id").alias("_gone_of")).agg(F.collect_set(F.concat_ws(":", "line_no", "line_md5")).alias("_gone"))
     lines = F.split(F.col(text_col), "\n")
-    left = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains("_gone", i)), "\n")
+    left = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains("_gone", F.concat_ws(":", i, F.md5(normalised(line))))), "\n")
     out = docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone_of")), "left")
     return out.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(left)).drop("_gone_of", "_gone")

@@ -118,33 +118,44 @@ def components(nodes, linked):
     return {x: top(x) for x in nodes}
 
 
-def brute_lines(texts):
+def brute_lines(rows, bands=None):
+    """The line that names each line's group, by comparing every two lines; ``rows`` are of
+    id and text. Lines are known by content, so an id may repeat or be null."""
     from xxhash import xxh64_intdigest
 
-    lines = {}
-    for d, t in enumerate(texts):
+    lines = []
+    for d, t in rows:
         for k, x in enumerate((t or "").split("\n")):
             x = re.sub(r"[\x20\x09-\x0D]+", " ", x.lower()).strip(" ")
             if x:
-                lines[d, k] = x
+                lines.append((d, k, x))
     first = {}
-    for at, x in sorted(lines.items()):
-        first.setdefault(x, at)
+    for d, k, x in lines:
+        at = (d is None, d or 0, k)
+        first[x] = min(at, first.get(x, at))
     fp = {}
     for x in first:
         h = [xxh64_intdigest(w, 42) for w in set(x.split(" "))]
-        fp[x] = sum((sum(y >> k & 1 for y in h) * 2 > len(h)) << k for k in range(64))
+        tie = xxh64_intdigest((min(y - (y >> 63 << 64) for y in h) % (1 << 64)).to_bytes(8, "little"), 42)
+        fp[x] = sum((sum(y >> k & 1 for y in h) * 2 + (tie >> k & 1) > len(h)) << k for k in range(64))
+    masks = [m % (1 << 64) for m in line_dedup.masks_for(line_dedup.RADIUS, bands or line_dedup.bands_for(len(first)))]
+    name = {x: (first[x], hashlib.md5(x.encode()).digest(), x) for x in first}
     links = []
     for x, y in combinations(first, 2):
-        if (fp[x] ^ fp[y]).bit_count() <= 3 and 1 - edit_distance(x, y) / max(len(x), len(y)) >= 0.8 - 1e-9:
-            links.append((first[x], first[y]))
-    root = components(first.values(), links)
-    return {at: root[first[x]] for at, x in lines.items()}, len(links)
-
-
-def test_lines_against_brute_force(spark):
+        differ = fp[x] ^ fp[y]
+        if differ.bit_count() <= line_dedup.REACH and any(not differ & m for m in masks) and 1 - edit_distance(x, y) / max(len(x), len(y)) >= 0.8 - 1e-9:
+            links.append((name[x], name[y]))
+    root = components(name.values(), links)
+    out = Counter()
+    for d, k, x in lines:
+        (none, lead, line), _, of = root[name[x]]
+        out[d, k, None if none else lead, line, of == x and (d is None, d or 0, k) == (none, lead, line)] += 1
+    return out, len(links)
+
+
+def line_rows():
     random.seed(11)
-    words = [f"w{i}" for i in range(400)]
+    words = [f"{random.choice('abcdefgh')}{random.choice('klmnop')}{i}" for i in range(400)]
     texts = []
     for g in range(14):
         base = random.choices(words, k=random.choice([3, 30, 60]))
@@ -159,13 +170,47 @@ def test_lines_against_brute_force(spark):
     mixed = random.sample(words, 40)
     texts += [" ".join(mixed), " ".join(reversed(mixed)), " ".join(mixed[20:] + mixed[:20])]
     random.shuffle(texts)
-    want, links = brute_lines(texts)
+    return list(enumerate(texts))
+
+
+@pytest.mark.parametrize("how", [{"lead": False}, {"lead": True}, {"bands": 5}, {"bands": 7}])
+def test_lines_against_brute_force(spark, how):
+    rows = line_rows()
+    # ids that repeat with other lines at the same places, and rows without an id
+    rows += [(d, rows[-1 - d][1]) for d in range(9)] + [(None, t) for _, t in rows[20:30]] + [rows[40], rows[40]]
+    want, links = brute_lines(rows, how.get("bands"))
     assert links > 10
-    schema = "doc_id long, text string"
-    for rounds in (0, 2):
-        got = line_dedup.line_groups(spark.createDataFrame(list(enumerate(texts)), schema), rounds=rounds).collect()
-        assert {(r["doc_id"], r["line_no"]): (r["first_doc"], r["first_line"]) for r in got} == want
-        assert all(r["kept"] == ((r["doc_id"], r["line_no"]) == (r["first_doc"], r["first_line"])) for r in got)
+    got = line_dedup.line_groups(spark.createDataFrame(rows, "doc_id long, text string"), **how).collect()
+    assert Counter((r["doc_id"], r["line_no"], r["first_doc"], r["first_line"], r["kept"]) for r in got) == want
+
+
+def test_lines_of_documents_that_share_an_id(spark):
+    base = " ".join(f"plain{i}" for i in range(30))
+    other = "a totally different unrelated sentence about cheese"
+    rows = [(0, base), (5, base.replace("plain7 ", "plains7 ")), (5, other), (None, base), (None, other + "!\nown line")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sorted(map(str, (r["text"] for r in line_dedup.drop_lines(df, line_dedup.line_groups(df)).collect())))
+    assert out == sorted([base, "", other, "", other + "!\nown line"])
+
+
+def test_lines_found_of_all_that_are_alike(spark):
+    """Pairs of edit similarity 0.8 or more alone decide what should be found."""
+    random.seed(4)
+    letters = "abcdefghiklmnoprstuw"
+    word = lambda: "".join(random.choices(letters, k=random.randint(2, 8)))
+    rows, changed = [], 0
+    for d in range(200):
+        words = [word() for _ in range(random.randint(15, 80))]
+        near = list(words)
+        for _ in range(random.randint(1, max(1, len(words) // 15))):
+            near[random.randrange(len(near))] = word()
+        alike = 1 - edit_distance(" ".join(words), " ".join(near)) / max(len(" ".join(words)), len(" ".join(near))) >= 0.8
+        changed += alike
+        rows += [(2 * d, " ".join(words)), (2 * d + 1, " ".join(near))]
+    got = line_dedup.line_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    gone = [r for r in got if not r["kept"]]
+    assert all(r["first_doc"] == r["doc_id"] - 1 and r["doc_id"] % 2 for r in gone)
+    assert changed > 180 and len(gone) >= 0.4 * changed
 
 
 def brute_mix(rows, budget_share):
