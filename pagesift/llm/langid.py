@@ -9,18 +9,23 @@ language, against the rest, is solved in it.
 Scoring is a product of matrices for each batch: ``presence (rows x grams) @
 weights (grams x languages)``. The weights are ``landmark presence^T @ alpha``,
 multiplied out once, which is the same number as going through the kernel row
-``K(x, L) @ alpha`` because the product is associative.
+``K(x, L) @ alpha`` because the product is associative. With more languages than landmarks
+the kernel row is the smaller matrix and is gone through, so what is broadcast is
+bounded by the landmarks. Products are taken in slices of bounded size.
 
-The classifier is fitted on at most ``max_train`` labelled rows, an equal number
-for each of at most ``max_langs`` languages (the most frequent), chosen by a hash
+The classifier is fitted on at most ``max_train`` labelled rows (or one for each language,
+if there are more languages), an equal number for each, chosen by a hash
 of the id. What reaches the driver is a presence bitmap of fixed size a row.
 
 A text is *strange* if too few of its features occur in two or more learned texts of its
 predicted language, so one mislabelled text vouches for nothing. The floor of a language
 is ``STRANGE`` of the share that 95 of 100 of its learned texts reach.
 
-Defined cases: null text, or text without a letter, is ``und`` with score 0; no
-labelled row at all makes every row ``und``; extra columns are not read.
+Defined cases: null text, or text without a letter, is ``und`` with score 0; of equal
+scores the first language by name wins; a text of any length has its features found in
+slices; a null id is an id like any other, and rows that repeat an id and language are
+learned from once; no labelled row at all makes every row ``und``; an empty table gives no
+rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -34,12 +39,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_TRAIN, MAX_LANGS, LANDMARKS, RIDGE = 1200, 200, 192, 1e-2
+from pagesift.llm.common import join_checked, materialize
+
+MAX_TRAIN, LANDMARKS, RIDGE = 1200, 192, 1e-2
 STRANGE = 0.78
 UNKNOWN = "und"
 _TRIGRAMS = 1 << 17
 SPACE = 256 + 65536 + _TRIGRAMS
 _SLICE = 1 << 17
+#: Numbers that a product of matrices gathers at once.
+_GATHERED = 1 << 22
 _LETTERS = bytes(b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 _letter = regex.compile(r"\p{L}")
 
@@ -63,11 +72,32 @@ def presence(text: str, flags: np.ndarray) -> np.ndarray:
 @dataclass
 class Model:
     langs: list[str]
-    weights: np.ndarray  # grams x languages
+    weights: np.ndarray  # grams x languages, or grams x landmarks
     bias: np.ndarray
-    known: np.ndarray | None = None  # languages x grams: in two learned texts or more
+    alpha: np.ndarray | None = None  # landmarks x languages, if the weights are not multiplied out
+    known: np.ndarray | None = None  # languages x bits of grams: in two learned texts or more
     floor: np.ndarray | None = None  # least share of known grams by language
 
+    def outputs(self, grams: list[np.ndarray]) -> np.ndarray:
+        """Regression outputs of texts by their features."""
+        out = np.zeros((len(grams), self.weights.shape[1]))
+        step = max(1, _GATHERED // max(1, self.weights.shape[1]))
+        at = 0
+        while at < len(grams):
+            upto, size = at + 1, len(grams[at])
+            while upto < len(grams) and size + len(grams[upto]) <= step:
+                size += len(grams[upto])
+                upto += 1
+            if size <= step:
+                starts = np.cumsum([0] + [len(g) for g in grams[at : upto - 1]])
+                out[at:upto] = np.add.reduceat(self.weights[np.concatenate(grams[at:upto])], starts, axis=0)
+            else:  # one text of many features
+                for k in range(0, size, step):
+                    out[at] += self.weights[grams[at][k : k + step]].sum(axis=0)
+            at = upto
+        out /= np.sqrt([len(g) for g in grams])[:, None]
+        return (out if self.alpha is None else out @ self.alpha) + self.bias
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Labels and scores between 0 and 1 of a batch."""
         return self.judge(texts)[:2]
@@ -83,16 +113,14 @@ class Model:
             if not rows:
                 continue
             grams = [presence(texts[i], flags) for i in rows]
-            sizes = np.array([len(g) for g in grams])
-            starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-            out = np.add.reduceat(self.weights[np.concatenate(grams)], starts, axis=0) / np.sqrt(sizes)[:, None] + self.bias
+            out = self.outputs(grams)
             best = out.argmax(axis=1)
             for i, k, f in zip(rows, best, out.max(axis=1), strict=True):
                 labels[i], scores[i] = self.langs[k], min(1.0, max(0.0, (1.0 + float(f)) / 2))
             for i, k, g in zip(rows, best, grams, strict=True):
                 # two deviations of the count are allowed, as short texts have few features
                 n, p = len(g), 0.0 if self.floor is None else self.floor[k]
-                strange[i] = self.known is not None and self.known[k, g].sum() < n * p - 2 * np.sqrt(n * p * (1 - p))
+                strange[i] = self.known is not None and (self.known[k, g >> 3] >> (g & 7) & 1).sum() < n * p - 2 * np.sqrt(n * p * (1 - p))
         return labels, scores, strange
 
 
@@ -122,10 +150,11 @@ def fit(bitmaps: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridg
     penalty[-1, -1] = 1e-9
     solved = np.linalg.solve(phi.T @ phi + penalty, phi.T @ target)
     alpha = (root @ solved[:-1]) / np.sqrt(np.maximum(size[mark], 1))[:, None]
-    weights = np.zeros((SPACE, len(langs)), np.float32)
+    whole = len(langs) <= len(mark)
+    weights = np.zeros((SPACE, len(langs) if whole else len(mark)), np.float32)
     for at in range(0, bitmaps.shape[1], step):
         bits = np.unpackbits(bitmaps[mark, at : at + step], axis=1, bitorder="little")
-        weights[at * 8 : at * 8 + bits.shape[1]] = bits.T.astype(np.float64) @ alpha
+        weights[at * 8 : at * 8 + bits.shape[1]] = bits.T.astype(np.float64) @ alpha if whole else bits.T
     known, share = np.zeros((len(langs), SPACE), bool), np.zeros(len(y))
     for at in range(0, bitmaps.shape[1], step):
         bits = np.unpackbits(bitmaps[:, at : at + step], axis=1, bitorder="little")
@@ -136,7 +165,7 @@ def fit(bitmaps: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridg
             share[y == c] += own[:, times > 1].sum(axis=1, dtype=np.int32)
     share /= np.maximum(size, 1)
     floor = np.array([STRANGE * np.quantile(share[y == c], 0.05) for c in range(len(langs))])
-    return Model(langs, weights, solved[-1], known, floor)
+    return Model(langs, weights, solved[-1], None if whole else alpha, np.packbits(known, axis=1, bitorder="little"), floor)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -144,21 +173,21 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 4 == 2
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_train: int = MAX_TRAIN, max_langs: int = MAX_LANGS, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_train: int = MAX_TRAIN, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
     """Fit on a bounded sample of the labelled rows outside the held-out fold.
     Languages and ids are counted without reading a text."""
     labelled = docs.where(F.col(lang_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang")).distinct()
-    langs = labelled.groupBy("_lang").agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "_lang").limit(max_langs).collect()
-    if not langs:
+    langs = materialize(labelled.groupBy("_lang").agg(F.count("*").alias("_n")), "languages")
+    known = langs.count()
+    if not known:
         return fit(np.zeros((0, SPACE // 8), np.uint8), [])
-    quota = max(1, max_train // len(langs))
-    share = F.create_map(*[F.lit(x) for r in langs for x in (r[0], min(1.0, 4.0 * quota / r[1]))])
-    order = F.xxhash64(F.col("_id").cast("string"), F.lit(3))
-    some = labelled.withColumn("_share", share[F.col("_lang")]).withColumn("_at", order)
-    some = some.where(F.pmod("_at", F.lit(1_000_000)) < F.col("_share") * 1_000_000)
+    quota = max(1, max_train // known)
+    # four times what is wanted of each language, so that only few rows are ranked
+    some = join_checked(labelled.withColumn("_at", F.xxhash64(F.col("_id").cast("string"), F.lit(3))), langs, "_lang")
+    some = some.where(F.pmod("_at", F.lit(1_000_000)) < F.lit(4_000_000.0 * quota) / F.col("_n"))
     some = some.withColumn("_rank", F.row_number().over(Window.partitionBy("_lang").orderBy("_at", "_id"))).where(F.col("_rank") <= quota)
-    picked = F.broadcast(some.select("_id", "_lang").distinct())  # at most max_train rows
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_own"), F.col(text_col).alias("_text")).join(picked, "_id").where("_own = _lang")
+    picked = F.broadcast(some.select("_id", "_lang").distinct())  # at most quota rows a language
+    rows = docs.select(F.col(id_col).alias("_of"), F.col(lang_col).alias("_own"), F.col(text_col).alias("_text")).join(picked, F.col("_of").eqNullSafe(F.col("_id"))).where("_own = _lang")
     # of rows that repeat an id and language one is learned from, so every language has its quota
     rows = rows.groupBy("_id", "_lang").agg(F.min(F.struct(F.xxhash64("_text"), "_text")).alias("_one")).select("_id", "_lang", F.col("_one._text").alias("_text"))
 
@@ -172,7 +201,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 maps.append(np.packbits(flags_of, bitorder="little").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1), pa.array(maps, pa.binary())], ["id", "lang", "bits"])
 
-    got = rows.select("_id", "_lang", "_text").mapInArrow(bitmap, "id string, lang string, bits binary").orderBy("lang", "id").limit(2 * max_train).collect()
+    got = rows.select("_id", "_lang", "_text").mapInArrow(bitmap, "id string, lang string, bits binary").orderBy("lang", "id").limit(quota * known).collect()
     maps = np.frombuffer(b"".join(r["bits"] for r in got), np.uint8).reshape(len(got), SPACE // 8)
     return fit(maps, [r["lang"] for r in got], landmarks, ridge)
 
