@@ -11,16 +11,20 @@ them; one key per such choice. Inside a key the fingerprints are compared bit-sl
 block updated by carry-save counters, and rows abandoned once every lane has
 passed the radius. Keys with more than ``chunk`` fingerprints are cut into chunks
 whose pairs are separate groups, so no group outgrows a task and no link is lost.
-Each group gives a spanning star of its links, never all pairs.
+Each group gives a spanning star of its links, never all pairs. The number of bands is
+chosen by the number of fingerprints: more bands give more, but longer keys, in which
+fewer fingerprints meet by chance. Links are the same whatever it is.
 
 Defined cases: null and wordless texts have fingerprint zero and link like any
 other; copies and equal fingerprints are one node; a null ``doc_id`` is carried
-but never names a component unless it is alone; extra columns are not read.
+but never names a component unless it is alone; a text of any length is hashed in slices;
+an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +33,7 @@ from pyspark.sql import functions as F
 
 from pagesift.llm.common import connected_components, materialize
 
-RADIUS, BANDS, CHUNK, SHINGLE = 4, 6, 512, 4
+RADIUS, CHUNK, SHINGLE = 4, 512, 4
 _SLICE = 1 << 15
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -213,8 +217,15 @@ def _linker(radius: int, rows: int = 1 << 16):
     return link
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, bands: int = BANDS, chunk: int = CHUNK) -> DataFrame:
+def bands_for(fingerprints: int, radius: int = RADIUS) -> int:
+    """The bands that cost least: a row for each choice of bands, and the fingerprints that
+    meet in a key by chance, of which a chunk is compared in the time of a row."""
+    return min(range(radius + 2, radius + 8), key=lambda b: comb(b, radius) * (1 + fingerprints / CHUNK / 2 ** (64 * (b - radius) / b)))
+
+
+def links(nodes: DataFrame, radius: int = RADIUS, bands: int | None = None, chunk: int = CHUNK) -> DataFrame:
     """Spanning links ``a, b`` between the distinct ``fp`` of ``nodes``."""
+    bands = bands_for(nodes.count(), radius) if bands is None else bands
     edges = [round(64 * k / bands) for k in range(bands + 1)]
     masks = []
     for chosen in combinations(range(bands), bands - radius):
@@ -232,7 +243,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, bands: int = BANDS, chunk: int
     return rows.repartition(*at).sortWithinPartitions(*at, "side").mapInArrow(_linker(radius), "a long, b long")
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, bands: int = BANDS, chunk: int = CHUNK) -> DataFrame:
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, bands: int | None = None, chunk: int = CHUNK) -> DataFrame:
     """``doc_id, fingerprint, component_id`` for every row; the component is named
     by its smallest ``doc_id``."""
     rows = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
