@@ -5,9 +5,11 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,11 +40,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where the session names none (tests, a laptop) a temporary one is set.
+    Only a session of one process (tests, a laptop) that names none gets a temporary one;
+    executors of a cluster would not find it.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="pagesift-")
         sc.setCheckpointDir(named)
     return named.rstrip("/")
@@ -69,6 +74,16 @@ def release(*frames: DataFrame | None) -> None:
             _delete(df.sparkSession, path)
 
 
+@contextmanager
+def scratch():
+    """Tables written inside, but for those that ``keep`` (what it yields) is called with, are
+    deleted at the end: for work whose result is written itself."""
+    before, kept = set(_written), set()
+    yield lambda df: kept.add(getattr(df, "_pagesift_path", None))
+    for path in set(_written) - before - kept:
+        _delete(_written.pop(path), path)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
@@ -100,11 +115,9 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def blanks_to_space(c: Column) -> Column:
-    """Every run of ASCII blanks becomes one space. Single bytes are replaced first; a
-    pattern runs only over texts that have two spaces together."""
-    for blank in "\t\n\x0b\f\r":
-        c = F.replace(c, F.lit(blank), F.lit(" "))
-    return F.when(F.contains(c, F.lit("  ")), F.regexp_replace(c, " {2,}", " ")).otherwise(c)
+    """Every run of ASCII blanks becomes one space. The pattern matches only runs
+    that change, so ordinary prose is scanned without a replacement a word."""
+    return F.regexp_replace(c, rf"[\x09-\x0D][{BLANKS}]*|\x20[{BLANKS}]+", " ")
 
 
 def connected_components(edges: DataFrame, label: str = "cc", max_rounds: int = 60) -> DataFrame:

@@ -37,14 +37,18 @@ from math import comb
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagesift.llm.common import BLANKS, blanks_to_space, connected_components, join_checked, let, materialize, release
+from pagesift.llm.common import BLANKS, connected_components, join_checked, let, materialize, release
 
 RADIUS, REACH, MIN_SIMILARITY = 3, 9, 0.8
 _LANES, _WIDE, _PART = 0x0101010101010101, 0x0001000100010001, 127
 
 
 def normalised(line: Column) -> Column:
-    return F.trim(blanks_to_space(F.lower(line)))
+    # single bytes are replaced first; a pattern runs only over lines with two spaces together
+    c = F.lower(line)
+    for blank in "\t\n\x0b\f\r":
+        c = F.replace(c, F.lit(blank), F.lit(" "))
+    return F.trim(F.when(F.contains(c, F.lit("  ")), F.regexp_replace(c, " {2,}", " ")).otherwise(c))
 
 
 def _split(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -270,10 +274,11 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         links = nodes.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
     release(shared, rows, small, several, active, alone, groups, by_fp, pairs)
     parts = connected_components(links, "lines")
-    at = nodes.join(parts, F.col("id") == F.col("node"), "left").select("k", "first", F.coalesce("component", "id").alias("root"))
-    linked = at.join(parts.select(F.col("component").alias("root")).distinct(), "root", "left_semi")
+    at = join_checked(nodes, parts.select(F.col("node").alias("id"), "component"), "id", "left").select("k", "first", F.coalesce("component", "id").alias("root"))
+    roots = materialize(parts.select(F.col("component").alias("root")).distinct(), "line-roots")
+    linked = join_checked(at, roots, "root", "left_semi")
     lead = materialize(linked.groupBy("root").agg(F.min(F.struct("first", "k")).alias("lead")), "line-leads")
-    named = materialize(at.join(lead, "root", "left").select("k", F.coalesce("lead", F.struct("first", "k")).alias("lead")), "line-names")
+    named = materialize(join_checked(at, lead, "root", "left").select("k", F.coalesce("lead", F.struct("first", "k")).alias("lead")), "line-names")
     out = lines.join(named, "k")
     kept = (F.col("k") == F.col("lead.k")) & F.col("doc_id").eqNullSafe(F.col("lead.first.doc_id")) & (F.col("line_no") == F.col("lead.first.line_no"))
     return out.select("doc_id", "line_no", F.lower(F.hex("k")).alias("line_md5"), F.col("lead.first.doc_id").alias("first_doc"), F.col("lead.first.line_no").alias("first_line"), kept.alias("kept"))

@@ -58,12 +58,13 @@ def budgets(leaves: DataFrame, levels: list[str], weights: dict[str, Column], bu
     return leaves.join(given, levels, "left").withColumn("budget", F.coalesce("budget", F.lit(0).cast("long")))
 
 
-def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[str, Column], budget: int | float, max_epochs: int = 1, seed: int = 0, id_col: str = "doc_id", tokens: Column | None = None, range_rows: int = RANGE_ROWS) -> DataFrame:
+def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[str, Column], budget: int | float, max_epochs: int = 1, seed: int = 0, id_col: str = "doc_id", tokens: Column | None = None, range_rows: int = RANGE_ROWS, carry: bool = False) -> DataFrame:
     """``doc_id, <levels>, n_tokens, copies`` for every row; ``copies`` is how often the
-    document is taken. ``budget`` counts tokens, or is a share of all if under 1."""
+    document is taken. ``budget`` counts tokens, or is a share of all if under 1. With
+    ``carry`` a row's own columns come along as the struct ``row``."""
     names = list(levels)
     tokens = count_words(F.col("text")) if tokens is None else tokens
-    rows = docs.select(F.col(id_col).alias("doc_id"), *[F.coalesce(c.cast("string"), F.lit(NONE)).alias(n) for n, c in levels.items()], tokens.alias("n_tokens"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), *[F.coalesce(c.cast("string"), F.lit(NONE)).alias(n) for n, c in levels.items()], tokens.alias("n_tokens"), *([F.struct(*docs.columns).alias("row")] if carry else []))
     rows = materialize(rows, "mix-rows")
     leaves = materialize(rows.groupBy(*names).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows")), "mix-leaves")
     if 0 < budget < 1:
@@ -88,7 +89,7 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[str, Column],
     inside = (F.col("rest") > 0) & (F.col("range") == F.col("end_range"))
     # a range is a few thousand rows; the others need no order
     running = F.sum("n_tokens").over(Window.partitionBy(*names).orderBy("mark", "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = ["doc_id", *names, "n_tokens"]
+    out = ["doc_id", *names, "n_tokens", *(["row"] if carry else [])]
     last = placed.where(inside).withColumn("run", running + F.col("end_before"))
     last = last.select(*out, (F.col("epochs") + (F.col("run") <= F.col("rest")).cast("long")).alias("copies"))
     before = (F.col("rest") > 0) & (F.col("range") < F.coalesce("end_range", F.lit(1 << 40)))

@@ -55,7 +55,7 @@ def op7_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 BOOKS = [f"src{i}" for i in range(1, 7)]
 
 
-def mix_documents(docs: DataFrame, budget: float, max_epochs: int) -> DataFrame:
+def mix_documents(docs: DataFrame, budget: float, max_epochs: int, carry: bool = False) -> DataFrame:
     """The production tree of :func:`op8_hierarchical_mix` over ``docs``."""
     domain = F.when(F.col("source") == "src0", "crawl").when(F.col("source").isin(BOOKS), "books").otherwise("web")
     levels = {"mix_domain": domain, "mix_lang": F.col("lang"), "mix_source": F.col("source")}
@@ -64,7 +64,7 @@ def mix_documents(docs: DataFrame, budget: float, max_epochs: int) -> DataFrame:
         "mix_lang": F.when(F.col("mix_lang") == "en", 6).when(F.col("mix_lang") == "de", 3).otherwise(2),
         "mix_source": F.lit(1),
     }
-    return mixing.mix(docs, levels, weights, budget, max_epochs, seed=17)
+    return mixing.mix(docs, levels, weights, budget, max_epochs, seed=17, carry=carry)
 
 
 def op8_hierarchical_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
