@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagesift.llm import bpe_tree, exact_dedup, langid, simhash
-from pagesift.llm.common import blanks_to_space, materialize, release, table
+from pagesift.llm.common import blanks_to_space, materialize, release, scratch, table
 from pagesift.llm.queries import _vocabulary, mix_documents
 
 #: A document is rejected below this language score. The outputs of L regressions sum
@@ -60,12 +60,16 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents that the budgets of domains, languages and sources take."""
-    return _kept(docs, mix_documents(docs, MIX_BUDGET, max_epochs=1).where("copies > 0"))
+    """Keep the rows that the budgets of domains, languages and sources take. Rows are
+    taken one by one, also where they share an id; null text has no tokens and is
+    taken if it precedes the end of its leaf's prefix."""
+    taken = mix_documents(docs, MIX_BUDGET, max_epochs=1, carry=True).where("copies > 0")
+    return taken.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte-level BPE ids of what is left, as digests with token counts."""
+    """Byte-level BPE ids of what is left, as digests with token counts; null text is
+    empty, a null or repeated id is passed on."""
     return bpe_tree.encode_digests(docs, *_vocabulary("byte_bpe_50k.tiktoken"))
 
 
@@ -78,7 +82,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch() as keep:  # a stage's own tables go once its result is written
+            docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            keep(docs)
         release(last)
         last = docs
     return docs
