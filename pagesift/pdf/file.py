@@ -33,9 +33,14 @@ def entries_of(obj) -> dict:
 
 class PdfFile:
     """A parsed file. Objects are read when asked for and kept; of the revisions along
-    ``/Prev`` the newest entry of an object holds, and the newest trailer."""
+    ``/Prev`` the newest entry of an object holds, and the newest trailer.
 
-    def __init__(self, data: bytes):
+    ``compat`` reads malformed or unusual files as older readers did: entries of an older
+    classic table win, blanks and comments after ``stream`` are skipped, an odd hexadecimal
+    digit is an error and a long character map entry is U+0000."""
+
+    def __init__(self, data: bytes, compat: bool = False):
+        self.compat = compat
         if not data.startswith(b"%PDF-"):
             raise PdfError("MissingHeader")
         self.data, self.xref, self.trailer = data, {}, None
@@ -80,9 +85,10 @@ class PdfFile:
                 row = _ROW.match(self.data, at)
                 if row is None:
                     raise PdfError("InvalidXref", "bad entry", at)
-                self.xref.setdefault(number, Entry(int(row[1]), int(row[2]), row[3] == b"n", False))
+                entry = Entry(int(row[1]), int(row[2]), row[3] == b"n", False)
+                self.xref[number] = entry if self.compat else self.xref.get(number, entry)
                 at = row.end()
-        trailer, _ = value(self.data, at + 7)
+        trailer, _ = value(self.data, at + 7, self.compat)
         if not isinstance(trailer, dict):
             raise structure("trailer is not a dictionary")
         return trailer
@@ -92,16 +98,18 @@ class PdfFile:
             part, at = token(self.data, at)
             if type(part) is not kind or (kind is Word and part != b"obj"):
                 raise structure("no cross-reference at its place")
-        obj, _ = value(self.data, at)
+        obj, _ = value(self.data, at, self.compat)
         if not isinstance(obj, Stream):
             raise structure("cross-reference is not a stream")
         widths = obj.entries.get("W")
         if not isinstance(widths, list) or len(widths) != 3 or not all(type(w) is int and w >= 0 for w in widths):
             raise structure("cross-reference stream without three widths")
-        rows = decode_stream(obj.entries, obj.data)
-        ranges = obj.entries.get("Index") or [0, obj.entries.get("Size")]
-        if not all(type(n) is int for n in ranges):
-            raise structure("cross-reference stream without a size")
+        rows = self._decoded(obj)
+        ranges = obj.entries.get("Index")
+        if ranges is None or ranges == []:
+            ranges = [0, obj.entries.get("Size")]
+        if not isinstance(ranges, list) or not all(type(n) is int for n in ranges):
+            raise structure("cross-reference stream without a size or a list of ranges")
         width, cursor = sum(widths), 0
         for first, count in zip(ranges[::2], ranges[1::2], strict=False):
             for number in range(first, first + count):
@@ -114,6 +122,9 @@ class PdfFile:
                     self.xref.setdefault(number, Entry(second, third, kind != 0, kind == 2))
         return obj.entries
 
+    def _decoded(self, obj: Stream) -> bytes:
+        return decode_stream(obj.entries, obj.data, self.compat)
+
     @property
     def object_count(self) -> int:
         return sum(e.in_use for e in self.xref.values())
@@ -140,7 +151,7 @@ class PdfFile:
         word, after = token(self.data, at)
         if type(generation) is not int or word != b"obj":
             raise parse_error("obj expected", at)
-        return value(self.data, after)[0]
+        return value(self.data, after, self.compat)[0]
 
     def _member(self, entry: Entry):
         """An object of an object stream, which is decoded once."""
@@ -154,7 +165,7 @@ class PdfFile:
             n, first = box.entries.get("N"), box.entries.get("First")
             if type(n) is not int or type(first) is not int:
                 raise structure("object stream without N or First")
-            inside, at, numbers = decode_stream(box.entries, box.data), 0, []
+            inside, at, numbers = self._decoded(box), 0, []
             for _ in range(2 * n):
                 number, at = token(inside, at)
                 if type(number) is not int:
@@ -164,7 +175,7 @@ class PdfFile:
         index, inside, first = self._containers[entry.offset]
         if entry.generation >= len(index):
             raise structure(f"object stream has no object {entry.generation}")
-        return value(inside, first + index[entry.generation][1])[0]
+        return value(inside, first + index[entry.generation][1], self.compat)[0]
 
     def catalog(self):
         root = self.trailer.get("Root")
@@ -206,7 +217,7 @@ class PdfFile:
         obj = self.resolve(ref)
         if not isinstance(obj, Stream):
             raise structure("stream expected")
-        return decode_stream(obj.entries, obj.data)
+        return self._decoded(obj)
 
     def contents(self, page) -> bytes:
         """A page's content; the parts of an array each end in a line feed."""
@@ -223,7 +234,7 @@ class PdfFile:
         if not entries:
             raise structure("font is not a dictionary")
         if isinstance(entries.get("ToUnicode"), Ref):
-            return fonts.Encoding(cids=fonts.parse_tounicode(self.stream_data(entries["ToUnicode"])))
+            return fonts.Encoding(cids=fonts.parse_tounicode(self.stream_data(entries["ToUnicode"]), self.compat))
         named = entries.get("Encoding")
         return fonts.named(named if isinstance(named, Name) else entries_of(named).get("BaseEncoding"))
 

@@ -20,8 +20,11 @@ def flate(data: bytes) -> bytes:
     return out
 
 
-def ascii_hex(data: bytes) -> bytes:
+def ascii_hex(data: bytes, compat: bool = False) -> bytes:
+    """An odd last digit is padded; in ``compat`` it is an error before the end mark."""
     digits = re.sub(rb"[\t\n\f\r ]", b"", data.split(b">", 1)[0])
+    if compat and len(digits) % 2 and b">" in data:
+        raise parse_error("invalid hexadecimal digit", len(digits))
     bad = re.search(rb"[^0-9A-Fa-f]", digits)
     if bad:
         raise parse_error("invalid hexadecimal digit", bad.start())
@@ -33,11 +36,24 @@ def _paeth(a: int, b: int, c: int) -> int:
 
 
 def unpredict(data: bytes, parms: dict) -> bytes:
-    """Undo the PNG predictors (10 and up) that coded each row."""
-    if parms.get("Predictor", 1) < 10:
+    """Undo what coded each row: differences to the left (2) or PNG filters (10 and up)."""
+    kind, colors, depth, columns = (parms.get(k, d) for k, d in (("Predictor", 1), ("Colors", 1), ("BitsPerComponent", 8), ("Columns", 1)))
+    if not all(type(n) is int and n > 0 for n in (kind, colors, depth, columns)):
+        raise structure("a predictor's parameter is not a positive number")
+    if kind == 1:
         return data
-    bits = parms.get("Colors", 1) * parms.get("BitsPerComponent", 8)
-    width, step = (bits * parms.get("Columns", 1) + 7) // 8, max(1, bits // 8)
+    bits = colors * depth
+    width, step = (bits * columns + 7) // 8, max(1, bits // 8)
+    if kind == 2:
+        if depth != 8:
+            raise PdfError("UnsupportedFilter", f"predictor 2 of {depth} bits")
+        rows = bytearray(data)
+        for at in range(0, len(rows), width):
+            for i in range(at + step, min(at + width, len(rows))):
+                rows[i] = (rows[i] + rows[i - step]) & 255
+        return bytes(rows)
+    if kind < 10:
+        raise PdfError("UnsupportedFilter", f"predictor {kind}")
     above, out = bytes(width), bytearray()
     for at in range(0, len(data) - width, width + 1):
         kind, row = data[at], bytearray(data[at + 1 : at + 1 + width])
@@ -53,7 +69,7 @@ def unpredict(data: bytes, parms: dict) -> bytes:
 FILTERS = {"FlateDecode": flate, "ASCIIHexDecode": ascii_hex}
 
 
-def decode_stream(entries: dict, data: bytes) -> bytes:
+def decode_stream(entries: dict, data: bytes, compat: bool = False) -> bytes:
     """``data`` through the stream's filters, left to right."""
     names, parms = entries.get("Filter"), entries.get("DecodeParms")
     if names is None:
@@ -66,7 +82,7 @@ def decode_stream(entries: dict, data: bytes) -> bytes:
     for i, name in enumerate(names):
         if name not in FILTERS:
             raise PdfError("UnsupportedFilter", str(name))
-        data = FILTERS[name](data)
+        data = ascii_hex(data, compat) if name == "ASCIIHexDecode" else FILTERS[name](data)
         if name == "FlateDecode" and i < len(parms) and isinstance(parms[i], dict):
             data = unpredict(data, parms[i])
     return data

@@ -41,7 +41,12 @@ def _code(text: str) -> int:
     return n if n <= 0xFFFF else 0
 
 
-def _letters(text: str) -> str | None:
+def _one_unit(text: str) -> str | None:
+    n = _code(text) if len(_digits(text)) <= 4 else 0
+    return None if 0xD800 <= n <= 0xDFFF else chr(n)
+
+
+def _of_units(text: str) -> str | None:
     """A destination: UTF-16 of one or more units; None for a lone surrogate."""
     digits = _digits(text)
     try:
@@ -50,8 +55,10 @@ def _letters(text: str) -> str | None:
         return None
 
 
-def parse_tounicode(cmap: bytes) -> dict[int, str]:
-    """Single characters, then ranges, whose entries win."""
+def parse_tounicode(cmap: bytes, compat: bool = False) -> dict[int, str]:
+    """Single characters, then ranges, whose entries win. In ``compat`` a destination of more
+    than four digits counts as the number 0."""
+    _letters = _one_unit if compat else _of_units
     text, found = cmap.decode("latin-1"), {}
     sections = lambda kind: re.findall(rf"begin{kind}(.*?)end{kind}", text, re.S)
     for section in sections("bfchar"):
@@ -63,6 +70,8 @@ def parse_tounicode(cmap: bytes) -> dict[int, str]:
                 found.update(zip(codes, map(_letters, re.findall(_HEX, listed)), strict=False))
             else:
                 head, last = _digits(first)[:-4], _code(_digits(first)[-4:])
+                if compat and head:
+                    head, last = "", 0
                 found.update((c, _letters(f"{head}{(last + i) % 65536:04X}")) for i, c in enumerate(codes))
     return {c: t for c, t in found.items() if t is not None}
 

@@ -141,10 +141,56 @@ def tokens(data: bytes):
         yield kind, t.decode("latin-1") if isinstance(t, bytes) else str(t), start
 
 
-def _stream(data: bytes, at: int, entries: dict) -> tuple[Stream, int]:
-    """A stream's bytes: by a direct length, else up to the end marker."""
+def as_bool(obj) -> bool | None:
+    return obj if isinstance(obj, bool) else None
+
+
+def as_int(obj) -> int | None:
+    return obj if type(obj) is int else None
+
+
+def as_real(obj) -> float | None:
+    return float(obj) if type(obj) in (int, float) else None
+
+
+def as_string(obj) -> bytes | None:
+    return obj if type(obj) is bytes else None
+
+
+def as_name(obj) -> str | None:
+    return str(obj) if isinstance(obj, Name) else None
+
+
+def as_array(obj) -> list | None:
+    return obj if isinstance(obj, list) else None
+
+
+def as_dict(obj) -> dict | None:
+    """A dictionary's entries, or a stream's."""
+    return obj.entries if isinstance(obj, Stream) else obj if isinstance(obj, dict) else None
+
+
+def as_stream(obj) -> tuple[dict, bytes] | None:
+    return (obj.entries, obj.data) if isinstance(obj, Stream) else None
+
+
+def as_ref(obj) -> Ref | None:
+    return obj if isinstance(obj, Ref) else None
+
+
+def kind_of(obj) -> str:
+    """The name of an object's type."""
+    if obj is None:
+        return "null"
+    kinds = {bool: "bool", int: "int", float: "real", bytes: "string", Name: "name", list: "array", dict: "dict", Stream: "stream", Ref: "ref"}
+    return kinds[type(obj)]
+
+
+def _stream(data: bytes, at: int, entries: dict, compat: bool) -> tuple[Stream, int]:
+    """A stream's bytes: by a direct length, else up to the end marker. ``compat`` skips all
+    blanks and comments before them, not one line end."""
     eol = _EOL.match(data, at)
-    at = eol.end() if eol else at
+    at = skip_blank(data, at) if compat else eol.end() if eol else at
     length = entries.get("Length")
     if isinstance(length, int) and length >= 0:
         end = at + length
@@ -162,7 +208,7 @@ def _stream(data: bytes, at: int, entries: dict) -> tuple[Stream, int]:
     return Stream(entries, data[at:end]), end + len(b"endstream")
 
 
-def _dict(data: bytes, at: int):
+def _dict(data: bytes, at: int, compat: bool):
     entries: dict = {}
     while True:
         key, after = token(data, at)
@@ -170,23 +216,23 @@ def _dict(data: bytes, at: int):
             break
         if not isinstance(key, Name):
             raise parse_error("dictionary without an end" if key is None else "dictionary key is not a name", at)
-        entries[str(key)], at = value(data, after)
+        entries[str(key)], at = value(data, after, compat)
     follows = skip_blank(data, after)
     if follows < len(data) and data[follows : follows + 1].isalpha():
         word, end = token(data, follows)
         if word == b"stream":
-            return _stream(data, end, entries)
+            return _stream(data, end, entries, compat)
     return entries, after
 
 
-def value(data: bytes, at: int):
+def value(data: bytes, at: int, compat: bool = False):
     """The object at ``at`` and its end."""
     t, after = token(data, at)
     if t is None:
         raise parse_error("object expected", at)
     if isinstance(t, Word):
         if t == b"<<":
-            return _dict(data, after)
+            return _dict(data, after, compat)
         if t == b"[":
             items = []
             while True:
@@ -195,7 +241,7 @@ def value(data: bytes, at: int):
                     return items, end
                 if closing is None:
                     raise parse_error("array without an end", after)
-                item, after = value(data, after)
+                item, after = value(data, after, compat)
                 items.append(item)
         if t in (b"true", b"false", b"null"):
             return {b"true": True, b"false": False, b"null": None}[bytes(t)], after

@@ -22,45 +22,50 @@ from pagesift.sources.workers import share_package
 PERMISSIVE, FAILFAST, DROPMALFORMED = "PERMISSIVE", "FAILFAST", "DROPMALFORMED"
 
 _SPAN = pa.struct([("ord", pa.int32()), ("text", pa.string()), ("x", pa.float64()), ("y", pa.float64()), ("font_size", pa.float64()), ("font_name", pa.string())])
-_ERROR = pa.struct([("class", pa.string()), ("message", pa.string()), ("position", pa.int64())])
+_ERROR = pa.struct([("class", pa.string()), ("message", pa.string()), ("position", pa.int64()), ("stage", pa.string())])
 _PAGES = pa.schema([("doc_id", pa.string()), ("page_no", pa.int32()), ("spans", pa.list_(_SPAN)), ("error", _ERROR)])
 #: Spans after which a batch of pages is handed on, which bounds a task's memory.
 BATCH_SPANS = 50_000
 
 
-def parse_pages(content: bytes | None, page_no: int | None = None) -> Iterator[tuple[int | None, list[dict] | None, dict | None]]:
+def _guarded(work, stage: str):
+    """What ``work`` returns and None, or None and an error row. Whatever a malformed file
+    does, it is an error of that file and never of the job."""
+    try:
+        return work(), None
+    except PdfError as e:
+        return None, e.row(stage)
+    except RecursionError:
+        return None, PdfError("Parse", "objects nested too deeply").row(stage)
+    except (TypeError, ValueError, KeyError, IndexError, AttributeError, OverflowError, MemoryError) as e:
+        return None, PdfError("InvalidStructure", f"{type(e).__name__}: {e}").row(stage)
+
+
+def parse_pages(content: bytes | None, page_no: int | None = None, compat: bool = False) -> Iterator[tuple[int | None, list[dict] | None, dict | None]]:
     """``(page_no, spans, error)`` of each page. A file that can't be read is one row with
     neither page number nor spans; a bad page has an error and no spans. Of one asked-for
     page only its own objects are read."""
     from pagesift.pdf.file import PdfFile
 
-    try:
-        file = PdfFile(content or b"")
-        wanted = range(len(file.pages)) if page_no is None else [page_no]
-        if page_no is not None:
-            file.page(page_no)
-    except PdfError as e:
-        yield None, None, e.row()
-        return
-    except RecursionError:
-        yield None, None, PdfError("Parse", "objects nested too deeply").row()
+    file, error = _guarded(lambda: PdfFile(content or b"", compat), "parse")
+    if error is None:
+        found, error = _guarded(lambda: len(file.pages), "pages")
+    if error is None and page_no is not None:
+        _, error = _guarded(lambda: file.page(page_no), "page")
+    if error is not None:
+        yield None, None, error
         return
-    for number in wanted:
-        try:
-            spans = [{"ord": i, **s._asdict()} for i, s in enumerate(file.page_spans(number))]
-            yield number, spans, None
-        except PdfError as e:
-            yield number, None, e.row()
-        except RecursionError:
-            yield number, None, PdfError("Parse", "objects nested too deeply").row()
+    for number in range(found) if page_no is None else [page_no]:
+        spans, error = _guarded(lambda: [{"ord": i, **s._asdict()} for i, s in enumerate(file.page_spans(number))], "page")  # noqa: B023
+        yield number, spans, error
 
 
-def _reader(page_no: int | None, mode: str):
+def _reader(page_no: int | None, mode: str, compat: bool):
     def read(batches):
         held, size = [], 0
         for batch in batches:
             for doc, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for number, spans, error in parse_pages(body.as_py(), page_no):
+                for number, spans, error in parse_pages(body.as_py(), page_no, compat):
                     if error and mode == FAILFAST:
                         raise ValueError(f"{doc}, page {number}: {error['class']} {error['message']}")
                     if error and mode == DROPMALFORMED:
@@ -76,17 +81,18 @@ def _reader(page_no: int | None, mode: str):
     return read
 
 
-def pages(files: DataFrame, id_col: str = "path", content_col: str = "content", page_no: int | None = None, mode: str = PERMISSIVE) -> DataFrame:
+def pages(files: DataFrame, id_col: str = "path", content_col: str = "content", page_no: int | None = None, mode: str = PERMISSIVE, compat: bool = False) -> DataFrame:
     """``doc_id, page_no, spans, error`` of files given as bytes; batch or stream.
 
     ``mode``: PERMISSIVE keeps errors as values, FAILFAST fails on the first,
     DROPMALFORMED leaves pages with errors out. Null content is a file without a header.
+    ``compat`` reads malformed files as :class:`pagesift.pdf.file.PdfFile` says.
     """
     if mode not in (PERMISSIVE, FAILFAST, DROPMALFORMED):
         raise ValueError(f"unknown mode {mode!r}")
     share_package(files.sparkSession)
     rows = files.select(F.col(id_col).cast("string").alias("doc_id"), F.col(content_col).cast("binary").alias("content"))
-    return rows.mapInArrow(_reader(page_no, mode), PAGES)
+    return rows.mapInArrow(_reader(page_no, mode, compat), PAGES)
 
 
 def scan_files(spark: SparkSession, path: str, glob: str = "*.pdf", max_bytes: int | None = None) -> DataFrame:
@@ -96,8 +102,8 @@ def scan_files(spark: SparkSession, path: str, glob: str = "*.pdf", max_bytes: i
     return files if max_bytes is None else files.where(F.col("length") <= max_bytes)
 
 
-def read_pdfs(spark: SparkSession, path: str, page_no: int | None = None, mode: str = PERMISSIVE, **scan) -> DataFrame:
-    return pages(scan_files(spark, path, **scan), page_no=page_no, mode=mode)
+def read_pdfs(spark: SparkSession, path: str, page_no: int | None = None, mode: str = PERMISSIVE, compat: bool = False, **scan) -> DataFrame:
+    return pages(scan_files(spark, path, **scan), page_no=page_no, mode=mode, compat=compat)
 
 
 @udtf(returnType=f"page_no int, spans array<{SPAN}>, error {ERROR}")
@@ -125,12 +131,13 @@ class PdfInfo:
     def eval(self, content: bytes):
         from pagesift.pdf.file import PdfFile
 
-        try:
+        def facts():
             file = PdfFile(content or b"")
             root = file.trailer.get("Root")
-            yield file.object_count, len(file.pages), f"{root.number} {root.generation} R", None
-        except PdfError as e:
-            yield None, None, None, e.row()
+            return file.object_count, len(file.pages), f"{root.number} {root.generation} R"
+
+        found, error = _guarded(facts, "parse")
+        yield *(found or (None, None, None)), error
 
 
 @udtf(returnType="obj_num bigint, offset bigint, generation int, in_use boolean, compressed boolean")
@@ -140,11 +147,44 @@ class PdfXref:
     def eval(self, content: bytes):
         from pagesift.pdf.file import PdfFile
 
-        try:
-            for number, e in sorted(PdfFile(content or b"").xref.items()):
-                yield number, e.offset, e.generation, e.in_use, e.compressed
-        except PdfError:
+        for number, e in _guarded(lambda: sorted(PdfFile(content or b"").xref.items()), "parse")[0] or ():
+            yield number, e.offset, e.generation, e.in_use, e.compressed
+
+
+@udtf(returnType=f"obj_num bigint, generation int, kind string, keys array<string>, error {ERROR}")
+class PdfObjects:
+    """Every object in use: its type and, of a dictionary or stream, its sorted keys."""
+
+    def eval(self, content: bytes):
+        from pagesift.pdf.file import PdfFile
+        from pagesift.pdf.syntax import Ref, as_dict, kind_of
+
+        file, error = _guarded(lambda: PdfFile(content or b""), "parse")
+        if error:
+            yield None, None, None, None, error
             return
+        for number, e in sorted(file.xref.items()):
+            if e.in_use:
+                found, error = _guarded(lambda: (kind_of(o := file.resolve(Ref(number, e.generation))), sorted(as_dict(o) or ())), "object")  # noqa: B023
+                yield number, None if e.compressed else e.generation, *(found or (None, None)), error
+
+
+@udtf(returnType=f"page_no int, name string, encoding string, mapped int, error {ERROR}")
+class PdfFonts:
+    """The fonts of every page by resource name: a code page, or how many codes are mapped."""
+
+    def eval(self, content: bytes):
+        from pagesift.pdf.file import PdfFile
+
+        pages, error = _guarded(lambda: (f := PdfFile(content or b"")) and [(f, p) for p in f.pages], "parse")
+        if error:
+            yield None, None, None, None, error
+        for number, (file, page) in enumerate(pages or ()):
+            listed, error = _guarded(lambda: sorted(file.page_fonts(page).items()), "page")  # noqa: B023
+            if error:
+                yield number, None, None, None, error
+            for name, font in listed or ():
+                yield number, name, "map" if font.cids else "table", len(font.cids) or None, None
 
 
 @udtf(returnType=f"ord int, kind string, value string, position bigint, error {ERROR}")
@@ -154,12 +194,12 @@ class PdfTokens:
     def eval(self, content: bytes):
         from pagesift.pdf.syntax import tokens
 
-        i = -1
-        try:
-            for i, (kind, value, at) in enumerate(tokens(content or b"")):
-                yield i, kind, value, at, None
-        except PdfError as e:
-            yield i + 1, None, None, None, e.row()
+        found = []
+        _, error = _guarded(lambda: found.extend(tokens(content or b"")), "object")
+        for i, (kind, value, at) in enumerate(found):
+            yield i, kind, value, at, None
+        if error:
+            yield len(found), None, None, None, error
 
 
 @udtf(returnType=f"ord int, text string, x double, y double, font_size double, font_name string, error {ERROR}")
@@ -169,11 +209,11 @@ class ContentSpans:
     def eval(self, content: bytes):
         from pagesift.pdf.content import raw_spans
 
-        try:
-            for i, s in enumerate(raw_spans(content or b"", {})):
-                yield i, *s, None
-        except PdfError as e:
-            yield None, None, None, None, None, None, e.row()
+        spans, error = _guarded(lambda: raw_spans(content or b"", {}), "page")
+        for i, s in enumerate(spans or ()):
+            yield i, *s, None
+        if error:
+            yield None, None, None, None, None, None, error
 
 
 def _merged(batches):
@@ -196,9 +236,9 @@ def merge_spans(pages: DataFrame) -> DataFrame:
 
 def register(spark: SparkSession) -> None:
     """The table functions ``pdf_pages``, ``pdf_spans``, ``pdf_info``, ``pdf_xref``,
-    ``pdf_tokens``, ``content_spans`` and the function ``flate_decode`` for SQL."""
+    ``pdf_objects``, ``pdf_fonts``, ``pdf_tokens``, ``content_spans`` and the function ``flate_decode`` for SQL."""
     share_package(spark)
-    for name, f in {"pdf_pages": PdfPages, "pdf_spans": PdfSpans, "pdf_info": PdfInfo, "pdf_xref": PdfXref, "pdf_tokens": PdfTokens, "content_spans": ContentSpans}.items():
+    for name, f in {"pdf_pages": PdfPages, "pdf_spans": PdfSpans, "pdf_info": PdfInfo, "pdf_xref": PdfXref, "pdf_objects": PdfObjects, "pdf_fonts": PdfFonts, "pdf_tokens": PdfTokens, "content_spans": ContentSpans}.items():
         spark.udtf.register(name, f)
     spark.udf.register("flate_decode", flate_decode())
 
