@@ -77,4 +77,10 @@ def elements_to_markdown(elements: Column) -> Column:
 def join_pages(bodies: Column) -> Column:
     """Page texts in page order: leading empty pages leave nothing, a later one a line
     feed."""
-    return F.aggregate(bodies, F.lit(""), lambda a, p: F.when(a == "", p).otherwise(F.concat(a, F.lit("\n"), p)))
+    return from_first(bodies, lambda b: b, lambda left: F.array_join(left, "\n"))
+
+
+def from_first(pages: Column, body, joined) -> Column:
+    """``joined`` of the pages from the first on whose ``body`` isn't empty, or ''."""
+    at = F.array_position(F.transform(pages, lambda p: body(p) != ""), F.lit(True)).cast("int")
+    return let(at, lambda k: F.when(k > 0, joined(F.slice(pages, F.greatest(k, F.lit(1)), F.greatest(F.size(pages), F.lit(1))))).otherwise(F.lit("")))

@@ -31,3 +31,27 @@ def table_from_spans(spans: Column) -> Column:
         return F.when(F.size(kept) == 0, _empty()).otherwise(made)
 
     return let(cluster.drop_blank(spans), grid)
+
+
+def numbered_rows(table: Column) -> Column:
+    """``array<struct<row_idx, cells>>`` of a table."""
+    return F.transform(table["rows"], lambda r, i: F.struct(i.alias("row_idx"), r.alias("cells")))
+
+
+def keyword_rows(table: Column, words) -> Column:
+    """The numbered rows whose joined, lower-cased text has one of ``words``."""
+
+    def hit(row: Column) -> Column:
+        line = F.lower(F.array_join(row["cells"], " "))
+        out = F.lit(False)
+        for w in words:
+            out = out | F.contains(line, F.lit(w.lower()))
+        return out
+
+    return F.filter(numbered_rows(table), hit)
+
+
+def row_slice(table: Column, first: int, last: int) -> Column:
+    """The numbered rows ``first`` to ``last`` that aren't empty."""
+    inside = lambda row: (row["row_idx"] >= first) & (row["row_idx"] <= last)
+    return F.filter(numbered_rows(table), lambda row: inside(row) & F.exists(row["cells"], lambda c: c != ""))

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagesift.functions import text as T
-from pagesift.operators import cluster, layout, render
+from pagesift.functions.csv import csv_rows, format_size, row_count
+from pagesift.operators import cluster, layout, render, table
 from pagesift.operators.table import table_from_spans
 from pagesift.plans import fixtures, pdf_queries
 from pagesift.plans import oracles as O
@@ -95,21 +96,18 @@ def _elements(name: str) -> Query:
     return run
 
 
+def _numbered(df: DataFrame, rows: Column) -> DataFrame:
+    """Rows of tables with their number and their cells that aren't empty."""
+    shown = F.array_join(F.filter("r.cells", lambda c: c != ""), " / ")
+    return df.select("doc_id", "page_no", F.explode(rows).alias("r")).select("doc_id", "page_no", _long(F.col("r.row_idx")).alias("row_idx"), shown.alias("text"))
+
+
 def keyword_rows(spark, sf, words=("|x",), name="spans_statement"):
-    """Rows whose lower-cased joined text has a keyword; cells that aren't empty."""
-    rows = _grid(spark, sf, name).select("doc_id", "page_no", F.posexplode("t.rows").alias("row", "r"))
-    line = F.lower(F.array_join("r", " "))
-    hit = F.lit(False)
-    for w in words:
-        hit = hit | F.contains(line, F.lit(w.lower()))
-    shown = F.array_join(F.filter("r", lambda c: c != ""), " / ")
-    return rows.where(hit).select("doc_id", "page_no", _long(F.col("row")).alias("row_idx"), shown.alias("text"))
+    return _numbered(_grid(spark, sf, name), table.keyword_rows(F.col("t"), words))
 
 
 def row_slice(spark, sf):
-    rows = _grid(spark, sf, "spans_statement").select("doc_id", "page_no", F.posexplode("t.rows").alias("row", "r")).where("row between 8 and 19")
-    shown = F.array_join(F.filter("r", lambda c: c != ""), " / ")
-    return rows.where(F.exists("r", lambda c: c != "")).select("doc_id", "page_no", _long(F.col("row")).alias("row_idx"), shown.alias("text"))
+    return _numbered(_grid(spark, sf, "spans_statement"), table.row_slice(F.col("t"), 8, 19))
 
 
 def page_count(spark, sf):
@@ -181,19 +179,27 @@ def decode_bytes(spark, sf):
 
 
 def parse_tounicode(spark, sf):
-    rows = spark.range(1).select(F.explode(T.parse_tounicode(F.lit(CMAP))).alias("cid", "letter"))
-    return rows.select(_long(F.col("cid")).alias("cid"), "letter")
+    """A character map of one character and a range for each part."""
+    k = F.col("p_partkey") % 500 + 4
+    cmap = F.format_string("1 beginbfchar <0003> <0020> endbfchar 1 beginbfrange <%04X> <%04X> <0061> endbfrange", k, k + 25)
+    rows = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", F.explode(T.parse_tounicode(cmap)).alias("cid", "letter"))
+    return rows.select("p_partkey", _long(F.col("cid")).alias("cid"), "letter")
 
 
 def parse_csv_rows(spark, sf):
-    """CSV text back to cells: doubled quotes, carriage returns and all-empty rows out."""
-    S = F.col("spans")
-    csv = _grid(spark, sf).select("doc_id", "page_no", render.to_csv(F.col("t")).alias("csv"))
-    lines = csv.select("doc_id", "page_no", F.posexplode(F.regexp_extract_all(F.regexp_replace("csv", "\r", ""), F.lit(r'((?:"(?:[^"]|"")*"|[^"\n])+)'), F.lit(1))).alias("i", "line"))
-    parts = F.regexp_extract_all("line", F.lit(r'(?:^|,)("(?:[^"]|"")*"|[^,]*)'), F.lit(1))
-    bare = F.transform(parts, lambda c: F.when(c.startswith('"'), F.replace(F.substr(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
-    rows = lines.select("doc_id", "page_no", _long(F.col("i")).alias("row_idx"), bare.alias("cells")).where(F.exists("cells", lambda c: c != ""))
-    return rows.select("doc_id", "page_no", "row_idx", F.array_join("cells", " / ").alias("text"))
+    """CSV text back to cells."""
+    rows = _grid(spark, sf).select("doc_id", "page_no", F.posexplode(csv_rows(render.to_csv(F.col("t")))).alias("i", "cells"))
+    return rows.select("doc_id", "page_no", _long(F.col("i")).alias("row_idx"), F.array_join("cells", " / ").alias("text"))
+
+
+def csv_row_count(spark, sf):
+    return _grid(spark, sf).select("doc_id", "page_no", _long(row_count(render.to_csv(F.col("t")))).alias("n"))
+
+
+def sizes(spark, sf):
+    """Sizes of all magnitudes, from the prices of orders."""
+    size = _long(F.round(F.col("o_totalprice") * 100)) % F.element_at(F.array(F.lit(900), F.lit(1_000_000), F.lit(10_000_000_000)), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    return spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", format_size(size).alias("size"))
 
 
 QUERIES: dict[str, Query] = {
@@ -231,6 +237,8 @@ QUERIES: dict[str, Query] = {
     "parse_tounicode": parse_tounicode,
     "decode_bytes": decode_bytes,
     "parse_csv_rows": parse_csv_rows,
+    "row_count": csv_row_count,
+    "format_size": sizes,
 }
 
 _P = "doc_id, page_no"
@@ -283,9 +291,12 @@ ORACLES: dict[str, str] = {
     "enc_macroman": f"SELECT doc_id, {_chars(T.MACROMAN)} AS text FROM documents",
     "decode_default": r"SELECT doc_id, regexp_replace(text, '[^\x20-\x7e\x{a0}-\x{ff}]', ' ', 'g') AS text FROM documents",
     "ascii_hex_decode": "SELECT p_partkey, p_name AS text FROM part",
-    "parse_tounicode": "SELECT i AS cid, chr((i + 29)::INT) AS letter FROM range(3, 94) r(i)",
+    "parse_tounicode": "SELECT p_partkey, 3::BIGINT AS cid, ' ' AS letter FROM part UNION ALL SELECT p_partkey, (p_partkey % 500 + 4 + i)::BIGINT, chr((97 + i)::INT) FROM part, range(26) r(i)",
     "decode_bytes": "SELECT p_partkey, p_name AS text FROM part",
     "parse_csv_rows": O.table_rows(_LI) + f"SELECT {_P}, row_idx, string_agg(text, ' / ' ORDER BY col_idx) AS text FROM tcells GROUP BY {_P}, row_idx HAVING bool_or(text <> '')",
+    "row_count": O.table_rows(_LI) + f", r AS (SELECT {_P}, row_idx FROM tcells GROUP BY {_P}, row_idx HAVING bool_or(text <> '')) SELECT {_P}, count(*) - 1 AS n FROM r GROUP BY {_P}",
+    "format_size": "SELECT o_orderkey, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.1f KB', floor(b * 10 / 1024.0 + 0.5) / 10) ELSE printf('%.1f MB', floor(b * 10 / 1048576.0 + 0.5) / 10) END AS size "
+    "FROM (SELECT o_orderkey, round(o_totalprice * 100)::BIGINT % CASE o_orderkey % 3 WHEN 0 THEN 900 WHEN 1 THEN 1000000 ELSE 10000000000 END AS b FROM orders)",
 }
 
 

@@ -58,9 +58,28 @@ def _udtf(spark, df: DataFrame, call: str, keep: str) -> DataFrame:
 
 
 def pdf_xref(spark, sf):
-    """Where catalog and page tree of each file lie: in an object stream or not."""
-    rows = _udtf(spark, files(spark, sf), "pdf_xref(content)", "path AS doc_id").where("in_use and obj_num <= 2")
-    return rows.select("doc_id", "obj_num", "compressed")
+    """The objects of each file, and how many of them lie in an object stream."""
+    rows = _udtf(spark, files(spark, sf), "pdf_xref(content)", "path AS doc_id").where("in_use")
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.count(F.when(F.col("compressed"), 1)).alias("n_compressed"))
+
+
+def object_count(spark, sf):
+    return api.page_counts(files(spark, sf)).select("doc_id", "object_count")
+
+
+def pdf_objects(spark, sf):
+    """Pages and streams among the objects of each file."""
+    rows = _udtf(spark, files(spark, sf), "pdf_objects(content)", "path AS doc_id")
+    return rows.groupBy("doc_id").agg(F.count(F.when(F.array_contains("keys", "Resources"), 1)).alias("pages"), F.count(F.when(F.col("kind") == "dict", 1)).alias("dicts"))
+
+
+def pdf_fonts(spark, sf):
+    rows = _udtf(spark, files(spark, sf), "pdf_fonts(content)", "path AS doc_id")
+    return rows.select("doc_id", F.col("page_no").cast("long").alias("page_no"), "name", "encoding", F.col("mapped").cast("long").alias("mapped"))
+
+
+def _named(call, *args):
+    return lambda spark, sf: call(files(spark, sf), *args).where("error is null").select("doc_id", "body")
 
 
 def _bodies(fmt: str):
@@ -130,39 +149,103 @@ def flate_decode(spark, sf):
     return rows.select("p_partkey", F.decode(pdf.flate_decode()("packed"), "UTF-8").alias("text"))
 
 
-def _damaged() -> dict[str, tuple[bytes, str]]:
-    """One broken file for each error, with the class it has."""
-    span = {"text": "text", "x": 1.0, "y": 2.0, "font_size": 10.0, "font_name": "F1"}
+def _predicted(parms: bytes, rows: bytes) -> bytes:
+    """A page whose content is coded by a predictor."""
+    import zlib
+
+    data = zlib.compress(rows)
+    b = pdf_writer._Builder(())
+    root, tree, page, body = (b.add(b"") for _ in range(4))
+    b.add(b"<< /Type /Catalog /Pages 2 0 R >>", root)
+    b.add(b"<< /Type /Pages /Count 1 /Kids [3 0 R] >>", tree)
+    b.add(b"<< /Type /Page /Contents 4 0 R >>", page)
+    b.add(b"<< /Length %d /Filter /FlateDecode /DecodeParms << %s >> >>\nstream\n%s\nendstream" % (len(data), parms, data), body)
+    out = bytearray(b"%PDF-1.4\n")
+    pdf_writer._rows(out, b.bodies, root, 5, None)
+    return bytes(out)
+
+
+def _damaged(text: str = "text") -> dict[str, tuple[bytes, str]]:
+    """Broken files of one span, with the class each has."""
+    span = {"text": text, "x": 1.0, "y": 2.0, "font_size": 10.0, "font_name": "F1"}
     good, packed, boxed = (pdf_writer.write([[span]], v) for v in ((), ("flate",), ("stream",)))
     return {
         "array": (good.replace(b"/Kids [", b"/Kids [[ "), "Parse"),
         "contents": (good.replace(b"/Contents", b"/Nothings"), "InvalidStructure"),
         "deflate": (packed.replace(b"stream\nx", b"stream\ny"), "DecompressError"),
+        "dictionary": (good[: good.rfind(b"trailer\n<<")] + b"trailer\n<< /Size 9 /Root 1 0 R\nstartxref\n%d\n%%%%EOF\n" % good.rfind(b"xref\n0 1"), "Parse"),
         "filter": (packed.replace(b"/FlateDecode", b"/OtherDecode"), "UnsupportedFilter"),
         "header": (b"x" + good, "MissingHeader"),
         "length": (good.replace(b"/Length ", b"/Length 99"), "Parse"),
+        "member": (boxed.replace(b"/N 5", b"/N 1", 1), "InvalidStructure"),
         "name": (good.replace(b"/Contents", b"/Con#ffnts"), "InvalidUtf8"),
         "number": (good.replace(b"2 0 obj", b"9 0 obj"), "Parse"),
         "object": (good.replace(b"/Pages 2 0 R", b"/Pages 9 0 R"), "ObjectNotFound"),
+        "predictor": (_predicted(b"/Predictor /Up", b""), "InvalidStructure"),
+        "ranges": (boxed.replace(b"/W [1 4 2]", b"/W [1 4 2] /Index 3"), "InvalidStructure"),
         "root": (good.replace(b"/Root 1 0 R", b"/Root 1 0  "), "Parse"),
         "rootname": (good.replace(b"/Root 1 0 R", b"/Root /None"), "InvalidStructure"),
         "section": (good.replace(b"\n0 1\n", b"\nx 1\n"), "InvalidXref"),
         "startxref": (good.replace(b"startxref", b"startyref"), "MissingEof"),
+        "string": (good.replace(b"/Type /Catalog", b"/Type (Catalog"), "Parse"),
         "trailer": (good.replace(b"trailer\n<<", b"trailer\n[ "), "Parse"),
         "widths": (boxed.replace(b"/W [1 4 2]", b"/W [1 4]  "), "InvalidStructure"),
     }
 
 
+def _write_damaged(batches):
+    for batch in batches:
+        made = []
+        for doc, of in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            damaged = _damaged(f"text {doc}")
+            made.append(damaged[sorted(damaged)[of]][0])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["path", "content"])
+
+
 def errors(spark, sf):
-    rows = spark.createDataFrame([(k, bytearray(v)) for k, (v, _) in _damaged().items()], "path string, content binary")
+    """A broken file for each document, in all ways in turn."""
+    share_package(spark)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").cast("string"), (F.col("doc_id") % len(_damaged())).cast("int").alias("of"))
+    rows = docs.mapInArrow(_write_damaged, "path string, content binary")
     return pdf.pages(rows).where("error is not null").select("doc_id", F.col("error.class").alias("class"))
 
 
+def _write_predicted(batches):
+    """Pages coded by differences (2) and by each row filter of PNG."""
+    for batch in batches:
+        made = []
+        for name, key in zip(batch.column(1).to_pylist(), batch.column(0).to_pylist(), strict=True):
+            plain = f"BT /F1 8 Tf 5 {key % 90} Td ({name}) Tj ET".encode()
+            plain += b" " * (-len(plain) % 12)
+            rows, filtered, above = [plain[i : i + 12] for i in range(0, len(plain), 12)], bytearray(), bytes(12)
+            kind = key % 6
+            for row in rows:
+                left, corner = b"\0\0\0" + row[:-3], b"\0\0\0" + above[:-3]
+                guess = [bytes(12), left, above, bytes((a + b) // 2 for a, b in zip(left, above, strict=True)), bytes(min((a, b, c), key=lambda v: abs(a + b - c - v)) for a, b, c in zip(left, above, corner, strict=True)), left][kind]  # noqa: B023
+                filtered += (b"" if kind == 5 else bytes([kind])) + bytes((x - g) & 255 for x, g in zip(row, guess, strict=True))
+                above = row
+            made.append(_predicted(b"/Predictor %d /Colors 3 /Columns 4" % (2 if kind == 5 else 10 + kind), bytes(filtered)))
+        yield pa.RecordBatch.from_arrays([pa.array([str(k) for k in batch.column(0).to_pylist()]), pa.array(made, pa.binary())], ["path", "content"])
+
+
+def predictors(spark, sf):
+    share_package(spark)
+    rows = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", "p_name").mapInArrow(_write_predicted, "path string, content binary")
+    return _flat(pdf.pages(rows)).select("doc_id", "text", "y")
+
+
 QUERIES = {
     "extract_page_text": extract_page_text,
     "get_page": get_page,
     "page_tree": page_tree,
     "pdf_xref": pdf_xref,
+    "object_count": object_count,
+    "pdf_objects": pdf_objects,
+    "pdf_fonts": pdf_fonts,
+    "pdf_to_tsv": _named(api.pdf_to_tsv),
+    "pdf_page_to_csv": _named(api.pdf_page_to_csv, 1),
+    "pdf_page_count": lambda spark, sf: api.pdf_page_count(files(spark, sf)).select("doc_id", "page_count"),
+    "predictors": predictors,
     "bytes_to_txt": _bodies("txt"),
     "bytes_to_markdown": _bodies("md"),
     "bytes_to_csv": _bodies("csv"),
@@ -197,11 +280,35 @@ _SINGLE = "CASE WHEN gap > -15 AND gap < 15 THEN '' END"
 _MULTI = "CASE WHEN gap > -10 AND gap < 4 THEN '' WHEN gap < 10 THEN ' ' END"
 _TENTH = lambda c: f"printf('%.1f', {c})"
 
+_WAY = f"list_sum(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c))) % {len(pdf_writer.VARIANTS)}"
+_CMAP = next(i for i, v in enumerate(pdf_writer.VARIANTS) if "cmap" in v)
+
+
+def _counted(what: str) -> str:
+    """Facts of each file by what its variant writes: catalog, tree, font and resources, a
+    page and its streams, and what the variant adds."""
+    ways = lambda name: f"way IN ({', '.join(str(i) for i, v in enumerate(pdf_writer.VARIANTS) if name in v)})"
+    return (
+        O.with_(O.spans(_DOCS))
+        + f""", pages_of AS (SELECT doc_id, page_no, {_WAY} AS way, count(*) AS k FROM spans GROUP BY doc_id, page_no),
+docs AS (SELECT doc_id, count(*) AS p, {ways("stream")} AS boxed, {ways("tree")} AS tree, 4 + count(*) + CASE WHEN {ways("cmap")} THEN 1 ELSE 0 END
+  + sum(CASE WHEN {ways("parts")} AND k > 1 THEN 2 ELSE 1 END) * CASE WHEN {ways("length")} THEN 2 ELSE 1 END
+  + CASE WHEN {ways("tree")} THEN (count(*) + 1) // 2 ELSE 0 END + CASE WHEN {ways("stream")} THEN 2 ELSE 0 END AS n FROM pages_of GROUP BY doc_id, way)
+SELECT {what} FROM docs"""
+    )
+
+
 ORACLES = {
     "extract_page_text": O.with_(O.spans(_DOCS)) + f"SELECT {_OUT} FROM spans",
     "get_page": O.with_(O.spans(_DOCS)) + f"SELECT {_OUT} FROM spans WHERE page_no = 1",
-    "pdf_xref": "SELECT doc_id::VARCHAR AS doc_id, n.n AS obj_num, list_sum(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c))) % "
-    + f"{len(pdf_writer.VARIANTS)} IN ({', '.join(str(i) for i, v in enumerate(pdf_writer.VARIANTS) if 'stream' in v)}) AS compressed FROM documents, (VALUES (1::BIGINT), (2)) n(n) WHERE trim(text) <> ''",
+    "pdf_xref": _counted("doc_id, n, CASE WHEN boxed THEN 4 + p ELSE 0 END AS n_compressed"),
+    "object_count": _counted("doc_id, n AS object_count"),
+    "pdf_objects": _counted("doc_id, p AS pages, 4 + p + CASE WHEN tree THEN (p + 1) // 2 ELSE 0 END AS dicts"),
+    "pdf_fonts": O.with_(O.spans(_DOCS)) + f"SELECT {_P}::BIGINT AS page_no, 'F1' AS name, CASE WHEN {_WAY} = {_CMAP} THEN 'map' ELSE 'table' END AS encoding, CASE WHEN {_WAY} = {_CMAP} THEN 224::BIGINT END AS mapped FROM spans GROUP BY {_P}",
+    "pdf_to_tsv": O.table_rows(_DOCS) + f", l AS (SELECT {_P}, row_idx, string_agg(replace(text, chr(9), ' '), chr(9) ORDER BY col_idx) AS line FROM tcells GROUP BY {_P}, row_idx), pages_t AS (SELECT {_P}, string_agg(line, chr(10) ORDER BY row_idx) AS body FROM l GROUP BY {_P}) {_FULL}",
+    "pdf_page_to_csv": O.table_rows(_DOCS) + f", l AS (SELECT {_P}, row_idx, string_agg({O.CSV_CELL}, ',' ORDER BY col_idx) AS line FROM tcells WHERE page_no = 1 GROUP BY {_P}, row_idx) SELECT doc_id, string_agg(line, chr(10) ORDER BY row_idx) AS body FROM l GROUP BY doc_id",
+    "pdf_page_count": O.with_(O.spans(_DOCS)) + "SELECT doc_id, count(DISTINCT page_no) AS page_count FROM spans GROUP BY doc_id",
+    "predictors": "SELECT p_partkey::VARCHAR AS doc_id, p_name AS text, (p_partkey % 90)::DOUBLE AS y FROM part",
     "page_tree": O.with_(O.spans(_DOCS)) + "SELECT doc_id, count(DISTINCT page_no) AS page_count FROM spans GROUP BY doc_id",
     "bytes_to_txt": O.with_(*O.elements(_DOCS)) + f", pages_t AS (SELECT {_P}, txt AS body FROM pages_out) {_FULL}",
     "bytes_to_markdown": O.with_(*O.elements(_DOCS)) + f", pages_t AS (SELECT {_P}, md AS body FROM pages_out) {_FULL}",
@@ -214,5 +321,5 @@ SELECT doc_id, string_agg(CASE WHEN page_no = 0 THEN '' ELSE chr(10) || '--- Pag
     "content_ops": _CONTENT_SQL,
     "pdf_tokens": _TOKEN_SQL,
     "flate_decode": "SELECT p_partkey, p_name AS text FROM part",
-    "pdf_errors": "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{c}')" for k, (_, c) in _damaged().items()) + ") v(doc_id, class)",
+    "pdf_errors": f"SELECT doc_id::VARCHAR AS doc_id, ([{', '.join(repr(c) for _, (_, c) in sorted(_damaged().items()))}])[doc_id % {len(_damaged())} + 1] AS class FROM documents",
 }

@@ -86,3 +86,23 @@ def test_character_map(spark):
     m = one(df, T.parse_tounicode(F.col("m")))
     assert m == {3: " ", 0x24: "A", 0x25: "B", 0x26: "C", 0x30: "a", 0x31: "b"}
     assert one(df, T.decode_bytes(F.col("b"), T.parse_tounicode(F.col("m")))) == "AB \x00\x99z"
+
+
+def test_csv_back_to_rows(spark):
+    from pagesift.functions.csv import csv_rows, format_size, row_count
+
+    text = 'h1,"h,2"\r\n\n,,\n"a ""b""","x\r\ny"\r\nlast'
+    df = spark.createDataFrame([(text,)], "t string")
+    assert one(df, csv_rows(F.col("t"))) == [["h1", "h,2"], ['a "b"', "x\r\ny"], ["last"]]
+    assert one(df, row_count(F.col("t"))) == 2 and one(df, row_count(F.lit(""))) == 0
+    sizes = {0: "0 B", 1023: "1023 B", 1024: "1.0 KB", 1280: "1.3 KB", 1075: "1.0 KB", 1 << 20: "1.0 MB", (1 << 20) * 5 // 4: "1.3 MB", 123456789012: "117737.6 MB"}
+    assert {n: one(df, format_size(F.lit(n).cast("long"))) for n in sizes} == sizes
+
+
+def test_keyword_rows_and_slices(spark):
+    from pagesift.operators import table
+
+    df = page(spark, ("Due Date", 0, 100, 12), ("x", 150, 100, 12), ("1", 0, 80, 12), ("total", 0, 60, 12), ("9", 150, 60, 12))
+    t = table_from_spans(F.col("spans"))
+    assert [(r["row_idx"], r["cells"]) for r in one(df, table.keyword_rows(t, ["date", "TOTAL 9"]))] == [(0, ["Due Date", "x"]), (2, ["total", "9"])]
+    assert [r["row_idx"] for r in one(df, table.row_slice(t, 1, 5))] == [1, 2]
