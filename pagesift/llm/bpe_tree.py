@@ -11,7 +11,9 @@ windows of a few tokens, not a pass over the whole piece a merge.
 Decoding concatenates the tokens' bytes up the same tree.
 
 Defined cases: null text counts as empty (no ids; both digests are those of no
-bytes); extra columns are not read; repeated rows are encoded each.
+bytes); a text of any length is split in segments that end where a piece must; a null id
+is passed on and repeated rows are encoded each; an empty table gives no rows; extra columns
+are not read.
 """
 
 from __future__ import annotations

@@ -17,7 +17,9 @@ and only the range in which the budget ends is ordered row by row.
 Defined cases: null branch values are the branch ``(none)``; null text has no
 tokens; a weight of zero or less gets nothing; documents without tokens are taken
 if they precede the end of a prefix; rows that repeat an id are ordered by their
-token count and are interchangeable; extra columns are not read.
+token count and are interchangeable, and so are rows without an id that have equal counts
+(their place comes from the count, so that many of them spread over the ranges); a text of
+any length is counted whole; an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -76,7 +78,7 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[str, Column],
     plan = materialize(plan.select(*names, "epochs", "rest", "ranges"), "mix-plan")
 
     placed = join_checked(rows, plan, names)
-    mark = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epochs").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    mark = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epochs").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("#"), F.col("n_tokens").cast("string")))))
     placed = placed.withColumn("mark", mark)
     at = F.conv(F.substring("mark", 1, 8), 16, 10).cast("long")
     placed = placed.withColumn("range", F.shiftright(at * F.col("ranges"), 32))

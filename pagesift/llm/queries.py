@@ -101,7 +101,7 @@ total AS (SELECT floor(sum(n_tokens)::DOUBLE * 0.75)::HUGEINT AS budget FROM d),
 plan AS (SELECT mix_domain, mix_lang, mix_source, coalesce(budget // nullif(tokens, 0), 0)::BIGINT AS epochs, coalesce(budget % nullif(tokens, 0), 0)::BIGINT AS rest
          FROM leaf JOIN l3 USING (mix_domain, mix_lang, mix_source)),
 ordered AS (
-  SELECT d.*, epochs, rest, sum(n_tokens) OVER (PARTITION BY mix_domain, mix_lang, mix_source ORDER BY md5('17:' || epochs || ':' || doc_id), n_tokens ROWS UNBOUNDED PRECEDING) AS upto
+  SELECT d.*, epochs, rest, sum(n_tokens) OVER (PARTITION BY mix_domain, mix_lang, mix_source ORDER BY md5('17:' || epochs || ':' || coalesce(doc_id::VARCHAR, '#' || n_tokens)), n_tokens ROWS UNBOUNDED PRECEDING) AS upto
   FROM d JOIN plan USING (mix_domain, mix_lang, mix_source)
 )
 SELECT doc_id, mix_domain, mix_lang, mix_source, n_tokens, (epochs + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END)::BIGINT AS copies FROM ordered

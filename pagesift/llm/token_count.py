@@ -6,11 +6,12 @@ merging and pushing the two new neighbours until the heap is empty leaves
 ``initial symbols - merges`` tokens, so no identifier list is ever built.
 
 The vocabulary is read from a byte-level ``.json`` file of the *tokenizers*
-library: its merges, its added special tokens (found inside texts and counted as
-one token each, the library's default) and its splitting pattern.
+library: its merges and its added special tokens (found inside texts and counted as
+one token each, the library's default). The splitting pattern is an argument.
 
-Defined cases: null text counts as empty (0 bytes, 0 tokens); extra columns are
-not read; repeated rows are counted each.
+Defined cases: null text counts as empty (0 bytes, 0 tokens); a text of any length is split
+in segments that end where a piece must, and counted whole; a null id is passed on and
+repeated rows are counted each; an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations

@@ -16,7 +16,9 @@ are revisits that refer to it.
 Defined cases: null html is an empty payload; null url is written as
 ``about:blank`` and blanks in a url are percent-encoded; rows that repeat the page
 id of a response are responses too (a record can't revisit itself); a null page id
-is a revisit if an equal payload has an id, else a response; extra columns are not read.
+is a revisit if an equal payload has an id, else a response; a payload larger than a frame
+is a frame of its own; an empty table gives no bundles and no rows; extra columns are not
+read.
 """
 
 from __future__ import annotations

@@ -330,3 +330,59 @@ def test_mixing_of_weightless_and_wordless_leaves(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, s string")
     got = mixing.mix(df, {"s": F.col("s")}, {"s": F.when(F.col("s") == "x", 0).otherwise(1)}, 10, max_epochs=3).collect()
     assert {r["doc_id"]: r["copies"] for r in got} == {1: 0, 2: 3, 3: 0, 4: 0}
+
+
+def test_mixing_of_rows_without_an_id(spark):
+    """They take the budget's prefix like others, spread by their token counts."""
+    rows = [(None, "w " * (1 + i % 50), "x") for i in range(300)] + [(i, "w " * 10, "x") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, s string")
+    levels, weights = {"s": F.col("s")}, {"s": F.lit(1)}
+    got = mixing.mix(df, levels, weights, 4000, seed=3, range_rows=20).collect()
+    assert len(got) == 350 and 4000 - 50 <= sum(r["n_tokens"] * r["copies"] for r in got) <= 4000
+    carried = mixing.mix(df, levels, weights, 4000, seed=3, range_rows=20, carry=True).collect()
+    assert all(len(r["row"]["text"].split()) == r["n_tokens"] and r["row"]["doc_id"] == r["doc_id"] for r in carried)
+    assert sorted(str((r["doc_id"], r["n_tokens"], r["copies"])) for r in carried) == sorted(str((r["doc_id"], r["n_tokens"], r["copies"])) for r in got)
+
+
+def test_counts_of_texts_longer_than_a_segment(spark):
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    from pagesift.llm import pieces
+
+    random.seed(12)
+    text = " ".join(random.choice(["word", "Wörter", "12 345", "x" * 300, "\n\n", "don't"]) for _ in range(40_000))
+    assert len(text) > 8 * pieces.SEGMENT
+    df = spark.createDataFrame([(None, text)], "doc_id long, text string")
+    assert token_count.token_counts(df, JSON, public.PATTERN).first()["n_tokens"] == len(Tokenizer.from_file(JSON).encode(text, add_special_tokens=False).ids)
+    codec = bpe_tree.TreeCodec(RANKS, public.PATTERN)
+    enc = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
+    want = enc.encode_ordinary(text)
+    got = bpe_tree.encode_digests(df, RANKS, public.PATTERN).first()
+    assert got["n_tokens"] == len(want) and got["ids_sha256"] == hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in want)).hexdigest()
+
+
+def test_a_cluster_needs_a_named_folder(spark, monkeypatch):
+    from pagesift.llm import common
+
+    class Context:
+        master = "spark://host:7077"
+        getConf = lambda self: {}
+        getCheckpointDir = lambda self: None
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session())
+
+
+def test_scratch_tables_go(spark):
+    from pagesift.llm import common
+
+    with common.scratch() as keep:
+        one = common.materialize(spark.range(3), "one")
+        two = common.materialize(spark.range(4), "two")
+        keep(two)
+    assert two.count() == 4 and one._pagesift_path not in common._written
+    common.release(two)
