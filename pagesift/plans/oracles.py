@@ -24,13 +24,13 @@ def rows(p: str, source: str, keys: str, tolerance: str | None = None) -> str:
     on = " AND ".join(f"r.{c} = s.{c}" for c in k)
     tol = f"SELECT {keys}, {tolerance or 'avg(font_size) * 0.5'} AS tol FROM {source} GROUP BY {keys}"
     return f"""{p}tol AS ({tol}),
-{p}s AS (SELECT a.*, tol, row_number() OVER (PARTITION BY {", ".join("a." + c for c in k)} ORDER BY y DESC, x, ord) AS idx FROM {source} a JOIN {p}tol USING ({keys})),
+{p}s AS MATERIALIZED (SELECT a.*, tol, row_number() OVER (PARTITION BY {", ".join("a." + c for c in k)} ORDER BY y DESC, x, ord) AS idx FROM {source} a JOIN {p}tol USING ({keys})),
 {p}r AS (
   SELECT {keys}, idx, y AS at, 0::BIGINT AS row_idx FROM {p}s WHERE idx = 1
   UNION ALL
   SELECT {", ".join("s." + c for c in k)}, s.idx, CASE WHEN abs(s.y - r.at) <= s.tol THEN r.at ELSE s.y END, r.row_idx + CASE WHEN abs(s.y - r.at) <= s.tol THEN 0 ELSE 1 END
   FROM {p}r r JOIN {p}s s ON {on} AND s.idx = r.idx + 1),
-{p}rows AS (SELECT s.*, r.row_idx, row_number() OVER (PARTITION BY {", ".join("s." + c for c in k)}, r.row_idx ORDER BY s.x, s.idx) AS pos FROM {p}s s JOIN {p}r r USING ({keys}, idx))"""
+{p}rows AS MATERIALIZED (SELECT s.*, r.row_idx, row_number() OVER (PARTITION BY {", ".join("s." + c for c in k)}, r.row_idx ORDER BY s.x, s.idx) AS pos FROM {p}s s JOIN {p}r r USING ({keys}, idx))"""
 
 
 def clusters(p: str, source: str, keys: str) -> str:
@@ -58,7 +58,7 @@ def grid(p: str, source: str, keys: str) -> str:
     """``{p}cells``: every cell of every row, empty ones too."""
     return f"""{columns(p, source, keys)},
 {p}near AS (SELECT a.*, c.col_idx, row_number() OVER (PARTITION BY {", ".join("a." + c for c in keys.split(", "))}, a.idx ORDER BY abs(a.x - c.cx), c.col_idx) AS pick FROM {p}rows a JOIN {p}cols c USING ({keys})),
-{p}full AS (SELECT {keys}, row_idx, col_idx, string_agg(text, ' ' ORDER BY pos) AS text FROM {p}near WHERE pick = 1 GROUP BY {keys}, row_idx, col_idx),
+{p}full AS MATERIALIZED (SELECT {keys}, row_idx, col_idx, string_agg(text, ' ' ORDER BY pos) AS text FROM {p}near WHERE pick = 1 GROUP BY {keys}, row_idx, col_idx),
 {p}cells AS (SELECT {keys}, row_idx, col_idx, coalesce(f.text, '') AS text FROM (SELECT DISTINCT {keys}, row_idx FROM {p}rows) JOIN {p}cols USING ({keys}) LEFT JOIN {p}full f USING ({keys}, row_idx, col_idx))"""
 
 
