@@ -11,8 +11,9 @@ integers (tokens; shares rounded down), so any engine gives the same numbers.
 A leaf's budget is then so many whole epochs and one token-prefix of the next:
 documents in the order of a hash of seed, epoch and id, while their running sum
 is within what is left. The prefix is found without sorting a leaf in one task:
-each leaf is cut into hash ranges of a few thousand rows, tokens are summed by range,
-and only the range in which the budget ends is ordered row by row.
+a leaf of n rows is cut into about sqrt(n) hash ranges, tokens are summed by range, and
+only the range in which the budget ends is ordered row by row, so no task orders more than
+about sqrt(n) ranges or rows of a leaf.
 
 Defined cases: null branch values are the branch ``(none)``; null text has no
 tokens; a weight of zero or less gets nothing; documents without tokens are taken
@@ -30,7 +31,6 @@ from pyspark.sql import functions as F
 from pagesift.llm.common import BLANKS, join_checked, materialize
 
 NONE = "(none)"
-RANGE_ROWS = 4096
 _D = "decimal(20,0)"
 
 
@@ -60,7 +60,7 @@ def budgets(leaves: DataFrame, levels: list[str], weights: dict[str, Column], bu
     return leaves.join(given, levels, "left").withColumn("budget", F.coalesce("budget", F.lit(0).cast("long")))
 
 
-def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[str, Column], budget: int | float, max_epochs: int = 1, seed: int = 0, id_col: str = "doc_id", tokens: Column | None = None, range_rows: int = RANGE_ROWS, carry: bool = False) -> DataFrame:
+def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[str, Column], budget: int | float, max_epochs: int = 1, seed: int = 0, id_col: str = "doc_id", tokens: Column | None = None, range_rows: int | None = None, carry: bool = False) -> DataFrame:
     """``doc_id, <levels>, n_tokens, copies`` for every row; ``copies`` is how often the
     document is taken. ``budget`` counts tokens, or is a share of all if under 1. With
     ``carry`` a row's own columns come along as the struct ``row``."""
@@ -74,7 +74,8 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[str, Column],
     plan = budgets(leaves, names, weights, int(budget), max_epochs)
     plan = plan.withColumn("epochs", F.when(F.col("tokens") > 0, F.expr("budget div greatest(tokens, 1)")).otherwise(F.lit(0)).cast("long"))
     plan = plan.withColumn("rest", F.when(F.col("tokens") > 0, F.expr("budget % greatest(tokens, 1)")).otherwise(F.lit(0)).cast("long"))
-    plan = plan.withColumn("ranges", F.expr(f"(rows + {range_rows - 1}) div {range_rows}"))
+    ranges = F.ceil(F.sqrt("rows")) if range_rows is None else F.ceil(F.col("rows") / range_rows)
+    plan = plan.withColumn("ranges", ranges.cast("long"))
     plan = materialize(plan.select(*names, "epochs", "rest", "ranges"), "mix-plan")
 
     placed = join_checked(rows, plan, names)
@@ -89,7 +90,7 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[str, Column],
     ends = materialize(ends.select(*names, F.col("end.range").alias("end_range"), F.col("end.before").alias("end_before")), "mix-ends")
     placed = join_checked(placed, ends, names, "left")
     inside = (F.col("rest") > 0) & (F.col("range") == F.col("end_range"))
-    # a range is a few thousand rows; the others need no order
+    # the rows of the other ranges need no order
     running = F.sum("n_tokens").over(Window.partitionBy(*names).orderBy("mark", "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     out = ["doc_id", *names, "n_tokens", *(["row"] if carry else [])]
     last = placed.where(inside).withColumn("run", running + F.col("end_before"))
