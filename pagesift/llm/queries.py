@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesift.llm import ann, bpe_tree, exact_dedup, html_wrapper, impact_index, importance, langid, line_dedup, mixing, simhash, token_count, warc
+from pagesift.llm import ann, bpe_tree, exact_dedup, html_wrapper, impact_index, importance, langid, line_dedup, mixing, pii, simhash, token_count, warc
 from pagesift.llm.common import table
 
 
@@ -117,6 +117,10 @@ def op10_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tree.encode_digests(table(spark, sf_dir, "documents"), *_vocabulary("byte_bpe_50k.tiktoken"))
 
 
+def op11_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -132,9 +136,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_warc_bundles, op2_html_wrapper, op3_string_kernel_langid, op4_heap_token_counts, op5_balanced_lists_ann, op6_bitsliced_simhash, op7_fuzzy_lines, op8_hierarchical_mix, op9_block_naming_dedup, op10_tree_bpe, op12_importance_resampling, op13_bitsliced_search, pipeline]
+    named = [op1_warc_bundles, op2_html_wrapper, op3_string_kernel_langid, op4_heap_token_counts, op5_balanced_lists_ann, op6_bitsliced_simhash, op7_fuzzy_lines, op8_hierarchical_mix, op9_block_naming_dedup, op10_tree_bpe, op11_disclosure_pii, op12_importance_resampling, op13_bitsliced_search, pipeline]
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_bundles": warc.ORACLE, "op8_hierarchical_mix": _MIX_ORACLE, "op9_block_naming_dedup": exact_dedup.ORACLE, "op13_bitsliced_search": impact_index.ORACLE}
+    return {"op1_warc_bundles": warc.ORACLE, "op8_hierarchical_mix": _MIX_ORACLE, "op9_block_naming_dedup": exact_dedup.ORACLE, "op11_disclosure_pii": pii.ORACLE, "op13_bitsliced_search": impact_index.ORACLE}
