@@ -43,9 +43,9 @@ from pagesift.llm.words import words
 #: Saturation of term counts and share of the length in it, as fractions of 1000 and 100.
 K1, B = 1000, 50
 UNIT = 1_000_000_000
-TOP, BLOCK_ROWS, PART_PAIRS = 50, 16_384, 400_000
+TOP, BLOCK_ROWS, PART_PAIRS = 50, 4096, 400_000
 #: A block also ends before it has more entries than this (a single document may).
-BLOCK_POSTINGS = 1 << 20
+BLOCK_POSTINGS = 1 << 18
 _INDEX = "block long, term int, words binary, planes binary"
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -212,7 +212,8 @@ def search_index(index: DataFrame, asked: dict[int | None, list[int]], k: int =
 
     def search(rows: pa.Table) -> pa.Table:
         own, ids, known = {}, None, None
-        for term, at, planes in zip(*(rows[c].to_pylist() for c in ("term", "words", "planes"))):
+        for term, at, planes in zip(rows["term"].to_pylist(), rows["words"], rows["planes"]):
+            at, planes = at.as_buffer(), planes.as_buffer()
             if term is None:
                 ids, known = np.frombuffer(planes, np.int64), np.frombuffer(at, np.uint8)
             else:
