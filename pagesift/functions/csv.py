@@ -8,16 +8,26 @@ from pyspark.sql import functions as F
 from pagesift.functions.text import let
 
 
+#: A quoted run (to the end of the text if it isn't closed), as part of a cell. The patterns
+#: give nothing back and so don't recurse, however long a cell is.
+_QUOTED = r'"(?:[^"]++|"")*+(?:"|\z)'
+
+
 def csv_rows(text: Column) -> Column:
-    """``array<array<string>>``: quoted cells keep what is inside, doubled quotes are one;
+    """``array<array<string>>``: quoted parts of cells keep what is inside, doubled quotes are one;
     carriage returns outside quotes go, and so do rows whose cells are all empty."""
-    lines = F.regexp_extract_all(text, F.lit(r'((?:"(?:[^"]|"")*"|[^"\n])+)'), F.lit(1))
+    lines = F.regexp_extract_all(text, F.lit(rf'((?:{_QUOTED}|[^"\n]++)++)'), F.lit(1))
+
+    def part(p: Column) -> Column:
+        inside = F.replace(F.regexp_extract(p, r'"((?:[^"]++|"")*+)', 1), F.lit('""'), F.lit('"'))
+        return F.when(p.startswith('"'), inside).otherwise(F.replace(p, F.lit("\r"), F.lit("")))
 
     def cell(c: Column) -> Column:
-        inside = F.replace(F.substr(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))
-        return F.when(c.startswith('"'), inside).otherwise(F.replace(c, F.lit("\r"), F.lit("")))
+        parts = F.regexp_extract_all(c, F.lit(rf'{_QUOTED}|[^"]++'), F.lit(0))
+        return F.when(F.contains(c, F.lit('"')), F.array_join(F.transform(parts, part), "")).otherwise(F.replace(c, F.lit("\r"), F.lit("")))
 
-    cells = lambda line: F.transform(F.regexp_extract_all(line, F.lit(r'(?:^|,)("(?:[^"]|"")*"|[^,]*)'), F.lit(1)), cell)
+    # with a comma before it, the first cell is found like any other, also if it is empty
+    cells = lambda line: F.transform(F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(rf',((?:{_QUOTED}|[^",]++)*+)'), F.lit(1)), cell)
     return F.filter(F.transform(lines, cells), lambda row: F.exists(row, lambda c: c != ""))
 
 

@@ -11,7 +11,7 @@ from pagesift.functions import text as T
 from pagesift.functions.csv import csv_rows, format_size, row_count
 from pagesift.operators import cluster, layout, render, table
 from pagesift.operators.table import table_from_spans
-from pagesift.plans import fixtures, pdf_queries
+from pagesift.plans import fixtures, pdf_queries, relational
 from pagesift.plans import oracles as O
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,7 +64,8 @@ def detect_columns(spark, sf):
 
 
 def cells(spark, sf, name="spans_lineitem"):
-    rows = _grid(spark, sf, name).select("doc_id", "page_no", F.posexplode("t.rows").alias("row", "r"))
+    # outer: an inner explode infers a filter that would repeat the whole grid
+    rows = _grid(spark, sf, name).select("doc_id", "page_no", F.posexplode_outer("t.rows").alias("row", "r")).where("row is not null")
     out = rows.select("doc_id", "page_no", "row", F.posexplode("r").alias("col", "text"))
     return out.select("doc_id", "page_no", _long(F.col("row")).alias("row_idx"), _long(F.col("col")).alias("col_idx"), "text")
 
@@ -301,8 +302,8 @@ ORACLES: dict[str, str] = {
 
 
 def queries() -> dict[str, Query]:
-    return QUERIES | pdf_queries.QUERIES
+    return QUERIES | pdf_queries.QUERIES | relational.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return ORACLES | pdf_queries.ORACLES
+    return ORACLES | pdf_queries.ORACLES | relational.ORACLES

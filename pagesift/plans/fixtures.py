@@ -11,6 +11,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A row a line item, with some cells left out.
 LINEITEM = """
 SELECT CAST(l_orderkey AS STRING) AS doc_id, 0 AS page_no, CAST((rn - 1) * 5 + k AS INT) AS ord,
        CASE k WHEN 0 THEN CAST(l_partkey AS STRING) WHEN 1 THEN CAST(CAST(round(l_quantity) AS BIGINT) AS STRING)
@@ -20,6 +21,7 @@ SELECT CAST(l_orderkey AS STRING) AS doc_id, 0 AS page_no, CAST((rn - 1) * 5 + k
        CAST(10 AS DOUBLE) AS font_size, 'F1' AS font_name
 FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS rn FROM lineitem) n
 CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) c
+WHERE k IN (0, 4) OR (l_partkey + k) % 7 <> 0
 """
 
 DOCUMENTS = """
@@ -62,9 +64,21 @@ FROM (SELECT CAST(p_partkey AS STRING) AS doc_id, 0 AS page_no, CAST(i AS INT) A
       FROM part {each:length(p_type) - length(replace(p_type, ' ', '')) + 1}) w
 """
 
+#: Characters and words, fonts and sizes mixed, in lines of 12 whose baselines differ a little.
+MIXED = """
+SELECT doc_id, page_no, ord, text, 50 + CAST(column_no * step AS DOUBLE) AS x, y, font_size, font_name
+FROM (SELECT CAST(p_partkey AS STRING) AS doc_id, 0 AS page_no, CAST(i AS INT) AS ord,
+             CASE WHEN (i + p_partkey) % 5 < 3 THEN substr(p_name, CAST(i AS INT), 1) ELSE split_part(p_type, ' ', CAST(i % 3 + 1 AS INT)) END AS text,
+             CAST((i - 1) % 12 AS DOUBLE) AS column_no, CAST(4 + p_partkey % 6 * 4.5 AS DOUBLE) AS step,
+             CAST(700 - (i - 1) // 12 * 20 AS DOUBLE) + CAST((i * 7 + p_partkey) % 5 AS DOUBLE) / 2 AS y,
+             CAST(CASE (i + p_partkey) % 4 WHEN 0 THEN 14 WHEN 1 THEN 9 ELSE 10 END AS DOUBLE) AS font_size,
+             CASE WHEN (i + p_partkey) % 9 < 6 THEN 'F1' ELSE 'F2' END AS font_name
+      FROM part {each:length(p_name)}) w
+"""
+
 TRIMMED = f"SELECT doc_id, page_no, ord, trim(text) AS text, x, y, font_size, font_name FROM ({DOCUMENTS}) t WHERE trim(text) <> ''"
 
-ALL = {"spans_trimmed": TRIMMED, "spans_lineitem": LINEITEM, "spans_documents": DOCUMENTS, "spans_statement": STATEMENT, "spans_chars": CHARS, "spans_words": WORDS}
+ALL = {"spans_trimmed": TRIMMED, "spans_lineitem": LINEITEM, "spans_documents": DOCUMENTS, "spans_statement": STATEMENT, "spans_chars": CHARS, "spans_words": WORDS, "spans_mixed": MIXED}
 _EACH = re.compile(r"\{each:([^}]*)\}")
 
 

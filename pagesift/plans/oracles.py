@@ -51,7 +51,7 @@ def columns(p: str, source: str, keys: str) -> str:
     """``{p}cols``: chained clusters of x over a page."""
     return f"""{p}b AS (SELECT {keys}, x, CASE WHEN x - lag(x) OVER w <= 10 THEN 0 ELSE 1 END AS new FROM {source} WINDOW w AS (PARTITION BY {keys} ORDER BY x)),
 {p}g AS (SELECT {keys}, x, sum(new) OVER (PARTITION BY {keys} ORDER BY x, new DESC ROWS UNBOUNDED PRECEDING) - 1 AS col_idx FROM {p}b),
-{p}cols AS (SELECT {keys}, col_idx::BIGINT AS col_idx, avg(x) AS cx FROM {p}g GROUP BY {keys}, col_idx)"""
+{p}cols AS MATERIALIZED (SELECT {keys}, col_idx::BIGINT AS col_idx, avg(x) AS cx FROM {p}g GROUP BY {keys}, col_idx)"""
 
 
 def grid(p: str, source: str, keys: str) -> str:
@@ -59,7 +59,7 @@ def grid(p: str, source: str, keys: str) -> str:
     return f"""{columns(p, source, keys)},
 {p}near AS (SELECT a.*, c.col_idx, row_number() OVER (PARTITION BY {", ".join("a." + c for c in keys.split(", "))}, a.idx ORDER BY abs(a.x - c.cx), c.col_idx) AS pick FROM {p}rows a JOIN {p}cols c USING ({keys})),
 {p}full AS MATERIALIZED (SELECT {keys}, row_idx, col_idx, string_agg(text, ' ' ORDER BY pos) AS text FROM {p}near WHERE pick = 1 GROUP BY {keys}, row_idx, col_idx),
-{p}cells AS (SELECT {keys}, row_idx, col_idx, coalesce(f.text, '') AS text FROM (SELECT DISTINCT {keys}, row_idx FROM {p}rows) JOIN {p}cols USING ({keys}) LEFT JOIN {p}full f USING ({keys}, row_idx, col_idx))"""
+{p}cells AS MATERIALIZED (SELECT {keys}, row_idx, col_idx, coalesce(f.text, '') AS text FROM (SELECT DISTINCT {keys}, row_idx FROM {p}rows) JOIN {p}cols USING ({keys}) LEFT JOIN {p}full f USING ({keys}, row_idx, col_idx))"""
 
 
 def table_text(p: str, keys: str) -> str:

@@ -90,10 +90,6 @@ def raw_dump(spark, sf):
     return api.documents(fixtures.pages(spark, sf, _DOCS), "raw")
 
 
-def _merged(name: str):
-    return lambda spark, sf: _flat(pdf.merge_spans(fixtures.pages(spark, sf, name)))
-
-
 def content_ops(spark, sf):
     """Every text operator once, on the texts of ``part``."""
     stream = (
@@ -250,8 +246,6 @@ QUERIES = {
     "bytes_to_markdown": _bodies("md"),
     "bytes_to_csv": _bodies("csv"),
     "raw_dump": raw_dump,
-    "merge_spans_chars": _merged("spans_chars"),
-    "merge_spans_words": _merged("spans_words"),
     "content_ops": content_ops,
     "pdf_tokens": tokens,
     "flate_decode": flate_decode,
@@ -262,22 +256,6 @@ _OUT = "doc_id, page_no, row_number() OVER (PARTITION BY doc_id, page_no ORDER B
 _FULL = "SELECT doc_id, string_agg(body, chr(10) ORDER BY page_no) AS body FROM pages_t GROUP BY doc_id"
 
 
-def _merge_sql(name: str, joint: str) -> str:
-    """Gaps and islands over the fixture, whose pages are of one font and size: a width
-    is 5, and a line is one y."""
-    return (
-        O.with_(O.spans(name))
-        + f""", n AS (SELECT *, row_number() OVER w AS k, lag(x) OVER w AS px, lag(y) OVER w AS py, length(lag(text) OVER w) AS pn FROM spans WINDOW w AS (PARTITION BY {_P} ORDER BY y DESC, x, ord)),
-g AS (SELECT *, x - (px + pn * 5) AS gap FROM n),
-j AS (SELECT *, CASE WHEN px IS NULL OR y <> py THEN NULL ELSE {joint} END AS between_t FROM g),
-s AS (SELECT *, sum(CASE WHEN between_t IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY {_P} ORDER BY k) AS island FROM j)
-SELECT {_P}, island::BIGINT - 1 AS ord, string_agg(CASE WHEN between_t IS NULL THEN '' ELSE between_t END || text, '' ORDER BY k) AS text, round(arg_min(x, k), 6) AS x, round(arg_min(y, k), 6) AS y, any_value(font_size) AS font_size, any_value(font_name) AS font_name
-FROM s GROUP BY {_P}, island"""
-    )
-
-
-_SINGLE = "CASE WHEN gap > -15 AND gap < 15 THEN '' END"
-_MULTI = "CASE WHEN gap > -10 AND gap < 4 THEN '' WHEN gap < 10 THEN ' ' END"
 _TENTH = lambda c: f"printf('%.1f', {c})"
 
 _WAY = f"list_sum(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c))) % {len(pdf_writer.VARIANTS)}"
@@ -316,8 +294,6 @@ ORACLES = {
     "raw_dump": O.with_(O.spans(_DOCS))
     + f""", p AS (SELECT {_P}, string_agg('[' || {_TENTH('x')} || ', ' || {_TENTH('y')} || '] (' || font_size::INT || 'pt): ' || text || chr(10), '' ORDER BY ord) AS body FROM spans GROUP BY {_P})
 SELECT doc_id, string_agg(CASE WHEN page_no = 0 THEN '' ELSE chr(10) || '--- Page ' || (page_no + 1) || ' ---' || chr(10) END || body, '' ORDER BY page_no) AS body FROM p GROUP BY doc_id""",
-    "merge_spans_chars": _merge_sql("spans_chars", _SINGLE),
-    "merge_spans_words": _merge_sql("spans_words", f"CASE WHEN pn <= 1 AND length(text) <= 1 THEN {_SINGLE} ELSE {_MULTI} END"),
     "content_ops": _CONTENT_SQL,
     "pdf_tokens": _TOKEN_SQL,
     "flate_decode": "SELECT p_partkey, p_name AS text FROM part",

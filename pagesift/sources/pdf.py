@@ -216,24 +216,6 @@ class ContentSpans:
             yield None, None, None, None, None, None, error
 
 
-def _merged(batches):
-    from pagesift.pdf.content import Span, merge_spans
-
-    for batch in batches:
-        out = []
-        for row in batch.column(2).to_pylist():
-            spans = [Span(s["text"], s["x"], s["y"], s["font_size"], s["font_name"]) for s in row or ()]
-            out.append([{"ord": i, **s._asdict()} for i, s in enumerate(merge_spans(spans))])
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(_SPAN))], ["doc_id", "page_no", "spans"])
-
-
-def merge_spans(pages: DataFrame) -> DataFrame:
-    """``doc_id, page_no, spans`` with neighbouring spans joined. The fold's state is the
-    joined text so far, which an array expression would copy at each step."""
-    share_package(pages.sparkSession)
-    return pages.select("doc_id", "page_no", "spans").mapInArrow(_merged, f"doc_id string, page_no int, spans array<{SPAN}>")
-
-
 def register(spark: SparkSession) -> None:
     """The table functions ``pdf_pages``, ``pdf_spans``, ``pdf_info``, ``pdf_xref``,
     ``pdf_objects``, ``pdf_fonts``, ``pdf_tokens``, ``content_spans`` and the function ``flate_decode`` for SQL."""
