@@ -98,7 +98,9 @@ def parse_tounicode(cmap: Column) -> Column:
     span = rf"<({hexes})>\s*<({hexes})>\s*(?:<({hexes})>|\[([^\]]*)\])"
     ranges = sections("bfrange")
     part = lambda k: F.regexp_extract_all(ranges, F.lit(span), F.lit(k))
-    rows = F.arrays_zip(part(1).alias("lo"), part(2).alias("hi"), part(3).alias("dst"), part(4).alias("list"))
+    ends = F.zip_with(part(1), part(2), lambda a, b: F.struct(a.alias("lo"), b.alias("hi")))
+    goals = F.zip_with(part(3), part(4), lambda a, b: F.struct(a.alias("dst"), b.alias("list")))
+    rows = F.zip_with(ends, goals, lambda a, b: F.struct(a["lo"].alias("lo"), a["hi"].alias("hi"), b["dst"].alias("dst"), b["list"].alias("list")))
 
     def entries(r: Column) -> Column:
         lo, hi = _code(clean(r["lo"])), _code(clean(r["hi"]))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pagesift.functions.text import let, utrim
 from pagesift.operators.fold import fold
+from pagesift.operators.merge import renumbered
 from pagesift.schema import SPAN
 
 OPERATOR = "struct<op:string,nums:array<double>,name:string,text:string,items:array<struct<text:string,kern:double>>>"
@@ -103,7 +104,7 @@ def _step(state: Column, o: Column) -> Column:
 def operator_spans(operators: Column) -> Column:
     """``array<span>`` of a page's operators in order, before merging."""
     done = fold(operators, F.expr(_START), _step, SPAN)
-    return F.transform(done["out"], lambda s, i: s.withField("ord", i))
+    return F.transform(done["out"], renumbered)
 
 
 def pages_of_operators(rows: DataFrame, *key: str, order: str = "seq") -> DataFrame:

@@ -85,6 +85,22 @@ def _element(run: Column, grid: Column) -> Column:
     return F.when(first["kind"] == HEADING, element(HEADING, first["level"], first["text"], none)).when(_is_table(run), element(TABLE_KIND, zero, none, grid)).otherwise(element(PARAGRAPH, zero, text, none))
 
 
+def elements(spans: Column) -> Column:
+    """The elements of a page as one expression, for use in SQL; :func:`classify_spans` does the
+    same in columns of their own."""
+
+    def made(runs: Column) -> Column:
+        grid = lambda r: F.when(_is_table(r), table_from_spans(F.flatten(F.transform(r, lambda x: x["spans"]))))
+        every = F.transform(runs, lambda r: _element(r, grid(r)))
+        return F.filter(every, lambda e: (e["kind"] != PARAGRAPH) | (utrim(e["text"]) != ""))
+
+    def lined(kept: Column, body: Column) -> Column:
+        rows = F.transform(cluster.cluster_rows(kept, cluster.row_tolerance(kept)), lambda r: classify_line(r, body))
+        return let(rows, lambda lines: let(line_runs(lines, body), made))
+
+    return let(cluster.drop_blank(spans), lambda kept: let(body_font_size(kept), lambda body: lined(kept, body)))
+
+
 def classify_spans(pages: DataFrame, spans: str = "spans", elements: str = "elements") -> DataFrame:
     """``pages`` with the page's elements added, in page order; a page without text has
     none. Each step is a column of its own, so no step is evaluated twice and

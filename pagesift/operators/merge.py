@@ -51,6 +51,11 @@ def _between(state: Column, span: Column) -> Column:
     return F.when(apart, None).when(single, near).when((gap < width * RUN) & (gap > width * BACK), "").when(gap < width * WORD, " ")
 
 
+def renumbered(span: Column, ord: Column) -> Column:
+    """The span with its place in a page as its number."""
+    return F.struct(ord.alias("ord"), *[span[c].alias(c) for c in ("text", "x", "y", "font_size", "font_name")])
+
+
 def _closed(state: Column) -> Column:
     """The open text as an array of one span, or none."""
     head = state["head"]
@@ -74,9 +79,9 @@ def merge_spans(spans: Column) -> Column:
     """``array<span>`` with neighbours on a line in one font joined at the first one's place,
     numbered anew."""
     start = F.expr(f"cast(struct(null, null, 0, array()) as {_STATE})")
-    settle = lambda s: s.withField("parts", F.array(F.array_join(s["parts"], "")))
+    settle = lambda s: F.struct(*[s[c].alias(c) for c in ("head", "last_x", "last_n")], F.array(F.array_join(s["parts"], "")).alias("parts"))
     done = let(fold(line_order(spans), start, _step, SPAN, settle), lambda r: F.concat(r["out"], _closed(r["state"])))
-    return F.transform(done, lambda s, i: s.withField("ord", i))
+    return F.transform(done, renumbered)
 
 
 def merged_pages(pages: DataFrame) -> DataFrame:

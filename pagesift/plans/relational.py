@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pagesift.functions import sql
 from pagesift.operators import cluster, content, merge, nearest, objects
 from pagesift.plans import fixtures
 from pagesift.plans import oracles as O
@@ -227,6 +228,29 @@ def decode_fonts(spark, sf):
 _FONTS_SQL = """SELECT p_partkey, CASE WHEN p_partkey % 50 = 7 THEN list_aggregate(list_transform(string_split(p_name, ''), lambda c: chr((ascii(c) + 207) // 256) || chr((ascii(c) + 207) % 256)), 'string_agg', '') ELSE p_name END
   || 'AB' || CASE WHEN p_partkey % 2 = 1 THEN 'C' ELSE '' END AS text FROM part"""
 
+def _called(fixture: str, *functions: str):
+    """SQL functions applied one to the other's result, from SQL text."""
+
+    def run(spark, sf):
+        sql.register(spark, *functions)
+        call = "spans"
+        for f in functions:
+            call = f"{f}({call})"
+        return spark.sql(f"SELECT doc_id, page_no, {call} AS body FROM {objects.view_name(spark, fixtures.pages(spark, sf, fixture))}")
+
+    return run
+
+
+def sql_decoders(spark, sf):
+    """Code pages and hexadecimal text through the functions of that name."""
+    sql.register(spark, "decode_winansi", "decode_macroman", "ascii_hex_decode", "format_size")
+    part = objects.view_name(spark, _read(spark, sf, "part"))
+    return spark.sql(
+        f"""SELECT p_partkey, decode_winansi(encode(p_name, 'ISO-8859-1')) AS win, decode_macroman(encode(p_type, 'ISO-8859-1')) AS mac,
+        decode(ascii_hex_decode(concat(hex(p_brand), '>')), 'UTF-8') AS brand, format_size(p_partkey * 100) AS size FROM {part}"""
+    )
+
+
 QUERIES = {
     "merge_spans_chars": _merged("spans_chars"),
     "merge_spans_words": _merged("spans_words"),
@@ -240,6 +264,11 @@ QUERIES = {
     "xref_records": xref_records,
     "typed_values": typed_values,
     "decode_fonts": decode_fonts,
+    "sql_to_csv": _called("spans_lineitem", "spans_to_csv"),
+    "sql_to_markdown": _called("spans_statement", "spans_elements", "elements_to_markdown"),
+    "sql_to_txt": _called("spans_statement", "spans_elements", "elements_to_txt"),
+    "sql_merged_to_text": _called("spans_mixed", "spans_merge", "spans_page_text"),
+    "sql_decoders": sql_decoders,
 }
 
 ORACLES = {
@@ -257,4 +286,10 @@ SELECT doc_id, number::BIGINT AS number, min(depth)::BIGINT AS depth FROM r GROU
     "xref_records": _XREF_SQL,
     "typed_values": _typed_sql(),
     "decode_fonts": _FONTS_SQL,
+    "sql_to_csv": O.table_rows("spans_lineitem") + f", l AS (SELECT {_P}, row_idx, string_agg({O.CSV_CELL}, ',' ORDER BY col_idx) AS line FROM tcells GROUP BY {_P}, row_idx) SELECT {_P}, string_agg(line, chr(10) ORDER BY row_idx) AS body FROM l GROUP BY {_P}",
+    "sql_to_markdown": O.with_(*O.elements("spans_statement")) + f"SELECT {_P}, md AS body FROM pages_out",
+    "sql_to_txt": O.with_(*O.elements("spans_statement")) + f"SELECT {_P}, txt AS body FROM pages_out",
+    # within the page's text tolerance of 3 each line of the fixture is one row
+    "sql_merged_to_text": f"SELECT {_P}, string_agg(line, chr(10) ORDER BY l) AS body FROM (SELECT {_P}, l, string_agg(text, ' ' ORDER BY y DESC, x, ord) AS line FROM (SELECT *, floor((703 - y) / 20) AS l FROM ({_MIXED_SQL}) m) g GROUP BY {_P}, l) t GROUP BY {_P}",
+    "sql_decoders": "SELECT p_partkey, p_name AS win, p_type AS mac, p_brand AS brand, CASE WHEN p_partkey * 100 < 1024 THEN p_partkey * 100 || ' B' WHEN p_partkey * 100 < 1048576 THEN printf('%.1f KB', floor(p_partkey * 1000 / 1024.0 + 0.5) / 10) ELSE printf('%.1f MB', floor(p_partkey * 1000 / 1048576.0 + 0.5) / 10) END AS size FROM part",
 }

@@ -23,7 +23,8 @@ PERMISSIVE, FAILFAST, DROPMALFORMED = "PERMISSIVE", "FAILFAST", "DROPMALFORMED"
 
 _SPAN = pa.struct([("ord", pa.int32()), ("text", pa.string()), ("x", pa.float64()), ("y", pa.float64()), ("font_size", pa.float64()), ("font_name", pa.string())])
 _ERROR = pa.struct([("class", pa.string()), ("message", pa.string()), ("position", pa.int64()), ("stage", pa.string())])
-_PAGES = pa.schema([("doc_id", pa.string()), ("page_no", pa.int32()), ("spans", pa.list_(_SPAN)), ("error", _ERROR)])
+#: The Arrow form of the pages.
+ARROW_PAGES = pa.schema([("doc_id", pa.string()), ("page_no", pa.int32()), ("spans", pa.list_(_SPAN)), ("error", _ERROR)])
 #: Spans after which a batch of pages is handed on, which bounds a task's memory.
 BATCH_SPANS = 50_000
 
@@ -41,10 +42,11 @@ def _guarded(work, stage: str):
         return None, PdfError("InvalidStructure", f"{type(e).__name__}: {e}").row(stage)
 
 
-def parse_pages(content: bytes | None, page_no: int | None = None, compat: bool = False) -> Iterator[tuple[int | None, list[dict] | None, dict | None]]:
+def parse_pages(content: bytes | None, page_no: int | None = None, compat: bool = False, share: tuple[int, int] = (0, 1)) -> Iterator[tuple[int | None, list[dict] | None, dict | None]]:
     """``(page_no, spans, error)`` of each page. A file that can't be read is one row with
     neither page number nor spans; a bad page has an error and no spans. Of one asked-for
-    page only its own objects are read."""
+    page only its own objects are read. ``share`` ``(i, n)`` gives the i-th of n equal ranges of
+    pages; an unreadable file is in the first."""
     from pagesift.pdf.file import PdfFile
 
     file, error = _guarded(lambda: PdfFile(content or b"", compat), "parse")
@@ -53,9 +55,11 @@ def parse_pages(content: bytes | None, page_no: int | None = None, compat: bool
     if error is None and page_no is not None:
         _, error = _guarded(lambda: file.page(page_no), "page")
     if error is not None:
-        yield None, None, error
+        if share[0] == 0:
+            yield None, None, error
         return
-    for number in range(found) if page_no is None else [page_no]:
+    own = range(found * share[0] // share[1], found * (share[0] + 1) // share[1])
+    for number in own if page_no is None else [page_no] if page_no in own else []:
         spans, error = _guarded(lambda: [{"ord": i, **s._asdict()} for i, s in enumerate(file.page_spans(number))], "page")  # noqa: B023
         yield number, spans, error
 
@@ -73,10 +77,10 @@ def _reader(page_no: int | None, mode: str, compat: bool):
                     held.append({"doc_id": doc, "page_no": number, "spans": spans, "error": error})
                     size += len(spans or ())
                     if size >= BATCH_SPANS:
-                        yield pa.RecordBatch.from_pylist(held, _PAGES)
+                        yield pa.RecordBatch.from_pylist(held, ARROW_PAGES)
                         held, size = [], 0
         if held:
-            yield pa.RecordBatch.from_pylist(held, _PAGES)
+            yield pa.RecordBatch.from_pylist(held, ARROW_PAGES)
 
     return read
 
