@@ -3,13 +3,13 @@ cross-reference records and typed access to values."""
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagesift.sources.shared import shared_dir
+
 
 def resolve(edges: DataFrame, objects: DataFrame) -> DataFrame:
     """``doc_id, owner, key, target`` with the target's columns of ``objects`` (``doc_id,
@@ -23,14 +23,8 @@ def dangling(edges: DataFrame, objects: DataFrame) -> DataFrame:
 
 
 def _saved(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder of ``spark.checkpoint.dir``, its lineage cut. Only a session of
-    one process may go without that setting."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        named = sc.getConf().get("spark.checkpoint.dir")
-        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="pagesift-"))
+    """``df`` written to the shared folder, its lineage cut."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 

@@ -5,14 +5,18 @@ The files are written from span fixtures, so the SQL states what went in.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagesift import api
+from pagesift.operators.objects import view_name
 from pagesift.plans import fixtures, pdf_writer
 from pagesift.plans import oracles as O
-from pagesift.sources import pdf
+from pagesift.sources import documents, pdf
+from pagesift.sources.shared import scratch_folder
 from pagesift.sources.workers import share_package
 
 _P = "doc_id, page_no"
@@ -53,8 +57,7 @@ def get_page(spark, sf):
 
 def _udtf(spark, df: DataFrame, call: str, keep: str) -> DataFrame:
     pdf.register(spark)
-    df.createOrReplaceTempView("_pdf_input")
-    return spark.sql(f"SELECT {keep}, t.* FROM _pdf_input, LATERAL {call} t")
+    return spark.sql(f"SELECT {keep}, t.* FROM {view_name(spark, df)}, LATERAL {call} t")
 
 
 def pdf_xref(spark, sf):
@@ -90,6 +93,37 @@ def raw_dump(spark, sf):
     return api.documents(fixtures.pages(spark, sf, _DOCS), "raw")
 
 
+def format_switch(spark, sf):
+    """Each document in every format."""
+    pages = fixtures.pages(spark, sf, _DOCS)
+    every = [api.documents(pages, fmt).select(F.lit(fmt).alias("format"), "doc_id", "body") for fmt in ("csv", "tsv", "txt", "md")]
+    return reduce(DataFrame.unionByName, every)
+
+
+def _written(spark, sf) -> str:
+    """A folder with a CSV file for each document, written by the sink."""
+    documents.register(spark)
+    folder = scratch_folder(spark, "documents")
+    to = folder.removeprefix("file:") if folder.startswith("file:/") else folder
+    api.documents(fixtures.pages(spark, sf, _DOCS), "csv").write.format("documents").mode("overwrite").options(path=to, extension="csv").save()
+    return folder
+
+
+def document_sink(spark, sf):
+    """The files of the sink, read back."""
+    files = pdf.scan_files(spark, _written(spark, sf), glob="*.csv")
+    return files.select(_document(), F.decode("content", "UTF-8").alias("body"))
+
+
+def scan_files(spark, sf):
+    """Files of up to 2,000 bytes by their sizes, contents unread."""
+    return pdf.scan_files(spark, _written(spark, sf), glob="*.csv", max_bytes=2000).select(_document(), "length")
+
+
+def _document():
+    return F.regexp_extract("path", r"([^/]*)-[0-9a-f]{10}\.csv$", 1).alias("doc_id")
+
+
 def content_ops(spark, sf):
     """Every text operator once, on the texts of ``part``."""
     stream = (
@@ -246,6 +280,9 @@ QUERIES = {
     "bytes_to_markdown": _bodies("md"),
     "bytes_to_csv": _bodies("csv"),
     "raw_dump": raw_dump,
+    "format_switch": format_switch,
+    "document_sink": document_sink,
+    "scan_files": scan_files,
     "content_ops": content_ops,
     "pdf_tokens": tokens,
     "flate_decode": flate_decode,
@@ -276,7 +313,17 @@ SELECT {what} FROM docs"""
     )
 
 
+def _sheets(cell: str, sep: str) -> str:
+    return O.table_rows(_DOCS) + f", l AS (SELECT {_P}, row_idx, string_agg({cell}, {sep} ORDER BY col_idx) AS line FROM tcells GROUP BY {_P}, row_idx), pages_t AS (SELECT {_P}, string_agg(line, chr(10) ORDER BY row_idx) AS body FROM l GROUP BY {_P}) {_FULL}"
+
+
+_CSV, _TSV = _sheets(O.CSV_CELL, "','"), _sheets("replace(text, chr(9), ' ')", "chr(9)")
+_TXT, _MD = (O.with_(*O.elements(_DOCS)) + f", pages_t AS (SELECT {_P}, {c} AS body FROM pages_out) {_FULL}" for c in ("txt", "md"))
+
 ORACLES = {
+    "format_switch": " UNION ALL ".join(f"SELECT '{n}' AS format, * FROM ({q})" for n, q in {"csv": _CSV, "tsv": _TSV, "txt": _TXT, "md": _MD}.items()),
+    "document_sink": _CSV,
+    "scan_files": f"SELECT doc_id, octet_length(encode(body))::BIGINT AS length FROM ({_CSV}) WHERE octet_length(encode(body)) <= 2000",
     "extract_page_text": O.with_(O.spans(_DOCS)) + f"SELECT {_OUT} FROM spans",
     "get_page": O.with_(O.spans(_DOCS)) + f"SELECT {_OUT} FROM spans WHERE page_no = 1",
     "pdf_xref": _counted("doc_id, n, CASE WHEN boxed THEN 4 + p ELSE 0 END AS n_compressed"),
