@@ -9,8 +9,8 @@ from trusting a hash.
 
 Blocks are sorted by a 64-bit hash, then by content. A hash that one block of the
 corpus has needs no content: only blocks whose hash occurs again are read a second time
-and compared (least and greatest content of each hash), so contents travel for copies
-alone, and a group of copies is one row a task before it does. A hash with
+and compared (least and greatest content of each hash). Which ones these are is asked before anything is shuffled, however
+many there are, so contents travel for copies alone, and a group of copies is one row a task before it does. A hash with
 several contents (practically none) is numbered by content.
 
 Defined cases: null text counts as empty; equal rows that repeat a ``doc_id``
@@ -26,9 +26,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagesift.llm.common import blanks_to_space, join_checked, let, materialize, release
+from pagesift.llm.common import blanks_to_space, let, materialize, release
 
 BLOCK_BYTES = 8192
+#: Repeated hashes up to which they are broadcast; rows and 64-bit words a row of the bitmap beyond.
+BROADCAST_HASHES, _ROWS, _WORDS = 200_000, 4096, 1024
 
 
 def _normal(text_col: str) -> Column:
@@ -53,12 +55,30 @@ def _contents(docs: DataFrame, text_col: str, block_bytes: int, hashed: Callable
     return docs.select(F.explode(rows).alias("b")).select("b.*")
 
 
+def _of_hashes(contents: DataFrame, again: DataFrame, bound: int) -> DataFrame:
+    """The contents whose hash is in the written table ``again``. Too many hashes to broadcast are first
+    set as bits of a bitmap of fixed size (32 MB), which is; so what reaches the shuffle
+    of the join is the contents of repeated hashes and those that share a bit with one."""
+    if again.count() <= bound:
+        return contents.join(F.broadcast(again), "h", "left_semi")
+    row = F.shiftright("h", 16).bitwiseAND(_ROWS - 1)
+    word = F.shiftright("h", 6).bitwiseAND(_WORDS - 1).cast("int")
+    bit = F.col("h").bitwiseAND(63).cast("int")
+    words = again.select(row.alias("row"), word.alias("word"), F.expr("shiftleft(1L, cast(h & 63 AS int))").alias("bit")).groupBy("row", "word").agg(F.bit_or("bit").alias("bits"))
+    full = F.map_from_entries(F.collect_list(F.struct("word", "bits")))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(_WORDS - 1)), lambda w: F.coalesce(F.try_element_at(F.col("set"), w), F.lit(0).cast("long")))
+    bitmap = materialize(words.groupBy("row").agg(full.alias("set")).select("row", dense.alias("bits")), "hash-bitmap")
+    maybe = contents.withColumn("row", row).join(F.broadcast(bitmap), "row").where(F.getbit(F.get("bits", word), bit) == 1)
+    # hashes are distinct; a semi join would be moved below the bitmap's
+    return maybe.select("h", "block").join(again, "h")
+
+
 def _named(keys: DataFrame, *by: str) -> DataFrame:
     """Number the rows of a table of distinct keys in sort order."""
     return keys.orderBy(*by).withColumn("name", F.monotonically_increasing_id())
 
 
-def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, hashed: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
+def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, hashed: Callable[[Column], Column] = F.xxhash64, broadcast_hashes: int = BROADCAST_HASHES) -> DataFrame:
     """``doc_id, sha (binary SHA-256), level, name, m``: one row for each distinct
     pair of id and normalised text, ``m`` counting the rows that have it.
     ``(level, name)`` is the document's identity."""
@@ -67,7 +87,7 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = whole.select("doc_id", "sha", F.size("hs").cast("long").alias("n"), F.posexplode("hs").alias("i", "h")).withColumn("i", F.col("i").cast("long"))
     per_hash = materialize(rows.groupBy("h").agg(F.count("*").alias("blocks")), "hashes")
     again = per_hash.where("blocks > 1").select("h")
-    contents = join_checked(_contents(docs, text_col, block_bytes, hashed), again, "h", "left_semi")
+    contents = _of_hashes(_contents(docs, text_col, block_bytes, hashed), again, broadcast_hashes)
     compared = materialize(contents.groupBy("h").agg(F.min("block").alias("least"), F.max("block").alias("most")), "compared")
     several = compared.where("least <> most").select("h")
     keys = per_hash.select("h", F.lit(None).cast("binary").alias("block"))
