@@ -15,7 +15,9 @@ headers, footers, side bars, forms, scripts, comments and the like go, and only
 inside an article or main element counts if the page marks one. Class and id names are a
 supplement: a name hides an element only if all its words are such names (``ad-slot``, but
 neither ``has-sidebar`` nor ``share-price-notice``), and not if it holds most of the
-page's text that varies. A paragraph is never dropped for its links.
+page's text that varies; so is a form, which may be the whole page. Links are text like any other: only
+the template, a tag or a name tells a menu. Inside an article element, what is constant goes at its edges only
+(a notice at its end): a heading that all articles have, with text of their own on both sides, is part of each.
 
 Nothing is sampled: outlines are counted as they are distinct and merged level by level, at
 most ``_FAN`` at once, in an order that only contents decide, so a host with a third of all
@@ -54,7 +56,7 @@ _VOID = set("area base br col embed hr img input link meta param source track wb
 _BLOCK = set(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
 )
-_SKIP = set("script style noscript template nav footer aside form button select textarea input iframe object embed svg canvas audio video dialog menu head title map datalist noembed noframes xmp".split())
+_SKIP = set("script style noscript template nav footer aside button select textarea input iframe object embed svg canvas audio video dialog menu head title map datalist noembed noframes xmp".split())
 _CLOSES_P = _BLOCK - {"html", "body", "head", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
 _SELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}, "tfoot": {"tbody", "thead", "tr", "td", "th"}}
 _SCOPE = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}, "tbody": {"table"}, "tfoot": {"table"}, "p": {"td", "th", "table", "button"}}
@@ -69,8 +71,6 @@ _HEADER = {"header", "headers", "siteheader", "pageheader"}
 _ABOUT = set("post posts article articles story stories entry entries".split())
 _BESIDE = _ABOUT | set("box block slot list lists container wrapper wrap section area bar item items link links button buttons btn top bottom left right inner outer site page global main primary secondary module unit panel group form field icon icons count id".split())
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-#: Elements whose text is a paragraph, however much of it is links.
-_PARAGRAPH = set("p h1 h2 h3 h4 h5 h6 blockquote pre dd figcaption caption".split())
 _BLANK = re.compile(r"\s+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
@@ -101,34 +101,31 @@ class Page:
     """The block tree of one page and its text blocks in page order."""
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[str, bool, bool]] = []  # text, in an article, mostly links
-        self.hidden: list[int] = []  # of each block, the name rule that hides it, or 0
-        self.never: list[bool] = [False]  # of each name rule, whether it is final
+        self.blocks: list[tuple[str, int]] = []  # text, and whether in a main (1) or an article (2)
+        self.hidden: list[int] = []  # of each block, the name or form that hides it, or 0
+        self.never: list[bool] = [False]  # of each of these, whether it is final
+        self.forms: set[int] = set()
         self.articles = False
         root = Node("#")
-        # open elements: tag, node of the nearest block, skipped, in article, is a block, in link
-        stack = [("#", root, False, False, True, False)]
+        # open elements: tag, node of the nearest block, skipped, in article, is a block
+        stack = [("#", root, False, 0, True)]
         words: list[str] = []
-        linked, deepest = 0, 1
+        deepest = 1
 
         def flush():
-            nonlocal words, linked
+            nonlocal words
             if words:
                 text = _BLANK.sub(" ", "".join(words)).strip()
                 if text:
-                    _, node, skip, inside, _, _ = stack[-1]
+                    _, node, skip, inside, _ = stack[-1]
                     self.hidden.append(int(skip))
                     node.texts.append((len(self.blocks), text))
-                    self.blocks.append((text, inside, linked >= 0.8 * len(text) and node.label.partition(".")[0] not in _PARAGRAPH))
-                words, linked = [], 0
+                    self.blocks.append((text, inside))
+                words = []
 
         def say(raw):
-            nonlocal linked
-            top = stack[-1]
-            if top[2] is not True and raw:
+            if stack[-1][2] is not True and raw:
                 words.append(entities.unescape(raw))
-                if top[5]:
-                    linked += len(raw.strip())
 
         def pop_to(k):
             if any(e[4] for e in stack[k:]):
@@ -169,7 +166,7 @@ class Page:
                 self._close(stack, _SELF[tag], _SCOPE[tag], pop_to)
             if block:
                 flush()
-            _, parent, skip, inside, _, link = stack[-1]
+            _, parent, skip, inside, _ = stack[-1]
             attrs = (m[3] or m[6] or "").strip()
             name = ""
             if attrs and attrs != "/":
@@ -178,7 +175,7 @@ class Page:
                 role = given.get("role", "").lower()
                 if skip is not True and tag not in ("html", "body", "article", "main"):
                     gone = role in _ROLES or "hidden" in given or given.get("aria-hidden") == "true" or "style" in given and bool(_HIDDEN.search(given["style"].lower()))
-                    named = _named(name) if name and not gone and not skip else set()
+                    named = _named(name) if name and not gone and (not skip or skip in self.forms) else set()
                     if inside:
                         named -= _HEADER
                     if gone or named and not block:
@@ -187,12 +184,16 @@ class Page:
                         skip = len(self.never)
                         self.never.append(bool(named & _NEVER))
                 if role in ("main", "article") and skip is not True:
-                    inside = True
+                    inside = max(inside, 1 + (role == "article"))
+            if tag == "form" and not skip:
+                skip = len(self.never)
+                self.forms.add(skip)
+                self.never.append(False)
             if tag in _SKIP or tag == "header" and not inside:
                 skip = True
             if tag in ("article", "main") and skip is not True:
-                inside = True
-            self.articles |= inside and not skip
+                inside = max(inside, 1 + (tag == "article"))
+            self.articles |= bool(inside) and not skip
             if tag in _RAW and not attrs.endswith("/"):
                 end = re.compile(rf"</{tag}\s*[^>]*>", re.I).search(source, at)
                 at = end.end() if end else n
@@ -203,7 +204,7 @@ class Page:
             if block:
                 node = Node(tag if not name else tag + "." + re.sub(r"[^a-z]+", "-", name.lower())[:40])
                 parent.children.append(node)
-            stack.append((tag, node, skip, inside, block, link or tag == "a"))
+            stack.append((tag, node, skip, inside, block))
             deepest = max(deepest, len(stack))
         flush()
         _room(deepest)
@@ -413,25 +414,25 @@ def _joint(place: int, text: int) -> int:
 
 
 def _chosen(page: Page, fixed: set[int] | None = None) -> list[int]:
-    """The blocks to take. What a name alone hides is taken if no article is marked outside
+    """The blocks to take. What a name or a form alone hides is taken if no article is marked outside
     and else the page would be empty, or if it is most of the text that isn't ``fixed``
-    (of an article marked in it, with or without a template)."""
-    chosen = [i for i, (_, inside, links) in enumerate(page.blocks) if not page.hidden[i] and (inside if page.articles else not links)]
+    (of an article marked in it, or of a form, with or without a template)."""
+    chosen = [i for i, (_, inside) in enumerate(page.blocks) if not page.hidden[i] and (inside or not page.articles)]
     if page.articles and not chosen:
-        chosen = [i for i, (_, _, links) in enumerate(page.blocks) if not links and not page.hidden[i]]
+        chosen = [i for i in range(len(page.blocks)) if not page.hidden[i]]
     if not page.articles and any(page.hidden):
         size: dict[int, int] = {}
-        for i, (text, _, links) in enumerate(page.blocks):
-            if not links and not page.never[page.hidden[i]] or not page.hidden[i] and not links:
+        for i, (text, _) in enumerate(page.blocks):
+            if not page.never[page.hidden[i]]:
                 size[page.hidden[i]] = size.get(page.hidden[i], 0) + (0 if fixed and i in fixed else len(text))
         rule = max((r for r in size if r), key=lambda r: size[r], default=0)
         if rule and size[rule]:
-            own = [i for i, (_, _, links) in enumerate(page.blocks) if page.hidden[i] == rule and not links]
+            own = [i for i in range(len(page.blocks)) if page.hidden[i] == rule]
             marked = [i for i in own if page.blocks[i][1]]
             most = 2 * size[rule] > sum(size.values())
             if marked and (most or not chosen):
                 chosen = marked
-            elif most and fixed or not chosen:
+            elif most and (fixed or rule in page.forms) or not chosen:
                 chosen = sorted(chosen + own)
     return chosen
 
@@ -448,7 +449,9 @@ def extract(source: str | None, host: Host | None = None, constant: set[int] | N
             if slot and _joint(slot, text) in constant or _joint(path, text) in constant:
                 fixed.update(blocks)
     chosen = _chosen(page, fixed)
-    chosen = [i for i in chosen if i not in fixed] or chosen
+    own = [i for i in chosen if i not in fixed]
+    within = [i for i in own if page.blocks[i][1] == 2]
+    chosen = [i for i in chosen if i not in fixed or within and page.blocks[i][1] == 2 and within[0] < i < within[-1]] if own else chosen
     return "\n".join(page.blocks[i][0] for i in chosen)
 
 

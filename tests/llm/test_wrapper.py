@@ -51,8 +51,8 @@ def site(k):
 def test_a_site_with_neutral_names(spark, monkeypatch):
     pages = [site(k) for k in range(40)]
     assert texts(spark, [p for p, _ in pages]) == {k: t for k, (_, t) in enumerate(pages)}
-    # the template does it: without constants the menu's text and the notes stay
-    assert html_wrapper.extract(pages[0][0]) == pages[0][1] + "\nCall us at any time.\nAll prices with tax.\nMade by hand."
+    # the template does it: without constants the menu and the notes stay
+    assert html_wrapper.extract(pages[0][0]) == "".join(f"Part {i}\n" for i in range(6)) + pages[0][1] + "\nCall us at any time.\nAll prices with tax.\nMade by hand."
 
 
 def test_a_box_at_its_own_place_on_some_pages(spark):
@@ -66,7 +66,7 @@ def test_a_box_at_its_own_place_on_some_pages(spark):
 def test_names_and_links_do_not_drop_paragraphs():
     keep = '<article><div class="share-price-notice"><p>Shares rose.</p></div><div class="ad"><p>Buy</p></div><div class="search-results-story"><p>Found.</p></div></article>'
     assert html_wrapper.extract(keep) == "Shares rose.\nFound."
-    assert html_wrapper.extract("<body><p><a href=x>Start here.</a></p><p>Text</p><ul><li><a>menu</a></li></ul><p><a>End.</a></p></body>") == "Start here.\nText\nEnd."
+    assert html_wrapper.extract("<body><p><a href=x>Start here.</a></p><p>Text</p><ul><li><a>menu</a></li></ul><p><a>End.</a></p></body>") == "Start here.\nText\nmenu\nEnd."
     assert html_wrapper.extract('<body><div class="post-header"><h1>T</h1></div><div class="siteHeader">top</div><p>text</p><div class="ad-slot box">buy</div></body>') == "T\ntext"
 
 
@@ -130,3 +130,25 @@ def test_partitions_change_nothing(spark, parts, monkeypatch):
     assert list(templates) == ["h.example"] and all(f"div.y{c}:5" in templates["h.example"] for c in "abcdefgh")
     got = {r["page_id"]: r["text"] for r in html_wrapper.extract_text(df).collect()}
     assert got == {k: site(k)[1] for k in range(40)}
+
+
+def test_constant_headings_between_an_articles_texts_stay(spark):
+    page = lambda k: f"<article><h1>Dish {k}</h1><h2>Ingredients</h2><p>{k} eggs</p><h2>Method</h2><p>stir {k} times</p><p>Read our terms.</p></article>"
+    got = texts(spark, [page(k) for k in range(20)])
+    assert got == {k: f"Dish {k}\nIngredients\n{k} eggs\nMethod\nstir {k} times" for k in range(20)}
+
+
+def test_only_a_template_drops_links(spark):
+    assert texts(spark, ["<p>A<ul><li><a>linked item</a></li></ul>"]) == {0: "A\nlinked item"}
+    menu = "<ul><li><a>Home</a></li><li><a>News</a></li></ul>"
+    got = texts(spark, [f"{menu}<div>story {k}</div><ul><li><a>source {k}</a></li></ul>" for k in range(12)])
+    assert got == {k: f"story {k}\nsource {k}" for k in range(12)}
+
+
+def test_a_form_that_is_the_page(spark):
+    whole = "<body><form action=x><div class='sidebar'>aside</div><input name=a><h1>Title {k}</h1><p>Long text of page {k}, which all stands in a form.</p><button>Send</button></form><p>foot</p></body>"
+    small = "<body><p>Long text of page {k}, which stands beside a form.</p><form>Name <input> Mail <input></form></body>"
+    got = texts(spark, [whole.format(k=k) for k in range(3)])
+    assert got == {k: f"Title {k}\nLong text of page {k}, which all stands in a form.\nfoot" for k in range(3)}
+    got = texts(spark, [small.format(k=k) for k in range(3)])
+    assert got == {k: f"Long text of page {k}, which stands beside a form." for k in range(3)}
