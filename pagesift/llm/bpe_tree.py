@@ -5,8 +5,9 @@ sequence is the BPE encoding of its bytes if and only if each two neighbours are
 the encoding of their own bytes joined. So two encoded halves are joined by
 re-encoding a window of tokens around the seam and growing it until the pairs at
 both of its edges are stable; all other pairs were stable before. The join is
-associative, so halves are encoded recursively and a piece of any length needs
-windows of a few tokens, not a pass over the whole piece a merge.
+associative, so halves are encoded recursively. Windows are a few tokens in prose; in a
+long run of one sign no place is stable, and they grow to whole halves. Long windows merge by a heap, so
+even such a piece takes little more than linear time.
 
 Decoding concatenates the tokens' bytes up the same tree.
 
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 from functools import lru_cache
 
 import numpy as np
@@ -31,6 +33,8 @@ from pyspark.sql import functions as F
 from pagesift.llm.pieces import PieceCache, segments
 
 LEAF = 6  # bytes; below this the merges are applied directly
+#: Bytes from which the next merge is found in a heap and not by looking at all pairs.
+HEAP = 96
 
 
 class TreeCodec:
@@ -53,6 +57,8 @@ class TreeCodec:
         whole = ranks.get(data)
         if whole is not None:
             return [whole]
+        if len(data) >= HEAP:
+            return self._heaped(data)
         parts = [data[i : i + 1] for i in range(len(data))]
         scores = [ranks.get(parts[i] + parts[i + 1]) for i in range(len(parts) - 1)]
         while True:
@@ -69,6 +75,27 @@ class TreeCodec:
             if at:
                 scores[at - 1] = ranks.get(parts[at - 1] + parts[at])
 
+    def _heaped(self, data: bytes) -> list[int]:
+        """The same by a heap of pairs and linked parts."""
+        ranks, n = self.ranks, len(data)
+        parts: list[bytes | None] = [data[i : i + 1] for i in range(n)]
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i, 1, 1) for i in range(n - 1) if (r := ranks.get(data[i : i + 2])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, m, k = heapq.heappop(heap)
+            j = after[i]
+            if parts[i] is None or len(parts[i]) != m or j >= n or len(parts[j]) != k:
+                continue  # one of the two has grown since
+            parts[i], parts[j] = parts[i] + parts[j], None
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for a, b in ((before[i], i), (i, after[i])):
+                if a >= 0 and b < n and (r := ranks.get(parts[a] + parts[b])) is not None:
+                    heapq.heappush(heap, (r, a, len(parts[a]), len(parts[b])))
+        return [ranks[p] for p in parts if p is not None]
+
     def leaf(self, data: bytes) -> list[int]:
         ids = self.leaves.get(data)
         if ids is None:
