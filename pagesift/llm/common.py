@@ -109,6 +109,14 @@ def join_checked(df: DataFrame, small: DataFrame, on, how: str = "inner", bound:
     return df.join(F.broadcast(small) if rows <= bound else small, on, how)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A name for a helper column that ``df`` has no column of, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of ``value``, which is computed once however often ``body`` uses it."""
     return F.transform(F.array(value), body)[0]

@@ -8,8 +8,9 @@ decided by a rehash of the smallest hash, else lines of two words would have few
 and meet by chance. Hashes are summed in packed byte lanes, eight longs holding the 64 bit
 counts of up to 127 words.
 
-Fingerprints within ``radius`` bits share, by the pigeonhole principle, one of the keys
-for each choice of ``bands - radius`` bands. Lines that share a key are candidates, the
+Fingerprints are cut into ``bands``. Those within ``radius`` bits share, by the pigeonhole principle, one of the
+keys for each choice of ``bands - radius`` bands; the bands are the same for any number of lines, so two lines
+are linked or not whatever other lines there are. Lines that share a key are candidates, the
 further ones too, up to ``reach`` bits: none within ``radius`` is missed, and many beyond
 are found (nearly all candidates within ``reach`` are alike, nearly none past it).
 Candidates are verified by edit similarity ``1 - levenshtein / longer length >=
@@ -18,8 +19,8 @@ id, then line number) stays.
 
 A key of two or three fingerprints gives its pairs out of one aggregation. Larger keys are
 first compared with two leaders, which settles groups of near copies in linear work;
-then the lines still in different groups are joined on their keys and compared. There are
-more ``bands``, hence longer keys, the more lines there are, so that a key has few by chance.
+then the lines still in different groups are joined on their keys and compared, a large key's
+in as many shares as it has thousands of them.
 
 Defined cases: null text is one empty line; lines without words are layout and
 always stay; a null id is an id like any other, but its lines are first only if a group
@@ -32,14 +33,15 @@ are not read.
 from __future__ import annotations
 
 from itertools import combinations
-from math import comb
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagesift.llm.common import BLANKS, connected_components, join_checked, let, materialize, release
+from pagesift.llm.common import BLANKS, connected_components, fresh, join_checked, let, materialize, release
 
-RADIUS, REACH, MIN_SIMILARITY = 3, 9, 0.8
+RADIUS, REACH, BANDS, MIN_SIMILARITY = 3, 9, 5, 0.8
+#: Open fingerprints of a key that one task compares with all the others.
+_SHARE = 2048
 _LANES, _WIDE, _PART = 0x0101010101010101, 0x0001000100010001, 127
 
 
@@ -115,12 +117,6 @@ def _key(text: str) -> Column:
     return F.unhex(F.md5(text))
 
 
-def bands_for(lines: int, radius: int = RADIUS) -> int:
-    """The bands that cost least: a row for each choice of bands, and the lines that meet
-    in a key by chance, of which sixteen are compared in the time of a row."""
-    return min(range(radius + 2, radius + 8), key=lambda b: comb(b, radius) * (1 + lines / 2 ** (64 * (b - radius) / b + 4)))
-
-
 def masks_for(radius: int, bands: int) -> list[int]:
     """The bits of each choice of ``bands - radius`` bands, as signed longs."""
     edges = [round(64 * k / bands) for k in range(bands + 1)]
@@ -204,7 +200,7 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, min_similarit
     return out
 
 
-def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, reach: int = REACH, bands: int | None = None, min_similarity: float = MIN_SIMILARITY, lead: bool = True) -> DataFrame:
+def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, reach: int = REACH, bands: int = BANDS, min_similarity: float = MIN_SIMILARITY, lead: bool = True) -> DataFrame:
     """``doc_id, line_no, line_md5, first_doc, first_line, kept`` for every line that has a
     word.
 
@@ -217,7 +213,7 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = materialize(nodes.withColumn("id", F.monotonically_increasing_id()), "line-nodes")
     # a fingerprint's lines, and the one that stands for them
     by_fp = materialize(nodes.groupBy("fp").agg(F.count("*").alias("lines"), F.min("id").alias("id")), "line-fingerprints")
-    keyed = _keyed(by_fp, radius, bands_for(by_fp.count(), radius) if bands is None else bands)
+    keyed = _keyed(by_fp, radius, bands)
     least, most, middle = F.col("a"), F.col("c"), F.col("a").bitwiseXOR(F.col("c")).bitwiseXOR(F.col("x"))
     some = _near(least, most, reach) | (F.col("n") == 3) & (_near(least, middle, reach) | _near(middle, most, reach))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("c"), F.bit_xor("fp").alias("x"))
@@ -262,11 +258,13 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     near = small
     if rows is not None:
         placed = rows.select("key", "fp").join(groups.groupBy("fp").agg(F.min("g").alias("lo"), F.max("g").alias("hi")), "fp")
-        apart = placed.groupBy("key").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l <> h").select("key")
-        still = materialize(placed.join(apart, "key"), "line-still")
-        one, two = (still.select("key", F.col("fp").alias(f"f{n}"), F.col("lo").alias(f"l{n}"), F.col("hi").alias(f"h{n}")) for n in (1, 2))
+        apart = placed.groupBy("key").agg(F.min("lo").alias("l"), F.max("hi").alias("h"), F.count("*").alias("n")).where("l <> h")
+        still = materialize(placed.join(apart.select("key", F.expr(f"(n + {_SHARE - 1}) div {_SHARE}").alias("shares")), "key"), "line-still")
+        # one side of a key is dealt to its shares, each of which meets the whole other side
+        share = {1: F.pmod(F.xxhash64("fp"), "shares"), 2: F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1))}
+        one, two = (still.select("key", share[n].alias("share"), F.col("fp").alias(f"f{n}"), F.col("lo").alias(f"l{n}"), F.col("hi").alias(f"h{n}")) for n in (1, 2))
         apart = (F.col("l1") != F.col("l2")) | (F.col("h1") != F.col("h2")) | (F.col("l1") != F.col("h1"))
-        near = near.union(one.join(two, (one["key"] == two["key"]) & (F.col("f1") < F.col("f2")) & apart & _near("f1", "f2", reach)).select("f1", "f2"))
+        near = near.union(one.join(two, (one["key"] == two["key"]) & (one["share"] == two["share"]) & (F.col("f1") < F.col("f2")) & apart & _near("f1", "f2", reach)).select("f1", "f2"))
     pairs = materialize(lines_of(near.union(same), groups, groups), "line-pairs")
     more = _verified(source, nodes, pairs, min_similarity) if pairs.take(1) else None
     links = more if links is None else links if more is None else links.unionByName(more)
@@ -288,8 +286,9 @@ def drop_lines(docs: DataFrame, decisions: DataFrame, id_col: str = "doc_id", te
     """``docs`` with the lines that don't stay cut out of ``text_col``; every other
     column passes through, and a document without dropped lines is unchanged. A line goes
     by id, place and content, so a document that shares the id keeps its own lines."""
-    gone = decisions.where("not kept").groupBy(F.col("doc_id").alias("_gone_of")).agg(F.collect_set(F.concat_ws(":", "line_no", "line_md5")).alias("_gone"))
+    of, out_lines = fresh(docs, "gone_of"), fresh(docs, "gone")
+    gone = decisions.where("not kept").groupBy(F.col("doc_id").alias(of)).agg(F.collect_set(F.concat_ws(":", "line_no", "line_md5")).alias(out_lines))
     lines = F.split(F.col(text_col), "\n")
-    left = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains("_gone", F.concat_ws(":", i, F.md5(normalised(line))))), "\n")
-    out = docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone_of")), "left")
-    return out.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(left)).drop("_gone_of", "_gone")
+    left = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains(out_lines, F.concat_ws(":", i, F.md5(normalised(line))))), "\n")
+    out = docs.join(gone, F.col(id_col).eqNullSafe(F.col(of)), "left")
+    return out.withColumn(text_col, F.when(F.col(out_lines).isNull(), F.col(text_col)).otherwise(left)).drop(of, out_lines)

@@ -22,7 +22,7 @@ Terms are runs of letters, marks and digits in lower case, outside of base spans
 
 Defined cases: null text is empty; texts of any length are read whole; a null id is passed on and
 rows that repeat an id are rows of their own; equal texts get equal spans; an empty table gives no rows; other
-columns are not read, ``sanitise`` passes them on (its helper columns have names no input column has).
+columns are not read, ``sanitise`` passes them on whatever their names are.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagesift.llm.common import join_checked, let, materialize
+from pagesift.llm.common import fresh, join_checked, let, materialize
 
 KINDS = ["email", "ip", "card", "phone", "generalised", "removed"]
 GENERALISE, REMOVE, SUPPORT, WINDOW = 0.95, 0.99, 3, 80
@@ -161,14 +161,15 @@ def _term_spans(text: Column, base: Column, terms: Column) -> Column:
     return let(F.struct(F.transform(terms, lambda t: t["term"]).alias("known"), removed.alias("gone")), spans)
 
 
-def _with_spans(docs: DataFrame, text_col: str, **how) -> DataFrame:
-    """``docs`` with ``__pii_base`` and ``__pii_spans``."""
+def _with_spans(docs: DataFrame, text_col: str, **how) -> tuple[DataFrame, str, str]:
+    """``docs`` with a column of base spans and one of all spans, and the two columns' names."""
     text = _text(text_col)
-    hints = materialize(revealing_terms(docs, text_col, **how), "pii-hints").select(F.col("key").alias("__pii_key"), F.col("terms").alias("__pii_terms"))
-    rows = join_checked(docs.withColumn("__pii_key", _key(text)), hints, "__pii_key", "left")
-    rows = rows.withColumn("__pii_base", base_spans(text))
-    more = F.when(F.col("__pii_terms").isNotNull(), _term_spans(text, F.col("__pii_base"), F.col("__pii_terms"))).otherwise(F.expr(_NONE))
-    return rows.withColumn("__pii_spans", F.array_sort(F.concat("__pii_base", more))).drop("__pii_key", "__pii_terms")
+    key, terms, base, spans = (fresh(docs, f"pii_{n}") for n in ("key", "terms", "base", "spans"))
+    hints = materialize(revealing_terms(docs, text_col, **how), "pii-hints").select(F.col("key").alias(key), F.col("terms").alias(terms))
+    rows = join_checked(docs.withColumn(key, _key(text)), hints, key, "left")
+    rows = rows.withColumn(base, base_spans(text))
+    more = F.when(F.col(terms).isNotNull(), _term_spans(text, F.col(base), F.col(terms))).otherwise(F.expr(_NONE))
+    return rows.withColumn(spans, F.array_sort(F.concat(base, more))).drop(key, terms), base, spans
 
 
 def _listed(spans: Column) -> Column:
@@ -178,9 +179,9 @@ def _listed(spans: Column) -> Column:
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans`` for every row."""
-    rows = _with_spans(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", **how)
-    of = lambda kind: F.size(F.filter("__pii_base", lambda s: s["kind"] == kind)).cast("long")
-    return rows.select("doc_id", *[of(i).alias(f"n_{k}") for i, k in enumerate(KINDS[:4])], F.sha2(_listed(F.col("__pii_base")), 256).alias("base_sha256"), _listed(F.col("__pii_spans")).alias("spans"))
+    rows, base, spans = _with_spans(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", **how)
+    of = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long")
+    return rows.select("doc_id", *[of(i).alias(f"n_{k}") for i, k in enumerate(KINDS[:4])], F.sha2(_listed(F.col(base)), 256).alias("base_sha256"), _listed(F.col(spans)).alias("spans"))
 
 
 def sanitise(docs: DataFrame, text_col: str = "text", **how) -> DataFrame:
@@ -188,7 +189,7 @@ def sanitise(docs: DataFrame, text_col: str = "text", **how) -> DataFrame:
     ``[number]``, ``[name]`` (capitalised) or ``[word]``, removed terms go. Where spans overlap, all that
     any of them covers goes."""
     text = _text(text_col)
-    rows = _with_spans(docs, text_col, **how)
+    rows, _, spans = _with_spans(docs, text_col, **how)
     kinds = F.array(*[F.lit(f"[{k}]") for k in KINDS[:4]])
 
     def instead(s: Column) -> Column:
@@ -205,7 +206,7 @@ def sanitise(docs: DataFrame, text_col: str = "text", **how) -> DataFrame:
 
         return let(upto, pieces)
 
-    clean = F.when(F.size("__pii_spans") > 0, rebuilt(F.col("__pii_spans"))).otherwise(F.col(text_col))
+    clean = F.when(F.size(spans) > 0, rebuilt(F.col(spans))).otherwise(F.col(text_col))
     return rows.withColumn(text_col, clean).select(*docs.columns)
 
 

@@ -138,7 +138,7 @@ def brute_lines(rows, bands=None):
         h = [xxh64_intdigest(w, 42) for w in set(x.split(" "))]
         tie = xxh64_intdigest((min(y - (y >> 63 << 64) for y in h) % (1 << 64)).to_bytes(8, "little"), 42)
         fp[x] = sum((sum(y >> k & 1 for y in h) * 2 + (tie >> k & 1) > len(h)) << k for k in range(64))
-    masks = [m % (1 << 64) for m in line_dedup.masks_for(line_dedup.RADIUS, bands or line_dedup.bands_for(len(first)))]
+    masks = [m % (1 << 64) for m in line_dedup.masks_for(line_dedup.RADIUS, bands or line_dedup.BANDS)]
     name = {x: (first[x], hashlib.md5(x.encode()).digest(), x) for x in first}
     links = []
     for x, y in combinations(first, 2):
@@ -386,3 +386,27 @@ def test_scratch_tables_go(spark):
         keep(two)
     assert two.count() == 4 and one._pagesift_path not in common._written
     common.release(two)
+
+
+def test_lines_are_linked_whatever_other_lines_there_are(spark, monkeypatch):
+    """The same groups with many more lines around, and with large keys dealt to shares."""
+    draw = random.Random(12)
+    vocabulary = [f"word{i}" for i in range(400)]
+    lines = []
+    for _ in range(60):
+        words = draw.choices(vocabulary, k=25)
+        for _ in range(3):
+            lines.append(" ".join(words))
+            words = [draw.choice(vocabulary) if draw.random() < 0.05 else w for w in words]
+    docs = [(i, t) for i, t in enumerate(lines)]
+    more = [(10_000 + i, " ".join(draw.choices([f"other{j}" for j in range(900)], k=draw.randint(4, 30)))) for i in range(3000)]
+
+    def groups(rows, **how):
+        out = line_dedup.line_groups(spark.createDataFrame(rows, "doc_id long, text string"), **how).collect()
+        return {r["doc_id"]: r["first_doc"] for r in out if r["doc_id"] < 10_000}
+
+    want = groups(docs)
+    assert len(set(want.values())) < 170
+    assert groups(docs + more) == want
+    monkeypatch.setattr(line_dedup, "_SHARE", 3)
+    assert groups(docs + more, lead=False) == want
