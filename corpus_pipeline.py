@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagesift.llm import bpe_tree, exact_dedup, langid, simhash
-from pagesift.llm.common import blanks_to_space, materialize, release, scratch, table
+from pagesift.llm.common import blanks_to_space, fresh, materialize, release, scratch, table
 from pagesift.llm.queries import _vocabulary, mix_documents
 
 #: A document is rejected below this language score. The outputs of L regressions sum
@@ -16,16 +16,13 @@ from pagesift.llm.queries import _vocabulary, mix_documents
 MIN_SCORE = 0.1
 #: Share of the tokens that the mixture keeps; no document is taken twice.
 MIX_BUDGET = 0.9
-#: A helper column's name that no input column should have.
-_SHA = "_pipeline_text_sha256"
-
 
 def _kept(docs: DataFrame, ids: DataFrame, *also: str) -> DataFrame:
     """The rows of ``docs`` whose id (and what ``also`` names) is in ``ids``; a null id is
     an id like any other."""
-    key = ["doc_id", *also]
-    wanted = ids.select(*[F.col(c).alias(f"_kept_{c}") for c in key])
-    same = [F.col(c).eqNullSafe(F.col(f"_kept_{c}")) for c in key]
+    key = {c: fresh(docs, f"kept_{c}") for c in ["doc_id", *also]}
+    wanted = ids.select(*[F.col(c).alias(k) for c, k in key.items()])
+    same = [F.col(c).eqNullSafe(F.col(k)) for c, k in key.items()]
     on = same[0]
     for more in same[1:]:
         on = on & more
@@ -34,21 +31,26 @@ def _kept(docs: DataFrame, ids: DataFrame, *also: str) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a letter, those that no language claims and those that
-    are strange to the language that claims them."""
-    marked = langid.with_language(docs, langid.train(docs), "text", "_lang_pred", "_lang_score", "_lang_strange")
-    good = (F.col("_lang_pred") != langid.UNKNOWN) & (F.col("_lang_score") >= MIN_SCORE) & ~F.col("_lang_strange")
+    are strange to the language that claims them. Null text has no letter and goes; a null id is
+    passed on like any other, and rows that repeat an id are decided each by their text; without a
+    labelled row, or of an empty table, nothing is kept."""
+    lang, score, strange = (fresh(docs, f"lang_{n}") for n in ("pred", "score", "strange"))
+    marked = langid.with_language(docs, langid.train(docs), "text", lang, score, strange)
+    good = (F.col(lang) != langid.UNKNOWN) & (F.col(score) >= MIN_SCORE) & ~F.col(strange)
     return marked.where(good).select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of equal texts; of rows that repeat an id and
-    a text, one."""
-    decided = exact_dedup.exact_dedup(docs).withColumnRenamed("text_sha256", _SHA)
-    hashed = docs.withColumn(_SHA, F.sha2(blanks_to_space(F.coalesce("text", F.lit(""))), 256))
-    kept = _kept(hashed, decided.where("kept"), _SHA)
-    repeated = decided.groupBy("doc_id", _SHA).agg(F.count("*").alias("rows")).where("rows > 1")
+    a text, one. Null text is empty and equal to every other such; a row without an id stays
+    if its group has none with one; an empty table keeps nothing."""
+    sha = fresh(docs, "text_sha256")
+    decided = exact_dedup.exact_dedup(docs).withColumnRenamed("text_sha256", sha)
+    hashed = docs.withColumn(sha, F.sha2(blanks_to_space(F.coalesce("text", F.lit(""))), 256))
+    kept = _kept(hashed, decided.where("kept"), sha)
+    repeated = decided.groupBy("doc_id", sha).agg(F.count("*").alias("rows")).where("rows > 1")
     if repeated.take(1):
-        kept = kept.dropDuplicates(["doc_id", _SHA])
+        kept = kept.dropDuplicates(["doc_id", sha])
     return kept.select(*docs.columns)
 
 
