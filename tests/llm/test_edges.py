@@ -410,3 +410,32 @@ def test_lines_are_linked_whatever_other_lines_there_are(spark, monkeypatch):
     assert groups(docs + more) == want
     monkeypatch.setattr(line_dedup, "_SHARE", 3)
     assert groups(docs + more, lead=False) == want
+
+
+def test_pipeline_stages_take_columns_of_any_name(spark, tmp_path):
+    import corpus_pipeline
+
+    names = ["lang_pred", "_lang_pred", "lang_score", "lang_strange", "text_sha256", "_text_sha256", "kept_doc_id", "_kept_doc_id", "kept_text_sha256", "Kept_Doc_Id2"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    rows = [(i, f"the old house number {i % 7} of the town", "en", "src0", 9, *["x"] * len(names)) for i in range(30)] + [(40, None, "en", "src0", 0, *["y"] * len(names))]
+    df = spark.createDataFrame(rows, schema)
+    for stage in (corpus_pipeline.language, corpus_pipeline.exact, corpus_pipeline.near):
+        out = stage(spark, df, str(tmp_path))
+        assert out.columns == df.columns and 0 < out.count() <= len(rows)
+    gone = line_dedup.line_groups(df)
+    wide = df.withColumn("gone", F.lit(1)).withColumn("gone_of", F.lit(2))
+    assert line_dedup.drop_lines(wide, gone).columns == wide.columns
+
+
+def test_long_runs_of_one_sign():
+    """No place of such a piece is stable, so whole halves are merged again."""
+    import time
+
+    import tiktoken
+
+    codec = bpe_tree.TreeCodec(RANKS, public.PATTERN)
+    enc = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
+    began = time.process_time()
+    for text in ("=" * 20_000, "-=" * 5000, "ab" * 9000, "".join(random.Random(3).choices("abcde=", k=9000))):
+        assert codec.encode(text) == b"".join(t.to_bytes(4, "little") for t in enc.encode_ordinary(text))
+    assert time.process_time() - began < 60
