@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from pagesift.functions import csv, text
+from pagesift.functions import csv, syntax, text
 from pagesift.operators import cluster, content, layout, merge, objects, render, table
 from pagesift.schema import ELEMENT, SPAN, TABLE
 
@@ -52,6 +52,11 @@ FUNCTIONS: dict[str, tuple[dict[str, str], str, Callable[..., Column]]] = {
     "elements_to_txt": ({"elements": _ELEMENTS}, "STRING", render.elements_to_txt),
     "elements_to_markdown": ({"elements": _ELEMENTS}, "STRING", render.elements_to_markdown),
     "operator_spans": ({"operators": f"ARRAY<{content.OPERATOR}>"}, _SPANS, content.operator_spans),
+    "stream_operators": ({"content": "BINARY"}, f"ARRAY<{content.OPERATOR}>", content.content_operators),
+    "stream_spans": ({"content": "BINARY"}, _SPANS, content.content_spans),
+    "parse_object": ({"body": "STRING"}, "VARIANT", syntax.parse_object),
+    "xref_table": ({"body": "STRING"}, "ARRAY<STRUCT<number: BIGINT, offset: BIGINT, generation: INT, in_use: BOOLEAN>>", objects.xref_table),
+    "find_startxref": ({"content": "BINARY"}, "BIGINT", objects.startxref),
     "csv_cells": ({"body": "STRING"}, "ARRAY<ARRAY<STRING>>", csv.csv_rows),
     "csv_row_count": ({"body": "STRING"}, "INT", csv.row_count),
     "format_size": ({"size": "BIGINT"}, "STRING", csv.format_size),

@@ -8,7 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesift.sources.shared import shared_dir
+from pagesift.functions.text import let
+from pagesift.sources.shared import scratch_folder
 
 
 def resolve(edges: DataFrame, objects: DataFrame) -> DataFrame:
@@ -23,9 +24,10 @@ def dangling(edges: DataFrame, objects: DataFrame) -> DataFrame:
 
 
 def _saved(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder, its lineage cut."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """``df`` written to the shared folder and read back: computed once, its lineage cut."""
+    path = scratch_folder(df.sparkSession, "objects")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
@@ -54,7 +56,7 @@ def page_order(nodes: DataFrame, kids: DataFrame, roots: DataFrame) -> DataFrame
     spark = nodes.sparkSession
     names = {n: f"_{n}_{uuid.uuid4().hex}" for n in ("nodes", "kids", "roots")}
     for df, name in zip((nodes, kids, roots), names.values(), strict=True):
-        df.createOrReplaceTempView(name)
+        _saved(df).createOrReplaceTempView(name)  # each level of the recursion reads them again
     # a tree is as large as it is: no limit on its rows, and one on its depth by the guard
     spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
     spark.conf.set("spark.sql.cteRecursionLevelLimit", "-1")
@@ -98,6 +100,48 @@ def xref_records(data: Column, widths: Column, ranges: Column) -> Column:
     return F.when((F.size(widths) == 3) & (size > 0), F.transform(whole, record))
 
 
+def startxref(content: Column) -> Column:
+    """The offset that the last ``startxref`` of a file's last 1,024 bytes names; null if there is
+    none. A file without the end marker counts too."""
+    length = F.octet_length(content)
+    tail = F.decode(F.substring(content, F.greatest(length - 1023, F.lit(1)), F.lit(1024)), "ISO-8859-1")
+    return F.regexp_extract(tail, r"(?s)\A.*startxref[\x00\x09\x0A\x0C\x0D\x20]+([0-9]+)", 1).try_cast("bigint")
+
+
+def xref_table(text: Column) -> Column:
+    """``array<struct<number, offset, generation, in_use>>`` of a classic cross-reference section:
+    after ``xref`` subsections of a first number, a count and so many entries, up to the trailer."""
+    body = F.regexp_extract(text, r"(?s)xref\s+(.*?)\s*(?:trailer|\z)", 1)
+    rows = F.regexp_extract_all(body, F.lit(r"[0-9]++\s++[0-9]++(?:\s++[nf]\b)?"), F.lit(0))
+
+    def numbered(rows: Column) -> Column:
+        heads = F.filter(F.transform(rows, lambda r, i: F.when(~r.rlike(r"[nf]\z"), i)), lambda i: i.isNotNull())
+        part = lambda r, k: F.split(r, r"\s+")[k]
+
+        def section(h: Column) -> Column:
+            first, count = part(F.get(rows, h), 0).cast("bigint"), part(F.get(rows, h), 1).cast("int")
+            own = lambda r, i: F.struct((first + i).alias("number"), part(r, 0).cast("bigint").alias("offset"), part(r, 1).cast("int").alias("generation"), (part(r, 2) == "n").alias("in_use"))
+            return F.transform(F.filter(F.slice(rows, h + 2, count), lambda r: r.rlike(r"[nf]\z")), own)
+
+        return F.flatten(F.transform(heads, section))
+
+    return let(rows, numbered)
+
+
+def kids_of(objects: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The nodes and kids of page trees, as :func:`page_order` takes them, from objects as values
+    (``doc_id, number, value VARIANT``). An object without a type is a page if it has contents or a media
+    box."""
+    v = F.col("value")
+    has = lambda key: F.try_variant_get(v, f"$.{key}", "variant").isNotNull()
+    named = F.try_variant_get(v, '$.Type["/"]', "string")
+    kind = F.when(named.isin("Page", "Pages"), named).when(has("Contents") | has("MediaBox"), "Page").otherwise(F.coalesce(named, F.lit("")))
+    nodes = objects.select("doc_id", "number", kind.alias("kind"))
+    listed = objects.select("doc_id", F.col("number").alias("parent"), F.posexplode(F.try_variant_get(v, "$.Kids", "array<variant>")).alias("place", "kid"))
+    child = F.try_variant_get("kid", "$.R[0]", "bigint")
+    return nodes, listed.select("doc_id", "parent", "place", child.alias("child")).where("child is not null")
+
+
 #: How values that JSON lacks are held in a VARIANT: an object with this one key.
 TAGS = {"name": "/", "ref": "R", "stream": "stream"}
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagesift import api
+from pagesift.operators import content
 from pagesift.operators.objects import view_name
 from pagesift.plans import fixtures, pdf_writer
 from pagesift.plans import oracles as O
@@ -131,7 +132,7 @@ def content_ops(spark, sf):
         "1 2 (double) \" 1 0 0 1 30 40 Tm [(a) -100 (b) -300 (c)] TJ /F2 8 Tf <4869> Tj ET Q (after) Tj << /a (b) >> (dropped) Do"
     )
     rows = spark.read.parquet(f"{sf}/part.parquet").selectExpr("p_partkey", f"cast('{stream.replace(chr(39) * 2, chr(92) + chr(39))}' AS BINARY) AS content")
-    out = _udtf(spark, rows, "content_spans(content)", "p_partkey")
+    out = rows.select("p_partkey", F.explode(content.content_spans(F.col("content"))).alias("s")).select("p_partkey", "s.*")
     return out.select("p_partkey", F.col("ord").cast("long").alias("ord"), "text", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "font_size", "font_name")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagesift.functions import sql
+from pagesift.functions import sql, syntax
 from pagesift.operators import cluster, content, merge, nearest, objects
 from pagesift.plans import fixtures
 from pagesift.plans import oracles as O
@@ -228,6 +228,71 @@ def decode_fonts(spark, sf):
 _FONTS_SQL = """SELECT p_partkey, CASE WHEN p_partkey % 50 = 7 THEN list_aggregate(list_transform(string_split(p_name, ''), lambda c: chr((ascii(c) + 207) // 256) || chr((ascii(c) + 207) % 256)), 'string_agg', '') ELSE p_name END
   || 'AB' || CASE WHEN p_partkey % 2 = 1 THEN 'C' ELSE '' END AS text FROM part"""
 
+def content_fonts(spark, sf):
+    """Bytes in a Windows, a Mac, a mapped and an unknown font, from streams to joined spans."""
+    stream = (
+        "concat('BT /W 10 Tf 20 500 Td (', p_name, ' \\\\200\\\\351) Tj 0 -20 Td /M 10 Tf <', hex(p_type), '8E> Tj 0 -20 Td /C 10 Tf <', "
+        "array_join(transform(split(p_name, ''), c -> lpad(hex(ascii(c) + 300), 4, '0')), ''), '> Tj 0 -20 Td /U 10 Tf [(', p_brand, ') 50 (\\\\200\\\\351)] TJ ET')"
+    )
+    cids = F.map_from_entries(F.transform(F.sequence(F.lit(32), F.lit(126)), lambda c: F.struct((c + 300).alias("k"), F.char(c).alias("v"))))
+    font = lambda name, encoding, cids=None: (F.lit(name), F.struct(F.lit(encoding).alias("encoding"), (F.create_map().cast("map<int,string>") if cids is None else cids).alias("cids")))
+    fonts = F.create_map(*font("W", "WinAnsiEncoding"), *font("M", "MacRomanEncoding"), *font("C", "WinAnsiEncoding", cids))
+    rows = _read(spark, sf, "part").select("p_partkey", F.expr(f"encode({stream}, 'ISO-8859-1')").alias("content"))
+    return _flat(rows.select("p_partkey", merge.merge_spans(content.content_spans(F.col("content"), fonts)).alias("spans")), "p_partkey")
+
+
+_CONTENT_FONTS_SQL = " UNION ALL ".join(
+    f"SELECT p_partkey, {i}::BIGINT AS ord, {text} AS text, 20::DOUBLE AS x, {500 - 20 * i}::DOUBLE AS y, 10::DOUBLE AS font_size, '{font}' AS font_name FROM part"
+    for i, (font, text) in enumerate([("W", "p_name || ' ' || chr(8364) || chr(233)"), ("M", "p_type || chr(233)"), ("C", "p_name"), ("U", "p_brand || ' ' || chr(233)")])
+)
+
+
+def parse_object(spark, sf):
+    """Objects from their text, nested, with comments, escapes and references."""
+    body = "concat('<< /Type /Part % a comment\\n /Name (', p_name, ' \\\\(x\\\\)) /K#65y ', p_partkey, ' /Half ', p_partkey, '.5 /Tags [/A', p_partkey % 9, ' (', p_type, ') null true <4869> << /In [', p_partkey, ' 0 R 7] >>] /Next ', p_partkey + 1, ' 2 R >>')"
+    v = F.col("v")
+    get = lambda path, to="string": F.try_variant_get(v, path, to)
+    rows = _read(spark, sf, "part").select("p_partkey", syntax.parse_object(F.expr(body)).alias("v"))
+    return rows.select(
+        "p_partkey", get('$.Type["/"]').alias("type"), get("$.Name").alias("name"), get("$.Key", "bigint").alias("key"), get("$.Half", "double").alias("half"), get('$.Tags[0]["/"]').alias("tag"),
+        get("$.Tags[1]").alias("words"), get("$.Tags[3]", "boolean").alias("flag"), get("$.Tags[4]").alias("hex"), get("$.Tags[5].In[0].R[0]", "bigint").alias("inner_ref"), get("$.Next.R[0]", "bigint").alias("next_ref"), get("$.Next.R[1]", "bigint").alias("generation"),
+    )
+
+
+_OBJECT_SQL = """SELECT p_partkey, 'Part' AS type, p_name || ' (x)' AS name, p_partkey AS key, p_partkey + 0.5::DOUBLE AS half, 'A' || p_partkey % 9 AS tag, p_type AS words, true AS flag, 'Hi' AS hex,
+p_partkey AS inner_ref, p_partkey + 1 AS next_ref, 2::BIGINT AS generation FROM part"""
+
+
+def object_page_order(spark, sf):
+    """The trees of :func:`page_order` from the text of their objects."""
+    orders = objects.view_name(spark, _read(spark, sf, "orders"))
+    run = lambda sql: spark.sql(_GRAPH.replace("FROM orders", f"FROM {orders}") + " " + sql)
+    kids = run(_KIDS).groupBy("doc_id", F.col("parent").alias("number")).agg(F.sort_array(F.collect_list(F.struct("place", "child"))).alias("kids"))
+    listed = F.concat(F.lit("["), F.array_join(F.transform("kids", lambda k: F.concat(k["child"].cast("string"), F.lit(" 0 R"))), " "), F.lit("]"))
+    text = F.concat(F.lit("<< /Type /"), "kind", F.lit(" /Kids "), F.coalesce(listed, F.lit("[]")), F.lit(" >>"))
+    values = run(_NODES).join(kids, ["doc_id", "number"], "left").select("doc_id", F.col("number").cast("long").alias("number"), syntax.parse_object(text).alias("value"))
+    nodes, edges = objects.kids_of(values)
+    return objects.page_order(nodes, edges, nodes.where("number = 1").select("doc_id", "number")).select("doc_id", _long("number"), _long("page_no"))
+
+
+def xref_table(spark, sf):
+    """A section of two parts for each order."""
+    text = F.format_string("xref\n0 1\n0000000000 65535 f \n%d 3\n%010d 00000 n \n%010d 00003 f\r\n%010d 00001 n \ntrailer\n<< /Size 9 >>", F.col("o_custkey"), F.col("o_orderkey"), F.col("o_orderkey") + 1, F.col("o_orderkey") + 2)
+    return _read(spark, sf, "orders").select("o_orderkey", F.explode(objects.xref_table(text)).alias("r")).select("o_orderkey", "r.number", "r.offset", F.col("r.generation").cast("long").alias("generation"), "r.in_use")
+
+
+_XREF_TABLE_SQL = " UNION ALL ".join(
+    f"SELECT o_orderkey, ({number})::BIGINT AS number, ({at})::BIGINT AS \"offset\", {generation}::BIGINT AS generation, {used} AS in_use FROM orders"
+    for number, at, generation, used in [("0", "0", 65535, "false"), ("o_custkey", "o_orderkey", 0, "true"), ("o_custkey + 1", "o_orderkey + 1", 3, "false"), ("o_custkey + 2", "o_orderkey + 2", 1, "true")]
+)
+
+
+def find_startxref(spark, sf):
+    """The last of two offsets, with a file's length of padding before them and blanks after."""
+    text = F.concat(F.lit("%PDF-1.7\nstartxref\n1\n%%EOF\n"), F.repeat(F.lit("x"), (F.col("p_partkey") % 3000).cast("int")), F.lit("startxref \r\n"), F.col("p_partkey").cast("string"), F.when(F.col("p_partkey") % 4 == 0, "").otherwise("\n%%EOF\n"))
+    return _read(spark, sf, "part").select("p_partkey", objects.startxref(F.encode(text, "UTF-8")).alias("at"))
+
+
 def _called(fixture: str, *functions: str):
     """SQL functions applied one to the other's result, from SQL text."""
 
@@ -264,6 +329,11 @@ QUERIES = {
     "xref_records": xref_records,
     "typed_values": typed_values,
     "decode_fonts": decode_fonts,
+    "content_fonts": content_fonts,
+    "parse_object": parse_object,
+    "object_page_order": object_page_order,
+    "xref_table": xref_table,
+    "find_startxref": find_startxref,
     "sql_to_csv": _called("spans_lineitem", "spans_to_csv"),
     "sql_to_markdown": _called("spans_statement", "spans_elements", "elements_to_markdown"),
     "sql_to_txt": _called("spans_statement", "spans_elements", "elements_to_txt"),
@@ -286,6 +356,11 @@ SELECT doc_id, number::BIGINT AS number, min(depth)::BIGINT AS depth FROM r GROU
     "xref_records": _XREF_SQL,
     "typed_values": _typed_sql(),
     "decode_fonts": _FONTS_SQL,
+    "content_fonts": _CONTENT_FONTS_SQL,
+    "parse_object": _OBJECT_SQL,
+    "object_page_order": _ORDER_SQL,
+    "xref_table": _XREF_TABLE_SQL,
+    "find_startxref": "SELECT p_partkey, p_partkey AS at FROM part",
     "sql_to_csv": O.table_rows("spans_lineitem") + f", l AS (SELECT {_P}, row_idx, string_agg({O.CSV_CELL}, ',' ORDER BY col_idx) AS line FROM tcells GROUP BY {_P}, row_idx) SELECT {_P}, string_agg(line, chr(10) ORDER BY row_idx) AS body FROM l GROUP BY {_P}",
     "sql_to_markdown": O.with_(*O.elements("spans_statement")) + f"SELECT {_P}, md AS body FROM pages_out",
     "sql_to_txt": O.with_(*O.elements("spans_statement")) + f"SELECT {_P}, txt AS body FROM pages_out",
