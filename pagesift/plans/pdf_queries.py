@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pagesift import api
 from pagesift.operators import content
+from pagesift.operators import files as relations
 from pagesift.operators.objects import view_name
 from pagesift.plans import fixtures, pdf_writer
 from pagesift.plans import oracles as O
@@ -94,6 +95,36 @@ def raw_dump(spark, sf):
     return api.documents(fixtures.pages(spark, sf, _DOCS), "raw")
 
 
+def _stored(spark, sf) -> DataFrame:
+    """The files of a fixture, written once for the joins that read them."""
+    folder = scratch_folder(spark, "files")
+    files(spark, sf).write.parquet(folder)
+    return spark.read.parquet(folder)
+
+
+def file_pages(spark, sf):
+    """Spans of each file by joins of its objects."""
+    return _flat(relations.read_pages(_stored(spark, sf)))
+
+
+def file_objects(spark, sf):
+    return relations.file_objects(_stored(spark, sf)).groupBy("doc_id").agg(F.count("*").alias("object_count"))
+
+
+def file_page_tree(spark, sf):
+    stored = _stored(spark, sf)
+    found = relations.page_objects(stored, relations.file_objects(stored))
+    return found.groupBy("doc_id").agg(F.count("*").alias("page_count"))
+
+
+def file_fonts(spark, sf):
+    stored = _stored(spark, sf)
+    known = relations.file_objects(stored)
+    fonts = relations.page_fonts(relations.page_objects(stored, known), known).select("doc_id", F.col("page_no").cast("long").alias("page_no"), F.explode("fonts").alias("name", "how"))
+    mapped = F.size("how.cids").cast("long")
+    return fonts.select("doc_id", "page_no", "name", F.when(mapped > 0, "map").otherwise("table").alias("encoding"), F.when(mapped > 0, mapped).alias("mapped"))
+
+
 def format_switch(spark, sf):
     """Each document in every format."""
     pages = fixtures.pages(spark, sf, _DOCS)
@@ -281,6 +312,10 @@ QUERIES = {
     "bytes_to_markdown": _bodies("md"),
     "bytes_to_csv": _bodies("csv"),
     "raw_dump": raw_dump,
+    "file_pages": file_pages,
+    "file_objects": file_objects,
+    "file_page_tree": file_page_tree,
+    "file_fonts": file_fonts,
     "format_switch": format_switch,
     "document_sink": document_sink,
     "scan_files": scan_files,
@@ -347,3 +382,9 @@ SELECT doc_id, string_agg(CASE WHEN page_no = 0 THEN '' ELSE chr(10) || '--- Pag
     "flate_decode": "SELECT p_partkey, p_name AS text FROM part",
     "pdf_errors": f"SELECT doc_id::VARCHAR AS doc_id, ([{', '.join(repr(c) for _, (_, c) in sorted(_damaged().items()))}])[doc_id % {len(_damaged())} + 1] AS class FROM documents",
 }
+ORACLES |= {
+    "file_pages": ORACLES["extract_page_text"],
+    "file_objects": ORACLES["object_count"],
+    "file_page_tree": ORACLES["page_tree"],
+    "file_fonts": ORACLES["pdf_fonts"],
+}
