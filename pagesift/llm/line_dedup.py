@@ -10,9 +10,11 @@ counts of up to 127 words.
 
 Fingerprints are cut into ``bands``. Those within ``radius`` bits share, by the pigeonhole principle, one of the
 keys for each choice of ``bands - radius`` bands; the bands are the same for any number of lines, so two lines
-are linked or not whatever other lines there are. Lines that share a key are candidates, the
-further ones too, up to ``reach`` bits: none within ``radius`` is missed, and many beyond
-are found (nearly all candidates within ``reach`` are alike, nearly none past it).
+are linked or not whatever other lines there are. A few changed words move a SimHash by more bits than keys allow for, so
+blocks of words are keys as well: the first two and the last two blocks of ``BLOCK`` words. Lines of 16 words or more that
+differ in up to three words in place, or by one word put in or left out, have a block in common. Lines that share a key are
+candidates, the further ones too, up to ``reach`` bits: none within ``radius`` is missed, and nearly all
+alike lines are within ``reach`` (97 of 100 at ``REACH``).
 Candidates are verified by edit similarity ``1 - levenshtein / longer length >=
 min_similarity``. Of each connected group of lines the first occurrence (smallest document
 id, then line number) stays.
@@ -39,7 +41,9 @@ from pyspark.sql import functions as F
 
 from pagesift.llm.common import BLANKS, connected_components, fresh, join_checked, let, materialize, release
 
-RADIUS, REACH, BANDS, MIN_SIMILARITY = 3, 9, 5, 0.8
+RADIUS, REACH, BANDS, MIN_SIMILARITY = 3, 14, 5, 0.8
+#: Words of a block; two are taken from each end of a line.
+BLOCK = 4
 #: Open fingerprints of a key that one task compares with all the others.
 _SHARE = 2048
 _LANES, _WIDE, _PART = 0x0101010101010101, 0x0001000100010001, 127
@@ -101,16 +105,25 @@ def _wide_majority(hashes: Column, tie: Column) -> Column:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, line_no, k (MD5 of the normalised line), chars, fp`` for every line
+    """``doc_id, line_no, k (MD5 of the normalised line), chars, fp, blocks`` for every line
     that has a word."""
     # the raw line is tested, as a filter on the normalised one would normalise twice
     worded = _split(docs, id_col, text_col).where(F.col("line").rlike(rf"[^{BLANKS}]"))
     lines = worded.select("doc_id", "line_no", normalised(F.col("line")).alias("t"))
     hashes = F.array_distinct(F.transform(F.split("t", " "), lambda w: F.xxhash64(w)))
-    lines = lines.select("doc_id", "line_no", _key("t").alias("k"), F.length("t").alias("chars"), hashes.alias("h"))
+    lines = lines.select("doc_id", "line_no", _key("t").alias("k"), F.length("t").alias("chars"), let(F.split("t", " "), _blocks).alias("blocks"), hashes.alias("h"))
     lines = lines.withColumn("n", F.size("h")).withColumn("s", F.when(F.col("n") <= _PART, _lanes(F.col("h")))).withColumn("tie", F.xxhash64(F.array_min("h")))
     fp = F.when(F.col("n") <= _PART, _packed_majority(F.col("s"), F.col("n"), F.col("tie"))).otherwise(_wide_majority(F.col("h"), F.col("tie")))
-    return lines.select("doc_id", "line_no", "k", "chars", fp.alias("fp"))
+    return lines.select("doc_id", "line_no", "k", "chars", fp.alias("fp"), "blocks")
+
+
+def _blocks(words: Column) -> Column:
+    """32-bit hashes of the blocks at both ends; a line has those that fit in it."""
+    n = F.size(words)
+    starts = [F.lit(1), F.lit(1 + BLOCK), n - BLOCK + 1, n - 2 * BLOCK + 1]
+    least = [BLOCK, 2 * BLOCK, BLOCK, 2 * BLOCK]
+    hashes = [F.when(n >= few, F.hash(F.slice(words, at, F.lit(BLOCK)), F.lit(i))) for i, (at, few) in enumerate(zip(starts, least, strict=True))]
+    return F.filter(F.array(*hashes), lambda h: h.isNotNull())
 
 
 def _key(text: str) -> Column:
@@ -209,11 +222,12 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     lines = materialize(fingerprints(docs, id_col, text_col), "lines")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no")
-    nodes = lines.groupBy("k").agg(F.any_value("chars").alias("chars"), F.any_value("fp").alias("fp"), F.min(place).alias("first"))
+    nodes = lines.groupBy("k").agg(F.any_value("chars").alias("chars"), F.any_value("fp").alias("fp"), F.any_value("blocks").alias("blocks"), F.min(place).alias("first"))
     nodes = materialize(nodes.withColumn("id", F.monotonically_increasing_id()), "line-nodes")
     # a fingerprint's lines, and the one that stands for them
     by_fp = materialize(nodes.groupBy("fp").agg(F.count("*").alias("lines"), F.min("id").alias("id")), "line-fingerprints")
-    keyed = _keyed(by_fp, radius, bands)
+    blocks = materialize(nodes.select("fp", F.explode(F.col("blocks").cast("array<long>")).alias("key")).distinct(), "line-blocks")
+    keyed = _keyed(by_fp, radius, bands).unionByName(blocks)
     least, most, middle = F.col("a"), F.col("c"), F.col("a").bitwiseXOR(F.col("c")).bitwiseXOR(F.col("x"))
     some = _near(least, most, reach) | (F.col("n") == 3) & (_near(least, middle, reach) | _near(middle, most, reach))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("c"), F.bit_xor("fp").alias("x"))
@@ -270,14 +284,14 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = more if links is None else links if more is None else links.unionByName(more)
     if links is None:
         links = nodes.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
-    release(shared, rows, small, several, active, alone, groups, by_fp, pairs)
+    release(shared, blocks, rows, small, several, active, alone, groups, by_fp, pairs)
     parts = connected_components(links, "lines")
     at = join_checked(nodes, parts.select(F.col("node").alias("id"), "component"), "id", "left").select("k", "first", F.coalesce("component", "id").alias("root"))
     roots = materialize(parts.select(F.col("component").alias("root")).distinct(), "line-roots")
     linked = join_checked(at, roots, "root", "left_semi")
     lead = materialize(linked.groupBy("root").agg(F.min(F.struct("first", "k")).alias("lead")), "line-leads")
     named = materialize(join_checked(at, lead, "root", "left").select("k", F.coalesce("lead", F.struct("first", "k")).alias("lead")), "line-names")
-    out = lines.join(named, "k")
+    out = lines.drop("blocks").join(named, "k")
     kept = (F.col("k") == F.col("lead.k")) & F.col("doc_id").eqNullSafe(F.col("lead.first.doc_id")) & (F.col("line_no") == F.col("lead.first.line_no"))
     return out.select("doc_id", "line_no", F.lower(F.hex("k")).alias("line_md5"), F.col("lead.first.doc_id").alias("first_doc"), F.col("lead.first.line_no").alias("first_line"), kept.alias("kept"))
 

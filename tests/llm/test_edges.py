@@ -141,9 +141,14 @@ def brute_lines(rows, bands=None):
     masks = [m % (1 << 64) for m in line_dedup.masks_for(line_dedup.RADIUS, bands or line_dedup.BANDS)]
     name = {x: (first[x], hashlib.md5(x.encode()).digest(), x) for x in first}
     links = []
+
+    def blocks(x):
+        w, n = x.split(" "), line_dedup.BLOCK
+        return {(i, *w[at : at + n]) for i, at in enumerate((0, n, len(w) - n, len(w) - 2 * n)) if len(w) >= (n, 2 * n, n, 2 * n)[i]}
+
     for x, y in combinations(first, 2):
         differ = fp[x] ^ fp[y]
-        if differ.bit_count() <= line_dedup.REACH and any(not differ & m for m in masks) and 1 - edit_distance(x, y) / max(len(x), len(y)) >= 0.8 - 1e-9:
+        if differ.bit_count() <= line_dedup.REACH and (any(not differ & m for m in masks) or blocks(x) & blocks(y)) and 1 - edit_distance(x, y) / max(len(x), len(y)) >= 0.8 - 1e-9:
             links.append((name[x], name[y]))
     root = components(name.values(), links)
     out = Counter()
@@ -190,7 +195,7 @@ def test_lines_of_documents_that_share_an_id(spark):
     rows = [(0, base), (5, base.replace("plain7 ", "plains7 ")), (5, other), (None, base), (None, other + "!\nown line")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     out = sorted(map(str, (r["text"] for r in line_dedup.drop_lines(df, line_dedup.line_groups(df)).collect())))
-    assert out == sorted([base, "", other, "", other + "!\nown line"])
+    assert out == sorted([base, "", other, "", "own line"])  # a sign more is alike, too
 
 
 def test_lines_found_of_all_that_are_alike(spark):
@@ -210,7 +215,7 @@ def test_lines_found_of_all_that_are_alike(spark):
     got = line_dedup.line_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     gone = [r for r in got if not r["kept"]]
     assert all(r["first_doc"] == r["doc_id"] - 1 and r["doc_id"] % 2 for r in gone)
-    assert changed > 180 and len(gone) >= 0.4 * changed
+    assert changed > 180 and len(gone) >= 0.9 * changed
 
 
 def brute_mix(rows, budget_share):
