@@ -134,7 +134,7 @@ def fit(bitmaps: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridg
     for c in range(len(langs)):
         turn[y == c] = np.arange((y == c).sum())
     mark = np.lexsort((y, turn))[: min(landmarks, len(y))]
-    step = 2048  # bytes of bitmap at once
+    step = 256  # bytes of bitmap at once
     dot, size = np.zeros((len(y), len(mark))), np.zeros(len(y))
     for at in range(0, bitmaps.shape[1], step):
         bits = np.unpackbits(bitmaps[:, at : at + step], axis=1, bitorder="little").astype(np.float32)
