@@ -14,7 +14,7 @@ _P = "doc_id, page_no"
 
 
 def _read(spark, sf, name):
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return fixtures.table(spark, sf, name)
 
 
 def _long(name):

@@ -2,8 +2,9 @@
 
 import pyarrow as pa
 
-from pagesift.plans import pdf_queries
+from pagesift.plans import fixtures, pdf_queries
 
+SF = "/root/testdata/sf0.001"
 SPAN = pa.struct([("ord", pa.int32()), ("text", pa.string()), ("x", pa.float64()), ("y", pa.float64()), ("font_size", pa.float64()), ("font_name", pa.string())])
 
 
@@ -15,3 +16,10 @@ def test_files_are_handed_on_before_a_batch_is_done(monkeypatch):
     made = list(pdf_queries._write_files([pa.RecordBatch.from_arrays([docs, pages], ["doc_id", "pages"])] * 2))
     assert [d for b in made for d in b.column(0).to_pylist()] == docs.to_pylist() * 2
     assert len(made) > 10 and all(sum(map(len, b.column(1).to_pylist()[:-1])) < 20_000 for b in made)
+
+
+def test_small_tables_are_dealt_over_all_cores(spark):
+    for name in ("documents", "part"):
+        rows = fixtures.table(spark, SF, name)
+        assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+        assert sorted(rows.collect()) == sorted(spark.read.parquet(f"{SF}/{name}.parquet").collect())
