@@ -2,6 +2,7 @@
 
 import pyarrow as pa
 
+from pagesift import api
 from pagesift.plans import fixtures, pdf_queries
 
 SF = "/root/testdata/sf0.001"
@@ -23,3 +24,11 @@ def test_small_tables_are_dealt_over_all_cores(spark):
         rows = fixtures.table(spark, SF, name)
         assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
         assert sorted(rows.collect()) == sorted(spark.read.parquet(f"{SF}/{name}.parquet").collect())
+
+
+def test_formats_share_one_reading_of_the_pages(spark):
+    made = pdf_queries.format_switch(spark, SF)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1
+    pages = fixtures.pages(spark, SF, "spans_trimmed")
+    assert sorted(map(tuple, made.where("format = 'md'").select("doc_id", "body").collect())) == sorted(map(tuple, api.documents(pages, "md").collect()))
