@@ -2,6 +2,7 @@
 
 import os
 
+import duckdb
 import pyarrow as pa
 
 from pyspark.sql import functions as F
@@ -85,3 +86,14 @@ def test_a_reader_lets_go_of_a_batch_before_the_next_is_read():
     assert len(list(pdf_queries._write_files(batches([pa.array(["9"]), pages])))) == 1
     seen.clear()
     assert sum(b.num_rows for b in pdf._reader(None, pdf.PERMISSIVE, False)(batches([pa.array(["9"]), pa.array([b"no file"])]))) == 3
+
+
+def test_a_text_of_many_lines_is_split_once(spark):
+    texts = [(1, "\n".join(str(i) * (i % 9 * 30) for i in range(300))), (2, ""), (3, None), (4, "\n\na\n"), (5, "x" * 141), (6, "a\r\nb")]
+    spark.createDataFrame(texts, "doc_id long, text string").createOrReplaceTempView("documents")
+    made = spark.sql(fixtures.spark_sql(fixtures.DOCUMENTS))
+    assert "split_part" not in fixtures.spark_sql(fixtures.DOCUMENTS) and "split_part" in fixtures.DOCUMENTS
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", texts)
+    assert sorted(map(tuple, made.collect())) == sorted(con.execute(f"SELECT {', '.join(made.columns)} FROM ({fixtures.duck_sql(fixtures.DOCUMENTS)})").fetchall())
