@@ -14,16 +14,17 @@ def nearest(points: DataFrame, marks: DataFrame, key: list[str], at: str, value:
     """``points`` with the ``value`` of the mark of the same ``key`` that is nearest in ``at``, the
     lower one on a tie; null where a key has no mark.
 
-    Points and marks are laid in one order: the last mark before a point and the first one after it
-    are running values of a window, so there is no product of both sides. Marks of one key at one
-    place count as the one with the least value."""
+    Points and marks are laid in one order and in its reverse: the last mark before a point and the first one
+    after it are running values of a window, so there is no product of both sides (a frame that reaches to the end
+    of its key would be run through again for each row). Marks of one key at one place count as the one with the least
+    value."""
     marks = marks.groupBy(*key, at).agg(F.min(value).alias(value))
     sides = points.withColumn("__mark", F.lit(None).cast(marks.schema[value].dataType)).unionByName(marks.select(*key, at, F.col(value).alias("__mark")).withColumn("__is", F.lit(True)), allowMissingColumns=True)
     here = F.when(F.col("__is"), F.struct(F.col(at).alias("at"), F.col("__mark").alias("value")))
     # at one place the mark stands before the points
     order = Window.partitionBy(*key).orderBy(at, F.col("__is").isNull())
-    below = F.last(here, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    above = F.first(here, ignorenulls=True).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    back = Window.partitionBy(*key).orderBy(F.col(at).desc(), F.col("__is").isNull().desc())
+    below, above = (F.last(here, ignorenulls=True).over(o.rowsBetween(Window.unboundedPreceding, Window.currentRow)) for o in (order, back))
     rows = sides.select("*", below.alias("__below"), above.alias("__above")).where("__is is null")
     lower = F.col("__below").isNotNull() & (F.col("__above").isNull() | (F.col(at) - F.col("__below.at") <= F.col("__above.at") - F.col(at)))
     return rows.select(*points.columns, F.when(lower, F.col("__below.value")).otherwise(F.col("__above.value")).alias(value))

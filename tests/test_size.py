@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from pagesift import api
-from pagesift.operators import files
+from pagesift.operators import files, nearest
 from pagesift.plans import fixtures, pdf_queries, relational
 from pagesift.sources import pdf
 
@@ -97,3 +97,16 @@ def test_a_text_of_many_lines_is_split_once(spark):
     con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
     con.executemany("INSERT INTO documents VALUES (?, ?)", texts)
     assert sorted(map(tuple, made.collect())) == sorted(con.execute(f"SELECT {', '.join(made.columns)} FROM ({fixtures.duck_sql(fixtures.DOCUMENTS)})").fetchall())
+
+
+def test_nearest_marks_of_a_key_of_any_size(spark):
+    """Running values only: a frame up to the end of a key takes the square of its rows."""
+    points = [("k", float(i % 700), i) for i in range(1500)] + [("none", 1.0, -1)]
+    marks = [("k", float(7 * i % 640), i) for i in range(120)] + [("k", 35.0, 3)]
+    found = nearest.nearest(spark.createDataFrame(points, "k string, at double, i int"), spark.createDataFrame(marks, "k string, at double, m int"), ["k"], "at", "m")
+    assert "unboundedfollowing" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+    least = {}
+    for _, at, m in marks:
+        least[at] = min(m, least.get(at, m))
+    want = {i: least[min(least, key=lambda a: (abs(a - at), a))] for _, at, i in points[:-1]}  # noqa: B023
+    assert {r["i"]: r["m"] for r in found.collect()} == want | {-1: None}
