@@ -132,3 +132,24 @@ def test_a_task_that_is_tried_again_counts_once(tmp_path, monkeypatch):
     assert first.folder != second.folder
     writer.commit([second, None])
     assert [b for _, b in files_of(tmp_path)] == ["text"] and not (tmp_path / "_temporary").exists()
+
+
+def test_an_abort_outlasts_tasks_that_still_write(tmp_path):
+    import threading
+    import time
+
+    writer = documents.DocumentWriter({"path": str(tmp_path)}, overwrite=True)
+    late = tmp_path / "_temporary" / writer.write_id / "part-late"
+
+    def task():
+        for i in range(5):
+            late.mkdir(parents=True, exist_ok=True)
+            (late / f"{i}.txt").write_text("late")
+            time.sleep(0.1)
+
+    running = threading.Thread(target=task)
+    running.start()
+    time.sleep(0.05)
+    writer.abort([])
+    running.join()
+    assert not (tmp_path / "_temporary").exists()
