@@ -46,6 +46,8 @@ RADIUS, REACH, BANDS, MIN_SIMILARITY = 3, 14, 5, 0.8
 BLOCK = 4
 #: Open fingerprints of a key that one task compares with all the others.
 _SHARE = 2048
+#: Words that an edit may put in or leave out in one place to be found without an edit distance.
+_SKIP = 3
 _LANES, _WIDE, _PART = 0x0101010101010101, 0x0001000100010001, 127
 
 
@@ -152,20 +154,37 @@ def _ordered(a, b) -> Column:
     return F.struct(F.least(a, b).alias("f1"), F.greatest(a, b).alias("f2"))
 
 
-def _replaced(one: Column, two: Column) -> Column:
-    """What it takes at most to replace the words that differ, place by place; words past the
-    shorter line's end go with their blank."""
-    length = lambda w: F.coalesce(F.length(w), F.lit(0))
-    blank = lambda a, b: F.when(a.isNull() | b.isNull(), 1).otherwise(0)
-    cost = lambda a, b: F.when(a.eqNullSafe(b), 0).otherwise(F.greatest(length(a), length(b)) + blank(a, b))
-    return F.aggregate(F.zip_with(one, two, cost), F.lit(0), lambda n, x: n + x)
+def _walked(one: Column, two: Column) -> Column:
+    """What it takes at most to make the words of ``one`` those of ``two``: side by side from the
+    front, where words that differ are replaced, or put in or left out (with their blank, up to
+    ``_SKIP`` at once) if the two that follow are then the same."""
+
+    def step(s: Column, i: Column) -> Column:
+        ahead = lambda skip, more: F.get(one, i + skip).eqNullSafe(F.get(two, s["at"] + more)) & F.get(one, i + skip + 1).eqNullSafe(F.get(two, s["at"] + more + 1))
+        to = lambda at, n, skip=0: F.struct(at.cast("int").alias("at"), n.cast("int").alias("n"), F.lit(skip).alias("skip"))
+        gone = lambda of, at, few: F.length(F.array_join(F.slice(of, at + 1, F.lit(few)), " ")) + 1
+        left, right = F.get(one, i), F.get(two, s["at"])
+        longer = F.greatest(F.length(left), F.length(right))
+        # past the end of ``two`` a word goes with its blank
+        other = F.when(right.isNull(), F.length(left) + 1).when(longer > 32, longer).otherwise(F.levenshtein(left, right))
+        out = F.when(s["skip"] > 0, F.struct(s["at"].alias("at"), s["n"].alias("n"), (s["skip"] - 1).alias("skip"))).when(left.eqNullSafe(right), to(s["at"] + 1, s["n"]))
+        for few in range(1, _SKIP + 1):
+            out = out.when(F.get(two, s["at"] + few).isNotNull() & ahead(0, few), to(s["at"] + few + 1, s["n"] + gone(two, s["at"], few)))
+            out = out.when(right.isNotNull() & ahead(few, 0), to(s["at"], s["n"] + gone(one, i, few), few - 1))
+        return out.otherwise(to(s["at"] + 1, s["n"] + other))
+
+    def end(s: Column) -> Column:
+        rest = F.slice(two, s["at"] + 1, F.greatest(F.size(two) - s["at"], F.lit(0)))
+        return s["n"] + F.length(F.array_join(rest, " ")) + F.when(F.size(rest) > 0, 1).otherwise(0)
+
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"), F.lit(0).alias("skip"))
+    return F.aggregate(F.sequence(F.lit(0), F.size(one) - 1), start, step, end)
 
 
 def _alike(min_similarity: float) -> Column:
     """Whether ``t1`` and ``t2`` have the edit similarity. The words that both end or begin
-    with are cut off, which changes no edit distance. Lines are alike if replacing
-    the words left, place by place from the back or from the front, stays within the limit
-    (no distance is larger than that). Else an edit distance decides, first within a band as
+    with are cut off, which changes no edit distance. Lines are alike if changing
+    the words left one after the other stays within the limit (no distance is larger than that). Else an edit distance decides, first within a band as
     wide as the words are long that only one line has: near copies cost their distance and
     not their limit."""
     limit = F.floor(F.greatest(F.length("t1"), F.length("t2")) * F.lit(1 - min_similarity) + F.lit(1e-9)).cast("int")
@@ -182,23 +201,22 @@ def _alike(min_similarity: float) -> Column:
         return F.when(F.abs(F.length(t["a"]) - F.length(t["b"])) > t["n"], False).when(within(first), True).otherwise((t["n"] > first) & within(t["n"]))
 
     def decide(m: Column) -> Column:
-        easy = (_replaced(m["a"], m["b"]) <= m["n"]) | (_replaced(F.reverse(m["a"]), F.reverse(m["b"])) <= m["n"])
         own = lambda a, b: F.length(F.array_join(F.array_except(a, b), " "))
         band = F.greatest(own(m["a"], m["b"]), own(m["b"], m["a"])) + 6
         texts = F.struct(m["n"].alias("n"), band.alias("band"), F.array_join(m["a"], " ").alias("a"), F.array_join(m["b"], " ").alias("b"))
         # if one has no word left, the other's words and their blank are the distance
-        return F.when(easy, True).when((F.size(m["a"]) == 0) | (F.size(m["b"]) == 0), False).otherwise(let(texts, banded))
+        none = (F.size(m["a"]) == 0) | (F.size(m["b"]) == 0)
+        words = F.length(F.array_join(F.concat(m["a"], m["b"]), " ")) + F.when((F.size(m["a"]) > 0) | (F.size(m["b"]) > 0), 1).otherwise(0)
+        return F.when(none, words <= m["n"]).when(_walked(m["a"], m["b"]) <= m["n"], True).otherwise(let(texts, banded))
 
     words = F.struct(F.split("t1", " ").alias("a"), F.split("t2", " ").alias("b"))
     return let(let(let(words, cut), cut), lambda w: let(F.struct(limit.alias("n"), w["a"].alias("a"), w["b"].alias("b")), decide))
 
 
-def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, min_similarity: float) -> DataFrame:
-    """The written links ``a, b`` among ``pairs`` (``a1, a2`` of ``nodes``) by edit similarity.
-    The texts of just these lines are read again from ``docs`` (``doc_id, text``);
-    documents that share an id are told apart by the line's MD5."""
-    active = materialize(pairs.select(F.col("a1").alias("id")).union(pairs.select("a2")).distinct(), "line-active")
-    wanted = join_checked(nodes, active, "id", "left_semi", bound=1_000_000).select("id", "k", F.col("first.doc_id").alias("_doc"), F.col("first.line_no").alias("_line"))
+def _texts(docs: DataFrame, nodes: DataFrame, some: DataFrame) -> DataFrame:
+    """``id, t``, written: the normalised texts of the ``nodes`` whose ``id`` is in ``some``, read again
+    from ``docs`` (``doc_id, text``); documents that share an id are told apart by the line's MD5."""
+    wanted = join_checked(nodes, some.select("id"), "id", "left_semi", bound=1_000_000).select("id", "k", F.col("first.doc_id").alias("_doc"), F.col("first.line_no").alias("_line"))
     wanted = materialize(wanted, "line-wanted")
     ids = wanted.select("_doc").distinct()
     some = docs.join(F.broadcast(ids) if ids.count() <= 300_000 else ids, F.col("doc_id").eqNullSafe(F.col("_doc")), "left_semi")
@@ -206,11 +224,15 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, min_similarit
     rows = rows.select("id", "k", normalised(F.col("line")).alias("t")).where(_key("t") == F.col("k"))
     # rows that repeat an id and a line give their text more than once
     texts = materialize(rows.groupBy("id").agg(F.any_value("t").alias("t")), "line-texts")
+    release(wanted)
+    return texts
+
+
+def _verified(texts: DataFrame, pairs: DataFrame, min_similarity: float) -> DataFrame:
+    """The written links ``a, b`` among ``pairs`` (``a1, a2`` of ``texts``) by edit similarity."""
     first, second = (texts.select(F.col("id").alias(f"a{n}"), F.col("t").alias(f"t{n}")) for n in (1, 2))
     checked = pairs.join(first, "a1").join(second, "a2").where(_alike(min_similarity))
-    out = materialize(checked.select(F.col("a1").alias("a"), F.col("a2").alias("b")), "line-links")
-    release(active, wanted, texts)
-    return out
+    return materialize(checked.select(F.col("a1").alias("a"), F.col("a2").alias("b")), "line-links")
 
 
 def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, reach: int = REACH, bands: int = BANDS, min_similarity: float = MIN_SIMILARITY, lead: bool = True) -> DataFrame:
@@ -243,6 +265,7 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     active = small.select(F.col("f1").alias("fp")).union(small.select("f2")).union(several)
     active = materialize((active if rows is None else active.union(rows.select("fp"))).distinct(), "line-active")
     alone = materialize(join_checked(nodes, active, "fp", "left_semi", bound=1_000_000).select("id", "fp", "chars"), "line-candidates")
+    texts = _texts(source, nodes, alone)
     pair = F.when(F.col("f1") != F.col("f2"), _near("f1", "f2", reach)).otherwise(F.col("a1") < F.col("a2"))
 
     def lines_of(fps: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
@@ -257,13 +280,13 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         # one line for each fingerprint with one partner, the others of a fingerprint with it,
         # and two leaders a key
         every = alone.withColumn("g", F.col("id"))
-        reps = every.join(by_fp.select("id"), "id", "left_semi")
+        reps = every.groupBy("fp").agg(F.min("id").alias("id"), F.min_by("chars", "id").alias("chars")).withColumn("g", F.col("id"))
         near = small.groupBy("f2").agg(F.min("f1").alias("f1")).select("f1", "f2")
         if rows is not None:
             led = rows.select(F.explode(F.array(_ordered(least, F.col("fp")), _ordered(most, F.col("fp")))).alias("p")).select("p.*")
             near = near.union(led.where((F.col("f1") != F.col("f2")) & _near("f1", "f2", reach)))
         pairs = materialize(lines_of(near, reps, reps).unionByName(lines_of(same, reps, every)), "line-pairs")
-        links = _verified(source, nodes, pairs, min_similarity)
+        links = _verified(texts, pairs, min_similarity)
         release(pairs)
         parts = connected_components(links, "line-parts").select(F.col("node").alias("id"), F.col("component").alias("g"))
         groups = materialize(alone.join(parts, "id", "left").select("id", "fp", "chars", F.coalesce("g", "id").alias("g")), "line-groups")
@@ -271,20 +294,22 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         groups = alone.withColumn("g", F.col("id"))
     near = small
     if rows is not None:
-        placed = rows.select("key", "fp").join(groups.groupBy("fp").agg(F.min("g").alias("lo"), F.max("g").alias("hi")), "fp")
+        placed = rows.select("key", "fp").join(groups.groupBy("fp").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.min("chars").alias("least"), F.max("chars").alias("most")), "fp")
         apart = placed.groupBy("key").agg(F.min("lo").alias("l"), F.max("hi").alias("h"), F.count("*").alias("n")).where("l <> h")
         still = materialize(placed.join(apart.select("key", F.expr(f"(n + {_SHARE - 1}) div {_SHARE}").alias("shares")), "key"), "line-still")
         # one side of a key is dealt to its shares, each of which meets the whole other side
         share = {1: F.pmod(F.xxhash64("fp"), "shares"), 2: F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1))}
-        one, two = (still.select("key", share[n].alias("share"), F.col("fp").alias(f"f{n}"), F.col("lo").alias(f"l{n}"), F.col("hi").alias(f"h{n}")) for n in (1, 2))
+        one, two = (still.select("key", share[n].alias("share"), F.col("fp").alias(f"f{n}"), F.col("lo").alias(f"l{n}"), F.col("hi").alias(f"h{n}"), F.col("least").alias(f"n{n}"), F.col("most").alias(f"m{n}")) for n in (1, 2))
         apart = (F.col("l1") != F.col("l2")) | (F.col("h1") != F.col("h2")) | (F.col("l1") != F.col("h1"))
-        near = near.union(one.join(two, (one["key"] == two["key"]) & (one["share"] == two["share"]) & (F.col("f1") < F.col("f2")) & apart & _near("f1", "f2", reach)).select("f1", "f2"))
+        # no line of either is too short for all of the other's
+        fits = (F.col("m1") >= F.col("n2") * F.lit(min_similarity)) & (F.col("m2") >= F.col("n1") * F.lit(min_similarity))
+        near = near.union(one.join(two, (one["key"] == two["key"]) & (one["share"] == two["share"]) & (F.col("f1") < F.col("f2")) & apart & fits & _near("f1", "f2", reach)).select("f1", "f2"))
     pairs = materialize(lines_of(near.union(same), groups, groups), "line-pairs")
-    more = _verified(source, nodes, pairs, min_similarity) if pairs.take(1) else None
+    more = _verified(texts, pairs, min_similarity) if pairs.take(1) else None
     links = more if links is None else links if more is None else links.unionByName(more)
     if links is None:
         links = nodes.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
-    release(shared, blocks, rows, small, several, active, alone, groups, by_fp, pairs)
+    release(shared, blocks, rows, small, several, active, alone, groups, by_fp, pairs, texts)
     parts = connected_components(links, "lines")
     at = join_checked(nodes, parts.select(F.col("node").alias("id"), "component"), "id", "left").select("k", "first", F.coalesce("component", "id").alias("root"))
     roots = materialize(parts.select(F.col("component").alias("root")).distinct(), "line-roots")
