@@ -124,3 +124,40 @@ def test_a_file_is_read_once_for_its_text_and_its_error(spark):
         whole = {r["doc_id"]: r["body"] for r in api.documents(pdf.pages(files), call.__name__.removeprefix("pdf_to_")).collect()}
         assert rows["good"] == (whole["good"], None) and rows["page"][0] is None and rows["page"][1].startswith("Page 2 error: ")
         assert rows["file"][0] is None and rows["file"][1].startswith("Parse error: ") and "none" not in rows
+
+
+def _as_sql(spark, folder, name):
+    one = F.struct("ord", "text", "x", "y", "font_size", "font_name")
+    return fixtures.spans(spark, folder, name).groupBy("doc_id", "page_no").agg(F.sort_array(F.collect_list(one)).alias("spans"))
+
+
+def test_pages_made_within_a_document_are_those_of_the_sql(spark, tmp_path):
+    lines = "\n".join(str(i) * (i % 9 * 30) for i in range(300))
+    texts = [(1, lines), (2, ""), (3, None), (4, "\n\na\n"), (5, "x" * 141), (6, "a\r\nb"), (7, "\n" * 9 + " \n" * 50 + "end"), (8, "\U0001f600é " * 60), (None, "none"), (9, " a " * 60 + "\n" + " " * 80)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    items = spark.read.parquet(f"{SF}/lineitem.parquet").where("l_orderkey < 50")
+    odd = items.limit(6).withColumn("l_partkey", F.lit(None).cast(items.schema["l_partkey"].dataType))
+    items.union(odd).union(odd.limit(2).withColumn("l_orderkey", F.lit(None).cast(items.schema["l_orderkey"].dataType))).write.parquet(f"{tmp_path}/lineitem.parquet")
+    for name in fixtures.GATHERED:
+        made, want = fixtures.pages(spark, str(tmp_path), name), _as_sql(spark, str(tmp_path), name)
+        assert made.dtypes == want.dtypes and made.count() == want.count() > 5
+        assert made.exceptAll(want).count() == want.exceptAll(made).count() == 0
+
+
+def test_texts_of_one_id_are_one_document(spark, tmp_path):
+    texts = [(1, f"{i}\n" * 30) for i in range(3)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("spans_documents", "spans_trimmed"):
+        pages = {r["page_no"]: [(s["ord"], s["text"]) for s in r["spans"]] for r in fixtures.pages(spark, str(tmp_path), name).collect()}
+        spans = pages[0] + pages[1]
+        assert sorted(pages) == [0, 1] and [o for o, _ in spans] == list(range(1, 91)) and len(pages[0]) == 45
+        assert all({t for _, t in spans[i : i + 3]} == {"0", "1", "2"} for i in range(0, 90, 3))
+
+
+def _shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+def test_only_a_tables_own_rows_are_shuffled(spark):
+    assert _shuffles(pdf_queries.format_switch(spark, SF)) == 1
+    assert _shuffles(pdf_queries.files(spark, SF)) == 1
