@@ -19,15 +19,22 @@ def nearest(points: DataFrame, marks: DataFrame, key: list[str], at: str, value:
     of its key would be run through again for each row). Marks of one key at one place count as the one with the least
     value."""
     marks = marks.groupBy(*key, at).agg(F.min(value).alias(value))
-    sides = points.withColumn("__mark", F.lit(None).cast(marks.schema[value].dataType)).unionByName(marks.select(*key, at, F.col(value).alias("__mark")).withColumn("__is", F.lit(True)), allowMissingColumns=True)
-    here = F.when(F.col("__is"), F.struct(F.col(at).alias("at"), F.col("__mark").alias("value")))
+    kind = marks.schema[value].dataType
+    sides = points.withColumn("__mark", F.lit(None).cast(kind)).unionByName(marks.select(*key, at, F.col(value).alias("__mark")).withColumn("__is", F.lit(True)), allowMissingColumns=True)
+    return nearest_of(sides.withColumn("__is", F.coalesce("__is", F.lit(False))), key, at, "__mark", "__is").select(*points.columns, F.col("__mark").alias(value))
+
+
+def nearest_of(sides: DataFrame, key: list[str], at: str, value: str, is_mark: str) -> DataFrame:
+    """The points among ``sides``, which holds points and marks (where ``is_mark``), with the ``value`` of the
+    mark nearest to each. A key has one mark at one place."""
+    here = F.when(F.col(is_mark), F.struct(F.col(at).alias("at"), F.col(value).alias("value")))
     # at one place the mark stands before the points
-    order = Window.partitionBy(*key).orderBy(at, F.col("__is").isNull())
-    back = Window.partitionBy(*key).orderBy(F.col(at).desc(), F.col("__is").isNull().desc())
+    order = Window.partitionBy(*key).orderBy(at, ~F.col(is_mark))
+    back = Window.partitionBy(*key).orderBy(F.col(at).desc(), F.col(is_mark))
     below, above = (F.last(here, ignorenulls=True).over(o.rowsBetween(Window.unboundedPreceding, Window.currentRow)) for o in (order, back))
-    rows = sides.select("*", below.alias("__below"), above.alias("__above")).where("__is is null")
+    rows = sides.select("*", below.alias("__below"), above.alias("__above")).where(~F.col(is_mark))
     lower = F.col("__below").isNotNull() & (F.col("__above").isNull() | (F.col(at) - F.col("__below.at") <= F.col("__above.at") - F.col(at)))
-    return rows.select(*points.columns, F.when(lower, F.col("__below.value")).otherwise(F.col("__above.value")).alias(value))
+    return rows.withColumn(value, F.when(lower, F.col("__below.value")).otherwise(F.col("__above.value"))).drop("__below", "__above", is_mark)
 
 
 def decode_codes(texts: DataFrame, maps: DataFrame, codes: Column, key: str, font: str) -> DataFrame:

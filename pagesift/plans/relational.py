@@ -108,10 +108,13 @@ def assign_columns_join(spark, sf):
     """The cells of :func:`assign_columns` from long tables."""
     S = F.col("spans")
     pages = fixtures.pages(spark, sf, "spans_lineitem").select("doc_id", "page_no", cluster.drop_blank(S).alias("spans"))
-    rows = pages.select("doc_id", "page_no", F.posexplode(cluster.cluster_rows(S, cluster.row_tolerance(S))).alias("row_idx", "r"))
-    points = rows.select("doc_id", "page_no", _long("row_idx"), F.posexplode(cluster.by_x(F.col("r"))).alias("pos", "s")).select("doc_id", "page_no", "row_idx", "pos", "s.x", "s.text")
-    marks = pages.select("doc_id", "page_no", F.posexplode(cluster.detect_columns(S)).alias("col_idx", "x")).withColumn("col_idx", F.col("col_idx").cast("long"))
-    placed = nearest.nearest(points, marks, ["doc_id", "page_no"], "x", "col_idx")
+    side = "array<struct<row_idx:bigint,pos:int,x:double,text:string,col_idx:bigint,is_mark:boolean>>"
+    point = lambda i: lambda s, pos: F.struct(i, pos, s["x"], s["text"], F.lit(None), F.lit(False))
+    points = F.flatten(F.transform(cluster.cluster_rows(S, cluster.row_tolerance(S)), lambda r, i: F.transform(cluster.by_x(r), point(i))))
+    marks = F.transform(cluster.detect_columns(S), lambda x, i: F.struct(F.lit(None), F.lit(None), x, F.lit(None), i, F.lit(True)))
+    # points and marks of a page leave it together, so it is made once
+    sides = pages.select("doc_id", "page_no", F.explode_outer(F.concat(points.cast(side), marks.cast(side))).alias("s")).where("s is not null").select("doc_id", "page_no", "s.*")
+    placed = nearest.nearest_of(sides, ["doc_id", "page_no"], "x", "col_idx", "is_mark")
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda c: c["text"]), " ")
     return placed.groupBy("doc_id", "page_no", "row_idx", "col_idx").agg(text.alias("text"))
 

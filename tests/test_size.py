@@ -161,3 +161,9 @@ def _shuffles(df):
 def test_only_a_tables_own_rows_are_shuffled(spark):
     assert _shuffles(pdf_queries.format_switch(spark, SF)) == 1
     assert _shuffles(pdf_queries.files(spark, SF)) == 1
+
+
+def test_points_and_marks_of_a_page_are_made_once(spark):
+    made = relational.assign_columns_join(spark, SF)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1 and _shuffles(made) == 1
